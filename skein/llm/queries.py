@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from skein.llm.mixing import OP8_SQL, op8_mixing
+from skein.llm.packing import op3_packing
 from skein.llm.token_files import op1_token_orc
 
-QUERIES = {"op1_token_orc": op1_token_orc}
+QUERIES = {"op1_token_orc": op1_token_orc, "op3_packing": op3_packing, "op8_mixing": op8_mixing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
