@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from skein.llm.mixing import OP8_SQL, op8_mixing
 from skein.llm.packing import op3_packing
+from skein.llm.quality import op10_quality
+from skein.llm.secret_scan import op7_secret_scan
 from skein.llm.token_files import op1_token_orc
 
-QUERIES = {"op1_token_orc": op1_token_orc, "op3_packing": op3_packing, "op8_mixing": op8_mixing}
+QUERIES = {
+    "op1_token_orc": op1_token_orc,
+    "op3_packing": op3_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
+}
 
 ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
