@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skein.llm.fingerprints import op4_fingerprints
 from skein.llm.mixing import OP8_SQL, op8_mixing
 from skein.llm.packing import op3_packing
 from skein.llm.quality import op10_quality
@@ -11,6 +12,7 @@ from skein.llm.token_files import op1_token_orc
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
     "op10_quality": op10_quality,
