@@ -143,7 +143,6 @@ def pack(
 ) -> DataFrame:
     """A row for each piece; with_ids adds token_ids, the piece's ids."""
     tokenizer = tokenizer or default_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, sequence = subwords(tokenizer), SumOfSquares(width, open_limit), TaskContext.get().partitionId() * TASK_STRIDE
@@ -166,9 +165,12 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCHEMA.split(", ")] + ["token_ids"] * with_ids)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, enc.encode(text or "") + end)
-                if len(packer.closed) >= 1000:
+            doc_ids = b.column(0).to_pylist()
+            for first, ids, offsets in enc.encode_column(b.column(1), end_id):
+                cuts = offsets.tolist()
+                for k, (at, to) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    packer.add(doc_ids[first + k], ids[at:to].tobytes())
+                if packer.closed:
                     yield rows(packer.taken())
         packer.flush()
         if packer.closed:
