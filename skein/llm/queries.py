@@ -8,12 +8,14 @@ from skein.llm.packing import op3_packing
 from skein.llm.quality import op10_quality
 from skein.llm.secret_scan import op7_secret_scan
 from skein.llm.token_files import op1_token_orc
+from skein.llm.url_filter import op5_url_filter
 from skein.llm.vector_search import op6_vector_search
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_url_filter": op5_url_filter,
     "op6_vector_search": op6_vector_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
