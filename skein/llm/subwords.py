@@ -3,24 +3,34 @@
 The library spends most of its time on the split into pieces and on the bookkeeping of offsets.
 A text may be cut before any space that a non-space follows: no piece of a byte-level BPE reaches
 over such a cut. So a text is a list of units, most of them one word with its leading space, and
-the ids of a unit are computed once and kept. A unit of letters, with or without trailing full
-stops or commas, is one or two pieces, which go straight to the library's BPE model; any other
-unit goes through the library's whole encode().
+the ids of a unit are computed once and kept. So are those of its pieces, which go straight to the
+library's BPE model; units with characters that libraries may classify differently go through the
+library's whole encode().
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 from skein.llm.common import quiet_threads
 
-#: Units kept by a worker; the memory is then about 130 MB. At the limit it begins anew.
-KEPT_UNITS = 600_000
-_ODD_SPACE = re.compile(r" (?:\s|$)")
-_MARKS = ".,"
+#: Pieces kept by a worker, about 150 MB. At the limit it begins anew.
+KEPT_PIECES = 800_000
+#: Bytes of text that are split at once.
+CHUNK_BYTES = 8 << 20
+#: A space that Unicode white space or the end follows, for Arrow's regular expressions.
+ODD_SPACE = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+#: Fixed value: how a byte-level BPE of this family splits text into pieces.
+PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Beyond these, libraries may differ on what is a letter, a number or a space.
+_RARE = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
 
 def default_tokenizer() -> str:
@@ -40,7 +50,7 @@ def _byte_alphabet() -> dict[int, str]:
 class Subwords:
     """Encoder for one tokenizer file; encode() gives ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, kept: int = KEPT_UNITS):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -48,47 +58,93 @@ class Subwords:
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
         self.kept = kept
-        self.known: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(" " in s for s in self.special):
+        self.pieces: dict[str, bytes] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        if any(" " in s for s in special):
             raise ValueError("an added token that holds a space can't be cut at spaces")
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece of the library's own split, by the library's BPE model."""
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= self.kept:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+            got = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
+        return got
 
     def unit(self, unit: str) -> bytes:
-        word = unit[1:] if unit[:1] == " " else unit
-        letters = word.rstrip(_MARKS)
-        if letters.isalpha() and not any(s in unit for s in self.special):
-            ids = self._piece(unit[: len(unit) - len(word) + len(letters)])
-            if len(letters) < len(word):
-                ids += self._piece(word[len(letters) :])
-        else:
+        got = self.pieces.get(unit)
+        if got is not None:
+            return got
+        start = 1 if unit[:1] == " " else 0
+        if unit[start:].isalpha():
+            return self.piece(unit)
+        letters = unit.rstrip(".,")
+        if letters[start:].isalpha():
+            return self.piece(letters) + self.piece(unit[len(letters) :])
+        if self.special.search(unit) or _RARE.search(unit):
             ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            return pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.piece, PIECES.findall(unit)))
 
-    @staticmethod
-    def units(text: str) -> list[str]:
+    def encode(self, text: str) -> bytes:
+        """Ids of one text."""
         words = text.split(" ")
-        if _ODD_SPACE.search(text) is None:
-            return [words[0], *[" " + w for w in words[1:]]]
-        out = [words[0]]
+        units = words[:1]
         for w in words[1:]:
             if not w or w[0].isspace():
-                out[-1] += " " + w
+                units[-1] += " " + w
             else:
-                out.append(" " + w)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        units = self.units(text)
-        new = set(units).difference(self.known)
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = set(units)
-        for u in new:
-            self.known[u] = self.unit(u)
-        return b"".join(map(self.known.__getitem__, units))
+                units.append(" " + w)
+        return b"".join(map(self.unit, units))
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Ids of a column of texts, chunk by chunk: number of the first text, ids, offsets by text.
+
+        Arrow splits a chunk into words and finds the distinct ones, so Python sees each of those
+        once. Null is empty. With end_id, it follows each text's ids.
+        """
+        if not len(texts):
+            return
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        chunk = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
+        starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        for a, z in zip(starts, [*starts[1:], len(chunk)], strict=True):
+            ids, offsets = self._chunk(pc.fill_null(texts.slice(a, z - a), ""), end_id)
+            yield int(a), ids, offsets
+
+    def _chunk(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        words = pc.split_pattern(texts, " ")
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        distinct = words.flatten().dictionary_encode()
+        unit_of = distinct.indices.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        table = [self.unit(" " + w) for w in distinct.dictionary.to_pylist()]
+        # A text's first word has no space before it; a text with runs of spaces is taken whole.
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
+        empty = len(table)
+        for d in odd:
+            unit_of[bounds[d] : bounds[d + 1]] = empty
+        table.append(b"")
+        firsts = [self.unit(w) for w in pc.list_element(words, 0).to_pylist()]
+        for d in odd:
+            firsts[d] = self.encode(texts[d].as_py())
+        unit_of[bounds[:-1]] = len(table) + np.arange(n)
+        table += firsts
+        if end_id is not None:
+            unit_of = np.insert(unit_of, bounds[1:], len(table))
+            bounds += np.arange(n + 1)
+            table.append(pack("<I", end_id))
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[unit_of]
+        ends = np.cumsum(sizes)
+        at = np.repeat(start[unit_of] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.frombuffer(b"".join(table), "<u4")[at]
+        return ids, np.concatenate([[0], ends])[bounds]
 
     def encode_words(self, words: Iterable[str]) -> list[list[int]]:
         """Ids of single words, each as if a space stood before it."""

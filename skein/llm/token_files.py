@@ -28,8 +28,6 @@ from skein.llm.common import fresh_path, lists_of, shuffle_partitions, table
 from skein.llm.subwords import default_tokenizer, subwords
 
 SCHEMA = "file_no int, doc_id long, n_tokens long, start_in_file long, token_ids array<int>"
-#: Ids that one Arrow batch may hold before it is handed on.
-BATCH_IDS = 2_000_000
 
 
 def write_token_orc(
@@ -50,33 +48,18 @@ def write_token_orc(
     the table once more but encodes nothing.
     """
     tokenizer = tokenizer or default_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
     n = partitions or shuffle_partitions(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, file_no, position = subwords(tokenizer), TaskContext.get().partitionId(), 0
-
-        def batch(ids: list, parts: list[bytes]) -> pa.RecordBatch:
-            nonlocal position
-            sizes = np.array([len(p) // 4 for p in parts], np.int64)
-            ends = np.cumsum(sizes)
-            values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
-            columns = [pa.array(np.full(len(ids), file_no, np.int32)), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(position + ends - sizes), lists_of(np.concatenate([[0], ends]), values)]
-            position += int(ends[-1])
-            return pa.RecordBatch.from_arrays(columns, ["file_no", "doc_id", "n_tokens", "start_in_file", "token_ids"])
-
         for b in batches:
-            ids, parts, held = [], [], 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = enc.encode(text or "") + end
-                ids.append(doc_id)
-                parts.append(part)
-                held += len(part) // 4
-                if held > BATCH_IDS:
-                    yield batch(ids, parts)
-                    ids, parts, held = [], [], 0
-            if ids:
-                yield batch(ids, parts)
+            for first, ids, offsets in enc.encode_column(b.column(1), end_id):
+                sizes = np.diff(offsets)
+                doc_ids = b.column(0).slice(first, len(sizes))
+                lists = lists_of(offsets, pa.array(ids.view("<i4")))
+                columns = [pa.array(np.full(len(sizes), file_no, np.int32)), doc_ids, pa.array(sizes), pa.array(position + offsets[:-1]), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["file_no", "doc_id", "n_tokens", "start_in_file", "token_ids"])
+                position += len(ids)
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
