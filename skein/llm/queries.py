@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.llm.fingerprints import op4_fingerprints
 from skein.llm.mixing import OP8_SQL, op8_mixing
+from skein.llm.ngram_join import op9_ngram_join
 from skein.llm.packing import op3_packing
 from skein.llm.quality import op10_quality
 from skein.llm.secret_scan import op7_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_vector_search": op6_vector_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
 
