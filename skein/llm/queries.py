@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from skein.llm.fingerprints import op4_fingerprints
 from skein.llm.mixing import OP8_SQL, op8_mixing
 from skein.llm.ngram_join import op9_ngram_join
@@ -22,6 +23,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
+#: Queries without an entry run models, tokenizers or iterations, which SQL can't express.
 ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}

@@ -141,8 +141,8 @@ def find_spans(text: str, words: dict[str, int], least_cost: float) -> list[tupl
 SPANS = "array<struct<kind: string, start: long, end: long, cost: double>>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 8.0, tokenizer: str | None = None, mask: str | None = None) -> DataFrame:
-    """doc_id and spans; with `mask`, also text, in which a mask stands for each stretch of spans."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 8.0, tokenizer: str | None = None, mask: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, spans and kept columns; with `mask`, also text, in which a mask stands for each stretch of spans."""
     tokenizer = tokenizer or default_tokenizer()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
 
@@ -152,12 +152,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
             texts = b.column(1).to_pylist()
             found = [find_spans(t, words, least_cost) if t else [] for t in texts]
             columns = [b.column(0), pa.array([[{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in x] for x in found], kind)]
+            columns += b.columns[2:]
             if mask is not None:
                 columns.append(pa.array([masked(t, x, mask) if x else t for t, x in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans", "text"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans", *keep, "text"][: len(columns)])
 
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(run, f"doc_id long, spans {SPANS}" + ", text string" * (mask is not None))
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return thin.mapInArrow(run, f"doc_id long, spans {SPANS}{kept}" + ", text string" * (mask is not None))
 
 
 def masked(text: str, spans: list[tuple[int, int, int, float | None]], mask: str) -> str:
