@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from skein.llm.fingerprints import op4_fingerprints
+from skein.llm.lm_scoring import op2_lm_scoring
 from skein.llm.mixing import OP8_SQL, op8_mixing
 from skein.llm.ngram_join import op9_ngram_join
 from skein.llm.packing import op3_packing
@@ -15,6 +16,7 @@ from skein.llm.vector_search import op6_vector_search
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
