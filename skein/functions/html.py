@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,10 +117,18 @@ def infobox(html: str | None) -> dict[str, str]:
     return out
 
 
+def _each(f):
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return run
+
+
 def html_sections(c: Column | str) -> Column:
     kind = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType())]))
-    return F.pandas_udf(lambda s: s.map(sections), kind, F.PandasUDFType.SCALAR)(c)
+    return F.pandas_udf(_each(sections), kind)(c)
 
 
 def html_infobox(c: Column | str) -> Column:
-    return F.pandas_udf(lambda s: s.map(infobox), T.MapType(T.StringType(), T.StringType()), F.PandasUDFType.SCALAR)(c)
+    return F.pandas_udf(_each(infobox), T.MapType(T.StringType(), T.StringType()))(c)

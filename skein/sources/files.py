@@ -28,11 +28,12 @@ def read_processed(spark: SparkSession, path: str, max_docs: int | None = None,
         df = df.where(F.col("file").isin(only))
     if max_docs is not None:
         df = df.orderBy("file").limit(max_docs)
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # Spark wants another column beside the one for broken records; a broken file has no title.
+    return df.where(F.col("_corrupt_record").isNull() | F.col("title").isNotNull()).drop("_corrupt_record")
 
 
 def skipped_files(spark: SparkSession, path: str) -> DataFrame:
-    return _json_files(spark, path, schemas.PROCESSED).select("file", "_corrupt_record").cache().where(F.col("_corrupt_record").isNotNull())
+    return _json_files(spark, path, schemas.PROCESSED).where(F.col("_corrupt_record").isNotNull() & F.col("title").isNull()).select("file", "_corrupt_record")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
