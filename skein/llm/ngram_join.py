@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import table, written
+from skein.llm.common import removed, table, written
 
 SHINGLE = 4
 #: 100 * intersection >= PERCENT * union.
@@ -51,6 +51,8 @@ LONG = 48
 #: A prefix element in more documents than this is frequent; at most FREQUENT_MOST are listed.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
 _BITS = 1 << 24
+#: The position of an entry of two elements.
+PAIR = (1 << 31) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -156,9 +158,12 @@ def boundary_for(mean_list: float, least: int = 6, most: int = 200) -> int:
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
-    """token, k1, k2, n, pos: index entries of each set that a task sees for the first time."""
+    """token, k1, place: index entries of each set that a task sees for the first time.
+
+    place holds the set's size and the element's position, or the least position for two elements.
+    """
     both = -(-PERCENT * (boundary + 1) // 100)
-    names = ["token", "k1", "k2", "n", "pos"]
+    names = ["token", "k1", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -185,7 +190,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
                 if n <= boundary:
                     i, j = np.triu_indices(p + 1, 1)
                     part.append(_mix(_mix(rare[i]) + rare[j]))
-                    pos.append(np.zeros(len(i), np.int64))
+                    pos.append(np.full(len(i), PAIR, np.int64))
                 if n >= both:
                     part.append(rare[:p])
                     pos.append(np.arange(p))
@@ -196,11 +201,11 @@ def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
                 sizes.append(len(t))
                 ns.append(n)
             if tokens:
-                k = np.repeat(np.array(keys, np.int64), sizes, axis=0)
-                arrays = [np.concatenate(tokens).view(np.int64), np.ascontiguousarray(k[:, 0]), np.ascontiguousarray(k[:, 1]), np.repeat(np.array(ns, np.int32), sizes), np.concatenate(places).astype(np.int32)]
+                k1 = np.repeat(np.array([k[0] for k in keys], np.int64), sizes)
+                arrays = [np.concatenate(tokens).view(np.int64), k1, (np.repeat(np.array(ns, np.int64), sizes) << 32) | np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
 
-    return _ids_and_texts(docs).mapInArrow(run, "token long, k1 long, k2 long, n int, pos int")
+    return _ids_and_texts(docs).mapInArrow(run, "token long, k1 long, place long")
 
 
 def _allows(na: Column, nb: Column) -> Column:
@@ -285,17 +290,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From index entries (token, node, n, pos): pairs of short lists, and (centre, member) of long ones."""
+    """From index entries (token, node, n, pos): pairs of short lists, and (centre, member) of long ones.
+
+    A pair stays if what its prefixes share, and what may follow them, reaches a link's intersection:
+    shared elements of short lists are counted, those of long lists are allowed for, and beyond the
+    prefixes no more can be shared than the longer rest holds.
+    """
     size = F.floor(F.log("n") / F.lit(math.log(100 / PERCENT))).cast("int")
-    entries = members.withColumn("range", F.explode(F.array(size, size + 1)))
+    entries = members.withColumn("size", size).withColumn("range", F.explode(F.array(F.col("size"), F.col("size") + 1)))
     lists = entries.groupBy("token", "range").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
     entries = written(entries.join(lists, ["token", "range"]), "join-entries")
-    short = entries.where(F.col("members") <= LONG).select("token", "range", "node", "n", "pos")
-    x, y = short.alias("x"), short.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    x, y = (entries.where(F.col("members") <= LONG).select("token", "range", "size", "node", "n", "pos").alias(k) for k in "xy")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.range") == F.col("y.range")) & (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, on & _allows(F.col("x.n"), F.col("y.n")) & (rest >= _link_needs(F.col("x.n"), F.col("y.n"))))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    on = on & (F.col("x.range") == F.greatest("x.size", "y.size")) & _allows(F.col("x.n"), F.col("y.n"))  # each shared element once
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    pair = F.col("x.pos") == PAIR
+    pairs = x.join(y, on).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = pairs.agg(F.max(pair).alias("by_pair"), F.count_if(~pair).alias("k"), F.max(F.when(~pair, rest)).alias("rest"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
+    often = entries.where(F.col("members") > LONG).groupBy("node").agg(F.countDistinct("token").alias("often"))
+    for end in "ab":
+        pairs = pairs.join(often.select(F.col("node").alias(end), F.col("often").alias(f"often_{end}")), end, "left")
+    beyond = lambda n: F.ceil(n * PERCENT / F.lit(100.0) - F.lit(1e-9)) - 1
+    most = F.col("k") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) + F.greatest(beyond(F.col("na")), beyond(F.col("nb")))
+    needs = _link_needs(F.col("na"), F.col("nb"))
+    pairs = pairs.where(F.col("by_pair") | ((most >= needs) & ((F.col("rest") >= needs) | (F.col("often_a").isNotNull() & F.col("often_b").isNotNull())))).select("a", "b")
     central = entries.where((F.col("members") > LONG) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     return pairs, central
 
@@ -316,15 +334,18 @@ def differences(central: DataFrame, labels: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
-    sums = written(summaries(docs), "join-sums")
-    frequent, mean_list = frequent_elements(sums)
+    whole = written(summaries(docs), "join-prefixes")
+    frequent, mean_list = frequent_elements(whole)
+    sums = written(whole.drop("prefix"), "join-sums")
+    removed(whole)
     named = sums.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     named = written(named, "join-nodes")
     entries = postings(docs.where(F.col("doc_id").isNotNull()), frequent, boundary_for(mean_list))
     of_token = Window.partitionBy("token")
-    key = F.struct("k1", "k2")
-    entries = entries.withColumn("_least", F.min(key).over(of_token)).withColumn("_most", F.max(key).over(of_token)).where(F.col("_least") != F.col("_most"))
-    entries = entries.select("token", "k1", "k2", "n", "pos").join(named, ["k1", "k2"]).groupBy("token", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    entries = entries.withColumn("_least", F.min("k1").over(of_token)).withColumn("_most", F.max("k1").over(of_token)).where(F.col("_least") != F.col("_most"))
+    # k1 alone names a set here: should two sets share it, both become candidates, and only whole sets link.
+    entries = entries.select("token", "k1", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    entries = entries.join(named.select("k1", "node"), "k1").groupBy("token", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
     pairs, central = candidates(entries)
     first = pairs.withColumn("central", F.lit(False)).union(central.withColumn("central", F.lit(True)))
     checked = written(verified(docs, written(first, "join-pairs")), "join-checked")
