@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +82,23 @@ def lists_of(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
+def tidied(run: Callable) -> Callable:
+    """run, which after its task gives back memory that Arrow and the C library hold for later.
+
+    A worker serves many tasks; without this, its size is that of its largest moment.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def quiet_threads() -> None:
     """One thread for each Python worker: the scheduler already runs one task a core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import removed, table, written
+from skein.llm.common import removed, table, tidied, written
 
 SHINGLE = 4
 #: 100 * intersection >= PERCENT * union.
@@ -61,7 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, chunk_bytes: int = 8 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[np.ndarray]:
     """The sorted set of each text, in order."""
     if not len(texts):
         return
@@ -128,7 +128,7 @@ def summaries(docs: DataFrame) -> DataFrame:
             k1, k2 = ([k[i] for k in keys] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), tokens], ["doc_id", "n", "k1", "k2", "prefix"])
 
-    return _ids_and_texts(docs).mapInArrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<long>")
+    return _ids_and_texts(docs).mapInArrow(tidied(run), "doc_id long, n int, k1 long, k2 long, prefix array<long>")
 
 
 def frequent_elements(sums: DataFrame) -> tuple[np.ndarray, float]:
@@ -205,7 +205,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
                 arrays = [np.concatenate(tokens).view(np.int64), k1, (np.repeat(np.array(ns, np.int64), sizes) << 32) | np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
 
-    return _ids_and_texts(docs).mapInArrow(run, "token long, k1 long, place long")
+    return _ids_and_texts(docs).mapInArrow(tidied(run), "token long, k1 long, place long")
 
 
 def _allows(na: Column, nb: Column) -> Column:
@@ -239,7 +239,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     thin = _ids_and_texts(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").select("node", "text", bit.alias("bit"))
-    return thin.mapInArrow(run, "node long, set binary").where(F.length("set") > 0)
+    return thin.mapInArrow(tidied(run), "node long, set binary").where(F.length("set") > 0)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             columns = [*batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(gaps, pa.int32()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "central", "linked", "n", "d", "delta"])
 
-    return with_b.select("a", "b", "central", "sa", "sb").mapInArrow(run, "a long, b long, central boolean, linked boolean, n int, d int, delta array<long>")
+    return with_b.select("a", "b", "central", "sa", "sb").mapInArrow(tidied(run), "a long, b long, central boolean, linked boolean, n int, d int, delta array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
