@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import shuffle_partitions, table
+from skein.llm.common import shuffle_partitions, table, tidied
 
 EXACT_LANES, SKETCH_LANES = 64, 192
 LANES = EXACT_LANES + SKETCH_LANES
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([written_out(fingerprint(t or "")) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, fingerprint string")
 
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
@@ -153,7 +153,7 @@ def with_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return rows.select("doc_id", "text", "range", "peek").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("doc_id", "text", "range", "peek").mapInArrow(tidied(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_texts, crc32_of_id, table
+from skein.llm.common import byte_texts, crc32_of_id, table, tidied
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -123,7 +123,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["h", "y", "pieces"])
 
     third = F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % 3 == 0
-    rows = picked.where(~third).select("h", "y", "text").mapInArrow(parts, "h string, y int, pieces array<binary>").collect()
+    rows = picked.where(~third).select("h", "y", "text").mapInArrow(tidied(parts), "h string, y int, pieces array<binary>").collect()
     rows.sort(key=lambda r: r["h"])
     by_class = [[bytes(p) for r in rows if r["y"] == y for p in r["pieces"] if len(p) >= 16] for y in (0, 1)]
     (bad, bad_trained), (good, good_trained) = (_dictionary(p, dictionary_bytes, level) for p in by_class)
@@ -155,7 +155,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             more = [pa.array(difference, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([model.score(d) for d in difference], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], [f.name for f in fields] + ["difference", "n", "score"])
 
-    return docs.select("doc_id", *keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", *keep, F.col("text").cast("string").alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def held_out() -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table
+from skein.llm.common import table, tidied
 from skein.llm.subwords import default_tokenizer
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return thin.mapInArrow(run, f"doc_id long, spans {SPANS}{kept}" + ", text string" * (mask is not None))
+    return thin.mapInArrow(tidied(run), f"doc_id long, spans {SPANS}{kept}" + ", text string" * (mask is not None))
 
 
 def masked(text: str, spans: list[tuple[int, int, int, float | None]], mask: str) -> str:

@@ -21,10 +21,10 @@ import regex
 
 from skein.llm.common import quiet_threads
 
-#: Pieces kept by a worker, about 150 MB. At the limit it begins anew.
-KEPT_PIECES = 800_000
+#: Pieces kept by a worker, about 60 MB. At the limit it begins anew.
+KEPT_PIECES = 300_000
 #: Bytes of text that are split at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: A space that Unicode white space or the end follows, for Arrow's regular expressions.
 ODD_SPACE = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 #: Fixed value: how a byte-level BPE of this family splits text into pieces.

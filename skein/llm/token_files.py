@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_path, lists_of, shuffle_partitions, table
+from skein.llm.common import fresh_path, lists_of, shuffle_partitions, table, tidied
 from skein.llm.subwords import default_tokenizer, subwords
 
 SCHEMA = "file_no int, doc_id long, n_tokens long, start_in_file long, token_ids array<int>"
@@ -65,7 +65,7 @@ def write_token_orc(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(encode, SCHEMA)
+        .mapInArrow(tidied(encode), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", row_index_stride)
@@ -101,7 +101,7 @@ def digest(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(tidied(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_texts, table
+from skein.llm.common import byte_texts, table, tidied
 
 #: (verdict, host, path)
 RULES = (
@@ -136,7 +136,7 @@ def count_cells(labelled: DataFrame, alphabet: Alphabet) -> np.ndarray:
             part = cells[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total.ravel()[part], pa.int64())], ["cell", "n"])
 
-    got = labelled.select("rejected", "url").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = labelled.select("rejected", "url").mapInArrow(tidied(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(np.prod(shape), np.float32)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(shape)
@@ -150,7 +150,7 @@ def with_scores(urls: DataFrame, model: Ratio, *keep: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(byte_texts(b.column(b.num_columns - 1))), pa.float64())], [*keep, "score"])
 
-    return urls.select(*keep, F.coalesce("url", F.lit("")).alias("_url")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
+    return urls.select(*keep, F.coalesce("url", F.lit("")).alias("_url")).mapInArrow(tidied(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
 
 
 def fit(labelled: DataFrame, order: int = 5, bits: int = 16, prior: float = 4.0) -> Ratio:

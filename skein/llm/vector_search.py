@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import table, written
+from skein.llm.common import table, tidied, written
 
 CENTROIDS = 16
 
@@ -168,7 +168,7 @@ def nearest(
             codes = Codebooks.packed(books.encode(_unit(_matrix(b.column(2))))) if len(b) else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["class", "ids", "vector", "codes"])
 
-    index = written(classes.select("class", "ids", "vector").mapInArrow(encode, "class long, ids array<long>, vector array<double>, codes binary"), "vector-index")
+    index = written(classes.select("class", "ids", "vector").mapInArrow(tidied(encode), "class long, ids array<long>, vector array<double>, codes binary"), "vector-index")
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = queries.select("vector").distinct().join(index.select("class", "vector"), "vector")
     asked = written(asked, "vector-queries")
