@@ -40,13 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc32_of_id, table, written
+from skein.llm.common import crc32_of_id, table, tidied, written
 from skein.llm.subwords import default_tokenizer, subwords
 
 FOLDS, HELD = 7, 2
-LEXICON_MOST = 1 << 17
+LEXICON_MOST = 1 << 19
 #: Classes of one unit each.
-HEAD = 180
+HEAD = 176
+#: Clusters of spellings; other units share a class by cluster and kind.
+CLUSTERS, KINDS = 16, 4
 #: Units with rows of their own in the tables; others share their class's row.
 OWN_ROWS = 2048
 WIDTH, STEP = 16, 32
@@ -57,7 +59,7 @@ def held_out() -> Column:
     return F.coalesce(crc32_of_id("doc_id", FOLDS) == HELD, F.lit(False))
 
 
-def words_of(texts: pa.Array, chunk_bytes: int = 8 << 20) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+def words_of(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
     """Chunk by chunk: number of the first text, distinct words, word numbers, bounds by text."""
     if not len(texts):
         return
@@ -97,7 +99,7 @@ def count_words(docs: DataFrame, most_held: int = 600_000) -> DataFrame:
         if held:
             yield emit()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(counts: DataFrame, most: int) -> tuple[pa.Table, int]:
@@ -123,7 +125,7 @@ def subword_counts(counts: DataFrame, limit: int, tokenizer: str) -> np.ndarray:
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["id", "n"])
 
-    got = counts.where(F.col("n") < limit).select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = counts.where(F.col("n") < limit).select("word", "n").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BPE_IDS, np.int64)
     out[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -169,23 +171,45 @@ class Units:
 
 
 def make_units(words: pa.Table, bpe: np.ndarray, ends: int, tokenizer: str) -> Units:
+    enc = subwords(tokenizer)
+    pieces = [enc.tokenizer.id_to_token(k) or "" for k in range(BPE_IDS)]
     counts = np.concatenate([[ends], words.column("n").to_numpy(), bpe]).astype(np.float64) + 0.05
     texts = words.column("word").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.array([], pa.string())
-    enc = subwords(tokenizer)
-    pieces = [enc.tokenizer.id_to_token(k) or "" for k in range(BPE_IDS)]
-    form = [0]
-    for k, w in enumerate(texts.to_pylist()):
-        form.append(4 * (k >= 4096) + 2 * (not w.isascii()) + (not w[-1:].isalnum()))
-    form += [8 + 2 * (not p.startswith("Ġ")) + (not p.isascii() if not p.startswith("Ġ") else not p[1:].isascii()) for p in pieces]
+    first = np.array([p.startswith("Ġ") for p in pieces])
+    kind = np.concatenate([[0], (np.arange(len(texts)) >= 4096).astype(np.int64), 2 + (~first)])
+    spelled = [b"", *[w.encode() for w in texts.to_pylist()], *[enc.tokenizer.decode([k]).strip().encode() for k in range(BPE_IDS)]]
     order = np.argsort(-counts, kind="stable")
-    cls, rows = HEAD + np.array(form), OWN_ROWS + np.array(form)
+    form = kind * CLUSTERS + spelling_clusters(spelled, order[:20_000], counts)
+    cls, rows = HEAD + form, OWN_ROWS + form
     cls[order[:HEAD]] = np.arange(min(HEAD, len(order)))
     rows[order[:OWN_ROWS]] = np.arange(min(OWN_ROWS, len(order)))
-    classes = HEAD + 12
+    classes = HEAD + CLUSTERS * KINDS
     total = np.bincount(cls, weights=counts, minlength=classes)
     prior = np.log(np.maximum(total, 1e-3) / np.maximum(total, 1e-3).sum())
-    return Units(texts, words.column("n").to_numpy().astype(np.int64), rows, cls, np.log(counts / total[cls]), classes, OWN_ROWS + 12, prior, tokenizer)
+    return Units(texts, words.column("n").to_numpy().astype(np.int64), rows, cls, np.log(counts / total[cls]), classes, OWN_ROWS + CLUSTERS * KINDS, prior, tokenizer)
+
+
+def spelling_clusters(spelled: list[bytes], sample: np.ndarray, counts: np.ndarray, dims: int = 256, rounds: int = 12) -> np.ndarray:
+    """A cluster for each unit: spherical k-means on hashed pairs of bytes, fitted on a bounded sample."""
+
+    def features(part: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(w) + 1 for w in part])
+        data = np.frombuffer(b"".join(b" " + w for w in part) + b" ", np.uint8).astype(np.int64)
+        pair = (data[:-1] * 31 + data[1:] * 7) % dims
+        owner = np.repeat(np.arange(len(part)), sizes)
+        f = np.bincount(owner * dims + pair, minlength=len(part) * dims).reshape(len(part), dims).astype(np.float32)
+        return f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-6)
+
+    x, w = features([spelled[k] for k in sample]), np.sqrt(counts[sample])[:, None].astype(np.float32)
+    mid = x[np.linspace(0, len(x) - 1, CLUSTERS).astype(int)]
+    for _ in range(rounds):
+        near = (x @ mid.T).argmax(1)
+        for c in range(CLUSTERS):
+            if (near == c).any():
+                m = (x[near == c] * w[near == c]).sum(0)
+                mid[c] = m / max(float(np.linalg.norm(m)), 1e-6)
+    return np.concatenate([(features(spelled[a : a + 8192]) @ mid.T).argmax(1) for a in range(0, len(spelled), 8192)])
 
 
 class Attention:
@@ -193,6 +217,7 @@ class Attention:
 
     def __init__(self, weights: list[np.ndarray]):
         self.weights = weights
+        self.kept: tuple | None = None
 
     @staticmethod
     def start(rows: int, prior: np.ndarray, seed: int = 1) -> Attention:
@@ -222,13 +247,39 @@ class Attention:
         return xq, gap, q, k, v, s, h, z
 
     def log_classes(self, x: np.ndarray, ok: np.ndarray, first: int, target: np.ndarray) -> np.ndarray:
-        """Log probability of the target classes (windows, length - first)."""
-        z = self.forward(x, ok, first)[-1]
-        got = z[np.arange(len(z)), target.ravel()]
-        top = z.max(1, keepdims=True)
-        z -= top
-        np.exp(z, out=z)
-        return (got - top[:, 0] - np.log(z.sum(1))).reshape(target.shape)
+        """Log probability of the target classes (windows, length - first).
+
+        The sums of exponentials are taken without a shift, which spares passes over the arrays;
+        should one overflow, the shifted way gives the result.
+        """
+        q_, k_, v_, own, bias, out, prior = self.weights
+        n = x.shape[1]
+        gap = np.arange(first, n)[:, None] - np.arange(n)[None, :]
+        rel = np.where(gap >= 0, bias[np.clip(gap, 0, len(bias) - 1)], np.float32(-1e9))
+        xq, at = x[:, first:], np.arange(target.size)
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = np.matmul((q_ * np.float32(1 / math.sqrt(WIDTH)))[xq], k_[x].transpose(0, 2, 1))
+            s += rel
+            part = np.flatnonzero(~ok.all(1))
+            s[part] += np.where(ok[part], np.float32(0), np.float32(-1e9))[:, None, :]
+            np.exp(s, out=s)
+            h = np.matmul(s, v_[x])
+            h /= s.sum(-1, keepdims=True)
+            h += own[xq]
+            # The class bias is one more row of the output; arrays this large are kept for the next call.
+            if self.kept is None or len(self.kept[0]) < target.size:
+                self.kept = np.empty((target.size, len(prior)), np.float32), np.ones((target.size, WIDTH + 1), np.float32), np.concatenate([out, prior[None, :]])
+            z, wide = self.kept[0][: target.size], self.kept[1][: target.size]
+            wide[:, :WIDTH] = h.reshape(-1, WIDTH)
+            np.matmul(wide, self.kept[2], out=z)
+            got = z[at, target.ravel()]
+            np.exp(z, out=z)
+            logs = got - np.log(z.sum(1))
+        if not np.isfinite(logs).all():
+            z = self.forward(x, ok, first)[-1]
+            got, top = z[at, target.ravel()], z.max(1, keepdims=True)
+            logs = got - top[:, 0] - np.log(np.exp(z - top).sum(1))
+        return logs.reshape(target.shape)
 
     def gradients(self, x: np.ndarray, ok: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, list[np.ndarray]]:
         q_, k_, v_, own, bias, out, _ = self.weights
@@ -261,6 +312,7 @@ class Attention:
 
     def train(self, windows: np.ndarray, units: Units, epochs: int, rate: float, batch: int = 32, seed: int = 2) -> float:
         """Adam over windows of units (windows, length + 1), -1 where a text has ended."""
+        self.kept = None
         rng = np.random.default_rng(seed)
         first = [np.zeros_like(w) for w in self.weights]
         second = [np.zeros_like(w) for w in self.weights]
@@ -285,24 +337,29 @@ def windows_of(docs: DataFrame, shared) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_windows(b, shared.value).tolist(), pa.list_(pa.int64()))], ["window"])
 
-    return docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)).alias("at")).mapInArrow(run, "window array<long>")
+    return docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)).alias("at")).mapInArrow(tidied(run), "window array<long>")
 
 
-def _windows(b: pa.RecordBatch, units: Units) -> np.ndarray:
-    places, out = b.column(1).to_pylist(), []
+def _windows(b: pa.RecordBatch, units: Units, length: int = 2 * STEP) -> np.ndarray:
+    """length + 1 units of each text, -1 after its end. A text's start is preceded by an end."""
+    places, out = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), []
     for first, distinct, numbers, bounds in words_of(b.column(0)):
         # Only the words near the window are made units: a word is at least one unit.
-        for k in range(len(bounds) - 1):
-            own = numbers[bounds[k] : bounds[k + 1]]
-            start = places[first + k] % max(1, len(own) - 2 * STEP + 2)
-            part = own[start : start + 2 * STEP + 1]
-            got = units.of_texts(distinct.take(pa.array(part)), np.arange(len(part)), np.array([0, len(part)]))[0] if len(part) else np.zeros(1, np.int64)
-            if start + len(part) < len(own):
-                got = got[:-1]  # the text goes on: no end
-            text = np.concatenate([[0], got]) if start == 0 else got
-            text = text[: 2 * STEP + 1]
-            out.append(np.concatenate([text, np.full(2 * STEP + 1 - len(text), -1)]))
-    return np.array(out).reshape(-1, 2 * STEP + 1)
+        size = np.diff(bounds)
+        start = places[first : first + len(size)] % np.maximum(1, size - length + 2)
+        taken = np.minimum(size - start, length + 1)
+        at = np.repeat(bounds[:-1] + start - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
+        used, numbers = np.unique(numbers[at], return_inverse=True)
+        own, cuts, _ = units.of_texts(distinct.take(pa.array(used)), numbers, np.concatenate([[0], np.cumsum(taken)]))
+        for k in range(len(size)):
+            text = own[cuts[k] : cuts[k + 1]]
+            if start[k] + taken[k] < size[k]:
+                text = text[:-1]  # the text goes on: no end
+            if start[k] == 0:
+                text = np.concatenate([[0], text])
+            text = text[: length + 1]
+            out.append(np.concatenate([text, np.full(length + 1 - len(text), -1)]))
+    return np.array(out).reshape(-1, length + 1)
 
 
 def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> list[np.ndarray]:
@@ -327,7 +384,7 @@ def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> l
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["slot", "value", "seen"])
 
     thin = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)).alias("at"))
-    got = thin.mapInArrow(run, "slot long, value double, seen long").groupBy("slot").agg((F.sum("value") / F.sum("seen")).alias("v")).toArrow()  # a row each weight
+    got = thin.mapInArrow(tidied(run), "slot long, value double, seen long").groupBy("slot").agg((F.sum("value") / F.sum("seen")).alias("v")).toArrow()  # a row each weight
     if not len(got):
         return start
     flat = np.zeros(sum(w.size for w in start))
@@ -339,7 +396,7 @@ def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> l
     return out
 
 
-def text_scores(model: Attention, units: Units, own: np.ndarray, bounds: np.ndarray, at_once: int = 256) -> np.ndarray:
+def text_scores(model: Attention, units: Units, own: np.ndarray, bounds: np.ndarray, at_once: int = 64) -> np.ndarray:
     """Natural log probability of each text: windows that overlap by half, each unit scored once."""
     sizes = np.diff(bounds)
     per = -(-sizes // STEP)
@@ -407,7 +464,7 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, le
 
     names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word"]
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = written(thin.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string"), "lm-scores")
+    both = written(thin.mapInArrow(tidied(run), "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string"), "lm-scores")
     rare = both.where(F.col("word").isNotNull()).select("row", F.col("n_tokens").alias("k"), "word").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 1) / F.lit(whole))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(F.lit(0))).alias("more_known"))
