@@ -22,6 +22,8 @@ from skein.llm.secret_scan import scan
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MASK = "<secret>"
+#: Near-duplicates: words of a shingle, and the percentage that two sets share of their union.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays; rows without id stay."""
-    found = written(join_components(docs), "pipeline-components")
+    found = written(join_components(docs, NEAR_WIDTH, NEAR_PERCENT), "pipeline-components")
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 

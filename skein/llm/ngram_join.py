@@ -1,12 +1,13 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles, and its components.
 
-A document's set is its distinct 4-word shingles (64-bit hashes). Two sets link when
-100 * intersection >= 85 * union. The result is exact up to hash collisions; all steps are joins,
+A document's set is its distinct shingles of `width` words (64-bit hashes). Two sets link when
+100 * intersection >= percent * union: 4 words and 85 in op9_ngram_join, whose contract names them;
+other callers give their own. The result is exact up to hash collisions; all steps are joins,
 aggregates and passes over the texts.
 
 1. Equal sets are one node, named after the smallest document id among them.
 2. Elements are ordered: those frequent among prefixes last (a bounded list), else by hash. Two
-   linked sets of n elements or more share an element among the first n - ceil(0.85 n) + 1 of each.
+   linked sets of n elements or more share an element among the first n - ceil(n * percent / 100) + 1 of each.
 3. Light sets, of at most `boundary` elements, are indexed by every subset of two elements of the
    prefix longer by one; heavy sets by single elements, whose inverted lists are scanned; light sets
    that can link with a heavy one have both. The boundary is the largest size at which the subsets
@@ -24,7 +25,7 @@ aggregates and passes over the texts.
    concerned. Components come from minimum labels with pointer jumping, each round a written table.
 
 Defined cases: a null or empty text, or one without words, has no set and links with nothing. Fewer
-words than four are one element. Rows with equal ids and different texts are one node with several
+words than `width` are one element. Rows with equal ids and different texts are one node with several
 sets. A null id gets a null component and no row of a null id names a component. An empty table gives
 no row. Other columns of the input don't matter.
 """
@@ -43,9 +44,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import removed, table, tidied, written
 
-SHINGLE = 4
-#: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: The contract of op9_ngram_join: words of a shingle, and 100 * intersection >= PERCENT * union.
+SHINGLE, PERCENT = 4, 85
 #: Lists of more members than this are long.
 LONG = 48
 #: A prefix element in more documents than this is frequent; at most FREQUENT_MOST are listed.
@@ -61,7 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = SHINGLE, chunk_bytes: int = 4 << 20) -> Iterator[np.ndarray]:
     """The sorted set of each text, in order."""
     if not len(texts):
         return
@@ -69,10 +69,10 @@ def shingle_sets(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[np.nda
     chunk = sizes // chunk_bytes
     starts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(texts)]
     for a, z in zip(starts, starts[1:], strict=False):
-        yield from _chunk_sets(pc.fill_null(texts.slice(a, z - a), ""))
+        yield from _chunk_sets(pc.fill_null(texts.slice(a, z - a), ""), width)
 
 
-def _chunk_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def _chunk_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     bounds = words.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
@@ -82,10 +82,13 @@ def _chunk_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     h = of_word[distinct.indices.to_numpy()][real] if len(flat) else np.zeros(0, np.uint64)
     bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
-    s = _mix(_mix(_mix(_mix(h[:-3]) + h[1:-2]) + h[2:-1]) + h[3:]) if len(h) >= SHINGLE else h[:0]
+    m = max(0, len(h) - width + 1)
+    s = _mix(h[:m])
+    for k in range(1, width):
+        s = _mix(s + h[k : k + m])
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if z - a >= SHINGLE:
-            yield np.unique(s[a : z - SHINGLE + 1])
+        if z - a >= width:
+            yield np.unique(s[a : z - width + 1])
         elif z > a:
             v = np.array([z - a], np.uint64)
             for w in h[a:z]:
@@ -100,29 +103,29 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(s ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-def needed(n: int) -> int:
+def needed(n: int, percent: int = PERCENT) -> int:
     """Least intersection of a set of n elements with any set that it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def prefix(n: int) -> int:
-    return n - needed(n) + 1
+def prefix(n: int, percent: int = PERCENT) -> int:
+    return n - needed(n, percent) + 1
 
 
 def _ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def summaries(docs: DataFrame) -> DataFrame:
+def summaries(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, k1, k2 and the prefix by hash order of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, parts = [], [], []
-            for s in shingle_sets(b.column(1)):
+            for s in shingle_sets(b.column(1), width):
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else (0, 0))
-                parts.append(s[: prefix(len(s))] if len(s) else s)
+                parts.append(s[: prefix(len(s), percent)] if len(s) else s)
             offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
             k1, k2 = ([k[i] for k in keys] for i in (0, 1))
@@ -148,28 +151,28 @@ def frequent_elements(sums: DataFrame) -> tuple[np.ndarray, float]:
     return listed, float(mean or 1.0)
 
 
-def boundary_for(mean_list: float, least: int = 6, most: int = 200) -> int:
+def boundary_for(mean_list: float, percent: int = PERCENT, least: int = 6, most: int = 200) -> int:
     """The largest size whose subsets cost no more than the scan of as many lists as its prefix."""
     best = least
     for n in range(least, most + 1):
-        if (prefix(n) + 1) / 2 <= mean_list:
+        if (prefix(n, percent) + 1) / 2 <= mean_list:
             best = n
     return best
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
+def postings(docs: DataFrame, frequent: np.ndarray, boundary: int, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """token, k1, place: index entries of each set that a task sees for the first time.
 
     place holds the set's size and the element's position, or the least position for two elements.
     """
-    both = -(-PERCENT * (boundary + 1) // 100)
+    both = needed(boundary + 1, percent)
     names = ["token", "k1", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             tokens, keys, sizes, ns, places = [], [], [], [], []
-            for s in shingle_sets(b.column(1)):
+            for s in shingle_sets(b.column(1), width):
                 n = len(s)
                 if n < 2:  # one element links with its equal alone
                     continue
@@ -179,7 +182,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(key)
-                p = prefix(n)
+                p = prefix(n, percent)
                 rare = s
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -208,17 +211,17 @@ def postings(docs: DataFrame, frequent: np.ndarray, boundary: int) -> DataFrame:
     return _ids_and_texts(docs).mapInArrow(tidied(run), "token long, k1 long, place long")
 
 
-def _allows(na: Column, nb: Column) -> Column:
+def _allows(na: Column, nb: Column, percent: int) -> Column:
     """Sizes allow a link."""
-    return F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def _link_needs(na: Column, nb: Column) -> Column:
+def _link_needs(na: Column, nb: Column, percent: int) -> Column:
     """Least intersection of a link between sets of these sizes."""
-    return F.ceil((na + nb) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+    return F.ceil((na + nb) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """node and set (bytes of sorted elements) of the nodes listed in `nodes` (column node).
 
     A bit array of fixed size, made from the nodes by a shuffle, spares the other texts; the join
@@ -235,18 +238,18 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             own = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             kept = b.filter(pa.array(own))
             if len(kept):
-                sets = [s.tobytes() for s in shingle_sets(kept.column(1))]
+                sets = [s.tobytes() for s in shingle_sets(kept.column(1), width)]
                 yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     thin = _ids_and_texts(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").select("node", "text", bit.alias("bit"))
     return thin.mapInArrow(tidied(run), "node long, set binary").where(F.length("set") > 0)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b, central. Adds linked, n (of b), d (size of the difference) and, for central
     pairs, delta: the prefix of b's difference from a, elements gained before elements lost."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, nodes), "join-sets")
+    sets = written(sets_of(docs, nodes, width), "join-sets")
     with_a = pairs.join(sets.withColumnRenamed("set", "sa"), F.col("a") == F.col("node")).drop("node")
     with_b = with_a.join(sets.withColumnRenamed("set", "sb"), F.col("b") == F.col("node")).drop("node")
 
@@ -258,12 +261,12 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = np.searchsorted(a, b)
                 common = a[np.minimum(at, len(a) - 1)] == b
                 both = int(common.sum())
-                linked.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
                 sizes.append(len(b))
                 gaps.append(len(a) + len(b) - 2 * both)
                 delta = np.zeros(0, np.uint64)
                 if central:
-                    most = (100 - PERCENT) * len(b) // PERCENT + 1
+                    most = (100 - percent) * len(b) // percent + 1
                     delta = np.concatenate([b[~common], np.setdiff1d(a, b, assume_unique=True)])[:most]
                 deltas.append(delta.view(np.int64))
             offsets = np.cumsum([0, *map(len, deltas)]).astype(np.int32)
@@ -289,20 +292,20 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
-def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(members: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """From index entries (token, node, n, pos): pairs of short lists, and (centre, member) of long ones.
 
     A pair stays if what its prefixes share, and what may follow them, reaches a link's intersection:
     shared elements of short lists are counted, those of long lists are allowed for, and beyond the
     prefixes no more can be shared than the longer rest holds.
     """
-    size = F.floor(F.log("n") / F.lit(math.log(100 / PERCENT))).cast("int")
+    size = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
     entries = members.withColumn("size", size).withColumn("range", F.explode(F.array(F.col("size"), F.col("size") + 1)))
     lists = entries.groupBy("token", "range").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
     entries = written(entries.join(lists, ["token", "range"]), "join-entries")
     x, y = (entries.where(F.col("members") <= LONG).select("token", "range", "size", "node", "n", "pos").alias(k) for k in "xy")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.range") == F.col("y.range")) & (F.col("x.node") < F.col("y.node"))
-    on = on & (F.col("x.range") == F.greatest("x.size", "y.size")) & _allows(F.col("x.n"), F.col("y.n"))  # each shared element once
+    on = on & (F.col("x.range") == F.greatest("x.size", "y.size")) & _allows(F.col("x.n"), F.col("y.n"), percent)  # each shared element once
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     pair = F.col("x.pos") == PAIR
     pairs = x.join(y, on).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -310,15 +313,15 @@ def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = entries.where(F.col("members") > LONG).groupBy("node").agg(F.countDistinct("token").alias("often"))
     for end in "ab":
         pairs = pairs.join(often.select(F.col("node").alias(end), F.col("often").alias(f"often_{end}")), end, "left")
-    beyond = lambda n: F.ceil(n * PERCENT / F.lit(100.0) - F.lit(1e-9)) - 1
+    beyond = lambda n: F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) - 1
     most = F.col("k") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) + F.greatest(beyond(F.col("na")), beyond(F.col("nb")))
-    needs = _link_needs(F.col("na"), F.col("nb"))
+    needs = _link_needs(F.col("na"), F.col("nb"), percent)
     pairs = pairs.where(F.col("by_pair") | ((most >= needs) & ((F.col("rest") >= needs) | (F.col("often_a").isNotNull() & F.col("often_b").isNotNull())))).select("a", "b")
     central = entries.where((F.col("members") > LONG) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     return pairs, central
 
 
-def differences(central: DataFrame, labels: DataFrame) -> DataFrame:
+def differences(central: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of members of one centre, of different components, whose differences allow a link."""
     m = central.join(labels.withColumnRenamed("node", "b"), "b", "left")
     m = m.select("a", "b", "linked", "n", "d", F.coalesce("label", "b").alias("label"), F.posexplode("delta").alias("pos", "token"))
@@ -326,38 +329,38 @@ def differences(central: DataFrame, labels: DataFrame) -> DataFrame:
     x, y = m.alias("x"), m.alias("y")
     on = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.b") < F.col("y.b"))
     apart = ~(F.col("x.linked") & F.col("y.linked")) & (F.col("x.label") != F.col("y.label"))
-    spare = F.floor((F.col("x.n") + F.col("y.n")) * F.lit(100 - PERCENT) / F.lit(100.0 + PERCENT) + F.lit(1e-9))
+    spare = F.floor((F.col("x.n") + F.col("y.n")) * F.lit(100 - percent) / F.lit(100.0 + percent) + F.lit(1e-9))
     shared = F.least(F.col("x.d") - F.col("x.pos"), F.col("y.d") - F.col("y.pos"))
-    close = _allows(F.col("x.n"), F.col("y.n")) & (2 * shared >= F.col("x.d") + F.col("y.d") - spare)
+    close = _allows(F.col("x.n"), F.col("y.n"), percent) & (2 * shared >= F.col("x.d") + F.col("y.d") - spare)
     return x.join(y, on & apart & close).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
-def join_components(docs: DataFrame) -> DataFrame:
+def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
-    whole = written(summaries(docs), "join-prefixes")
+    whole = written(summaries(docs, width, percent), "join-prefixes")
     frequent, mean_list = frequent_elements(whole)
     sums = written(whole.drop("prefix"), "join-sums")
     removed(whole)
     named = sums.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     named = written(named, "join-nodes")
-    entries = postings(docs.where(F.col("doc_id").isNotNull()), frequent, boundary_for(mean_list))
+    entries = postings(docs.where(F.col("doc_id").isNotNull()), frequent, boundary_for(mean_list, percent), width, percent)
     of_token = Window.partitionBy("token")
     entries = entries.withColumn("_least", F.min("k1").over(of_token)).withColumn("_most", F.max("k1").over(of_token)).where(F.col("_least") != F.col("_most"))
     # k1 alone names a set here: should two sets share it, both become candidates, and only whole sets link.
     entries = entries.select("token", "k1", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
     entries = entries.join(named.select("k1", "node"), "k1").groupBy("token", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-    pairs, central = candidates(entries)
+    pairs, central = candidates(entries, percent)
     first = pairs.withColumn("central", F.lit(False)).union(central.withColumn("central", F.lit(True)))
-    checked = written(verified(docs, written(first, "join-pairs")), "join-checked")
+    checked = written(verified(docs, written(first, "join-pairs"), width, percent), "join-checked")
     links = checked.where("linked").select("a", "b")
     several = sums.join(named, ["k1", "k2"]).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
     links = written(links.union(several.select("a", "b")), "join-links")
     labels = components(links)
     central = checked.where("central")
     if central.limit(1).count():
-        more = written(differences(central, labels).withColumn("central", F.lit(False)), "join-more")
+        more = written(differences(central, labels, percent).withColumn("central", F.lit(False)), "join-more")
         if more.limit(1).count():
-            links = links.union(verified(docs, more).where("linked").select("a", "b"))
+            links = links.union(verified(docs, more, width, percent).where("linked").select("a", "b"))
             labels = components(written(links, "join-links"))
     where = named.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component"))
     out = sums.select("doc_id", "n", "k1", "k2").join(where, ["k1", "k2"], "left")
@@ -366,4 +369,4 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(table(spark, sf_dir, "documents"))
+    return join_components(table(spark, sf_dir, "documents"), SHINGLE, PERCENT)
