@@ -9,8 +9,9 @@ Patterns, leftmost and non-overlapping for each kind:
 Guess cost: a value that follows a credential word is segmented by dynamic programming into ranked
 words, dates, repeats, keyboard walks and brute-force spans, so that the estimated number of guesses
 is least. A value whose cost reaches `least_cost` (a power of ten) becomes a span of the kind guess,
-which covers the value alone. An unquoted value of letters alone is prose and is left out. The
-program looks back at most 20 characters for words, so a long value takes time in proportion to it.
+which covers the value alone. Values of letters alone are costed like others: ranked words keep
+prose cheap. The program looks back at most 20 characters for words, so a long value takes time in
+proportion to it.
 
 Positions are code points, ends exclusive. Every task works on its own rows; nothing is shuffled.
 
@@ -124,11 +125,11 @@ def find_spans(text: str, words: dict[str, int], least_cost: float) -> list[tupl
         spans += [(m.start(), 0, m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         for m in CONTEXT.finditer(text):
             value, start = m[1], m.start(1)
-            if quoted := value[0] in "\"'" and len(value) > 1:
+            if value[0] in "\"'" and len(value) > 1:
                 value, start = value[1:-1], start + 1
             else:
                 value = value.rstrip(".)]}:!?")
-            if len(value) >= 6 and (quoted or not value.isalpha()):
+            if len(value) >= 6:
                 cost = guess_cost(value, words)
                 if cost >= least_cost:
                     spans.append((start, 3, start + len(value), cost))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from skein.llm import ngram_join
+from skein.llm import ngram_join, secret_scan
 
 
 def linked_sets(texts, width, percent):
@@ -53,3 +53,12 @@ def test_near_duplicates_of_one_document_with_two_changed_words(spark):
     other = [*words[:30], "x", *words[31:60], "y", *words[61:]]
     df = spark.createDataFrame([(k, " ".join(w), "en", "s", 1) for k, w in enumerate((words, other, other[:50] + ["z"] * 50))], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 2]
+
+
+def test_secrets_of_letters_alone(spark):
+    texts = ["pwd=QwXzRtYpLkMnVb", "passphrase: qzxwvkjhgf,", "access_key = QwXzRtYpLk.", "authorization: Bearer qzxwvkjhgf", "the passphrase is required, its credential is documentation."]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "guess"] for r in secret_scan.scan(df).collect()}
+    assert got == {0: ["QwXzRtYpLkMnVb"], 1: ["qzxwvkjhgf"], 2: ["QwXzRtYpLk"], 3: ["qzxwvkjhgf"], 4: []}
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, df, "").collect()}
+    assert masked[0] == "pwd=<secret>" and masked[1] == "passphrase: <secret>," and masked[4] == texts[4]
