@@ -12,8 +12,9 @@ rows of tables; attention has one head with a learnt bias for each distance; the
 unit's own row, so the model starts as a class bigram and learns what the context adds.
 
 Training: a start from a bounded sample of windows on the driver, then one round in which every
-training document gives one window to its task, tasks train from the start, and the weights are
-averaged by a shuffle, weighted by windows.
+training document gives all its windows to its task, so that each of its units is a target once.
+Tasks train from the start, block by block, and the weights are averaged by a shuffle, weighted by
+windows.
 
 Scoring: windows of 2 * `step` units that overlap by half; each unit is scored once, with at least
 `step` units of context where the text has them, in batches under a causal mask.
@@ -52,6 +53,8 @@ CLUSTERS, KINDS = 16, 4
 #: Units with rows of their own in the tables; others share their class's row.
 OWN_ROWS = 2048
 WIDTH, STEP = 16, 32
+#: Windows that a task trains on at once.
+BLOCK = 4096
 BPE_IDS = 50257
 
 
@@ -362,8 +365,23 @@ def _windows(b: pa.RecordBatch, units: Units, length: int = 2 * STEP) -> np.ndar
     return np.array(out).reshape(-1, length + 1)
 
 
+def all_windows(texts: pa.Array, units: Units, length: int = 2 * STEP) -> Iterator[np.ndarray]:
+    """Windows of length + 1 units, -1 after a text's end, that hold each unit of the texts as a target once."""
+    for _, distinct, numbers, bounds in words_of(texts):
+        own, cuts, _ = units.of_texts(distinct, numbers, bounds)
+        size = np.diff(cuts)
+        per = -(-size // length)
+        text = np.repeat(np.arange(len(size)), per)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+        for a in range(0, len(text), BLOCK):
+            t = text[a : a + BLOCK]
+            at = (nth[a : a + BLOCK] * length)[:, None] + np.arange(length + 1)[None, :]  # 0 is the end before the text
+            unit = own[np.clip(cuts[t][:, None] + at - 1, 0, len(own) - 1)]
+            yield np.where(at > size[t][:, None], -1, np.where(at > 0, unit, 0))
+
+
 def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> list[np.ndarray]:
-    """Weights after every task has trained from `start` on one window of each of its texts."""
+    """Weights after every task has trained from `start` on all windows of its texts."""
     sc = docs.sparkSession.sparkContext
     begun = sc.broadcast(start)
 
@@ -371,11 +389,12 @@ def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> l
         units, model, seen = shared.value, Attention([w.copy() for w in begun.value]), 0
         held: list[np.ndarray] = []
         for b in batches:
-            held.append(_windows(b, units))
-            if sum(map(len, held)) >= 4096:
-                got = np.concatenate(held)
-                model.train(got, units, 1, rate)
-                seen, held = seen + len(got), []
+            for part in all_windows(b.column(0), units):
+                held.append(part)
+                if sum(map(len, held)) >= BLOCK:
+                    got = np.concatenate(held)
+                    model.train(got, units, 1, rate)
+                    seen, held = seen + len(got), []
         if held and len(got := np.concatenate(held)):
             model.train(got, units, 1, rate)
             seen += len(got)
@@ -383,8 +402,7 @@ def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> l
             flat = np.concatenate([w.ravel() for w in model.weights]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["slot", "value", "seen"])
 
-    thin = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)).alias("at"))
-    got = thin.mapInArrow(tidied(run), "slot long, value double, seen long").groupBy("slot").agg((F.sum("value") / F.sum("seen")).alias("v")).toArrow()  # a row each weight
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "slot long, value double, seen long").groupBy("slot").agg((F.sum("value") / F.sum("seen")).alias("v")).toArrow()  # a row each weight
     if not len(got):
         return start
     flat = np.zeros(sum(w.size for w in start))

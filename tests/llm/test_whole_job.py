@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from skein.llm import ngram_join, secret_scan
+from skein.llm import lm_scoring, ngram_join, secret_scan, subwords
 
 
 def linked_sets(texts, width, percent):
@@ -62,3 +64,23 @@ def test_secrets_of_letters_alone(spark):
     assert got == {0: ["QwXzRtYpLkMnVb"], 1: ["qzxwvkjhgf"], 2: ["QwXzRtYpLk"], 3: ["qzxwvkjhgf"], 4: []}
     masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, df, "").collect()}
     assert masked[0] == "pwd=<secret>" and masked[1] == "passphrase: <secret>," and masked[4] == texts[4]
+
+
+def test_language_model_trains_on_whole_texts(spark):
+    rnd = random.Random(3)
+    words = [rnd.choice("abcdefgh") for _ in range(2000)]
+    lexicon = pa.table({"word": list("abcdefgh"), "n": pa.array([250] * 8, pa.int64())})
+    units = lm_scoring.make_units(lexicon, np.zeros(lm_scoring.BPE_IDS), 1, subwords.default_tokenizer())
+    texts = [" ".join(words), None, "a b", " ".join(["c"] * 64)]
+    got = np.concatenate(list(lm_scoring.all_windows(pa.array(texts), units)))
+    targets = got[:, 1:][got[:, 1:] >= 0].tolist()
+    assert targets == [n for t in texts for n in [*(1 + "abcdefgh".index(w) for w in (t or "").split()), 0]]
+
+    shared, start = spark.sparkContext.broadcast(units), lm_scoring.Attention.start(units.rows, units.prior).weights
+
+    def weights(text):
+        return lm_scoring.averaged(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), shared, start, 0.002)
+
+    whole = weights(" ".join(words))
+    for other in (["a"] * 500 + words[500:], words[:1500] + ["a"] * 500):  # a change anywhere in a text changes what is learnt
+        assert any(not np.array_equal(x, y) for x, y in zip(whole, weights(" ".join(other)), strict=True))
