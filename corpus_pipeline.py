@@ -33,10 +33,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; rows without id stay."""
-    found = written(join_components(docs, NEAR_WIDTH, NEAR_PERCENT), "pipeline-components")
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each component the document with the smallest id stays; rows without id stay.
+
+    Rows of one id are one document: of several, the one whose text has the least hash stays.
+    """
+    found = join_components(docs, NEAR_WIDTH, NEAR_PERCENT)
+    ids = found.groupBy("doc_id").agg((F.min("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("rows")).where(F.col("doc_id").isNotNull())
+    gone = ids.where("gone").select("doc_id")
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    repeated = ids.where(~F.col("gone") & (F.col("rows") > 1)).select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    several = kept.join(repeated, "doc_id", "left_semi")
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), "text", "source", "lang", "n_chars")).alias("one"))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(one.select("one.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,10 @@ def parse(html: str) -> _Node:
     return tree.root
 
 
+def _tree(html: str | _Node | None) -> _Node:
+    return html if isinstance(html, _Node) else parse(html or "")
+
+
 def _content(root: _Node) -> _Node:
     for want in (lambda n: "mw-parser-output" in n.attrs.get("class", ""), lambda n: n.tag == "article", lambda n: n.tag == "body"):
         for n in root.walk():
@@ -81,7 +85,7 @@ def _content(root: _Node) -> _Node:
     return root
 
 
-def sections(html: str | None) -> list[dict[str, str]]:
+def sections(html: str | _Node | None) -> list[dict[str, str]]:
     """Sections of the content's direct children: h2 or h3, bare or wrapped, begin one; p gives text."""
     out, heading, text = [], "Introduction", []
 
@@ -89,7 +93,7 @@ def sections(html: str | None) -> list[dict[str, str]]:
         if text:
             out.append({"heading": heading, "text": "\n".join(text)})
 
-    for n in _content(parse(html or "")).children:
+    for n in _content(_tree(html)).children:
         if not isinstance(n, _Node) or n.tag in _NOISY_TAGS and NOISE.search(n.attrs.get("class", "")):
             continue
         for inner in [x for x in n.walk() if x.tag in _NOISY_TAGS and NOISE.search(x.attrs.get("class", ""))]:
@@ -105,10 +109,10 @@ def sections(html: str | None) -> list[dict[str, str]]:
     return out
 
 
-def infobox(html: str | None) -> dict[str, str]:
+def infobox(html: str | _Node | None) -> dict[str, str]:
     """Rows with a header and a value of the first table whose class names an infobox."""
     out: dict[str, str] = {}
-    box = next((n for n in parse(html or "").walk() if n.tag == "table" and "infobox" in n.attrs.get("class", "")), None)
+    box = next((n for n in _tree(html).walk() if n.tag == "table" and "infobox" in n.attrs.get("class", "")), None)
     for row in box.walk() if box else ():
         if row.tag == "tr":
             th, td = (next((x for x in row.walk() if x.tag == t), None) for t in ("th", "td"))
@@ -132,3 +136,14 @@ def html_sections(c: Column | str) -> Column:
 
 def html_infobox(c: Column | str) -> Column:
     return F.pandas_udf(_each(infobox), T.MapType(T.StringType(), T.StringType()))(c)
+
+
+def page_parts(c: Column | str) -> Column:
+    """struct<sections, infobox> of a page, which is parsed once."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        trees = [_tree(x) for x in s]
+        return pd.DataFrame({"sections": [sections(t) for t in trees], "infobox": [infobox(t) for t in trees]})
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "sections array<struct<heading: string, text: string>>, infobox map<string,string>")(c)

@@ -12,18 +12,39 @@ from pyspark.sql import types as T
 from skein.config import ALIASES, LISTED_RELATIONS, WHOLE_RELATIONS
 
 
+def is_ascii(c: Column) -> Column:
+    return ~c.rlike(r"[^\x00-\x7f]")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
+def nfkc(c: Column) -> Column:
+    """NFKC; texts of ASCII alone, which it doesn't change, don't leave the JVM."""
+    return F.coalesce(_nfkc(F.when(~is_ascii(c), c)), c)
+
+
+#: Stands for the dotless i while cases change; no text has it.
+_HELD = "\ue000"
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding by case mappings, which differ from it on Cherokee and a few rare signs alone.
+
+    Upper case spells out what folding spells out; the dotless i and the final sigma go their own way.
+    """
+    return F.translate(F.lower(F.upper(F.lower(F.translate(c, "\u0131", _HELD)))), "\u03c2" + _HELD, "\u03c3\u0131")
+
+
+def search_text(text: str | None) -> str:
+    """search_norm of a text that the driver has."""
+    return " ".join((text or "").split()).casefold()
 
 
 def clean_text(c: Column, normalize: bool = True) -> Column:
@@ -50,10 +71,10 @@ def match_norm(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(F.lower(c)), r"[^a-z0-9\s]", ""), r"\s+", " ")
 
 
-def search_norm(c: Column, fold: bool = False) -> Column:
-    """Stripped, single spaces, lower case; with fold, full case folding through a pandas UDF."""
+def search_norm(c: Column) -> Column:
+    """Stripped, single spaces, cases folded."""
     c = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
-    return casefold(c) if fold else F.lower(c)
+    return F.when(is_ascii(c), F.lower(c)).otherwise(casefold(c))
 
 
 def tokens(c: Column) -> Column:
@@ -90,7 +111,7 @@ def split_value(value: Column, relation: Column) -> Column:
     parts = F.filter(F.transform(F.split(value, r"[;\n]"), lambda p: strip(F.regexp_replace(p, r"\([^)]*\)", ""))), lambda p: p != "")
     finer = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > 20, F.filter(F.transform(F.split(p, r"(?U)\s{2,}"), strip), lambda s: s != "")).otherwise(F.array(p))))
     return (
-        F.when(relation.isin(*WHOLE_RELATIONS), F.when(F.length(whole) > 1, F.array(whole)).otherwise(F.array().cast("array<string>")))
+        F.when(relation.isin(*WHOLE_RELATIONS), F.filter(F.array(whole), lambda w: F.length(w) > 1))
         .when(relation.isin(*LISTED_RELATIONS), finer)
         .otherwise(parts)
     )
@@ -127,10 +148,38 @@ def link_score(mention: Column, label: Column, description: Column) -> Column:
 
 # Colours of node types, and of relations by number.
 TYPE_COLORS = {
-    "PERSON": "#E15759", "ORG": "#4E79A7", "GPE": "#59A14F", "LOC": "#76B7B2", "DATE": "#EDC948", "NORP": "#B07AA1", "PRODUCT": "#FF9DA7",
-    "WORK_OF_ART": "#9C755F", "EVENT": "#F28E2B", "LAW": "#86BCB6", "FAC": "#8CD17D", "LANGUAGE": "#D37295", "UNKNOWN": "#BAB0AC",
-}
-RELATION_COLORS = ("#1F77B4", "#FF7F0E", "#2CA02C", "#D62728", "#9467BD", "#8C564B", "#E377C2", "#7F7F7F", "#BCBD22", "#17BECF", "#393B79", "#637939")
+    "PERSON": "#e74c3c",
+    "ORG": "#3498db",
+    "GPE": "#2ecc71",
+    "LOC": "#27ae60",
+    "DATE": "#f39c12",
+    "EVENT": "#9b59b6",
+    "WORK_OF_ART": "#e67e22",
+    "FAC": "#1abc9c",
+    "NORP": "#95a5a6",
+    "LAW": "#34495e",
+    "LANGUAGE": "#16a085",
+    "PRODUCT": "#d35400",
+    "CONCEPT": "#8e44ad",
+    "DEVICE": "#c0392b",
+    "AWARD": "#f1c40f",
+    "UNKNOWN": "#bdc3c7",
+}
+RELATION_COLORS = ("#c95b38", "#1d7f77", "#4d8a4f", "#9b4f7d", "#ae6831", "#42516f", "#d7a63c", "#7a5db8", "#3286a8", "#8e6c35", "#7b5f52", "#2f7c64")
+
+
+def type_color(kind: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in TYPE_COLORS.items() for x in kv])
+    return F.coalesce(F.element_at(table, kind), F.lit(TYPE_COLORS["UNKNOWN"]))
+
+
+def readable(relation: Column) -> Column:
+    """A relation's name with spaces, as an encoder reads it; underscored() is the way back."""
+    return F.replace(relation, F.lit("_"), F.lit(" "))
+
+
+def underscored(name: Column) -> Column:
+    return F.replace(name, F.lit(" "), F.lit("_"))
 
 
 def relation_color_number(relation: Column) -> Column:

@@ -4,59 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import Tables, fresh_path, shared_dir  # noqa: F401  operators take them from here
+
 #: Words are runs of anything but space and the five control characters beside it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a local session gets a temporary folder; a cluster is asked for a setting.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
-    if found is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="skein-")
-        sc.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), which nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{shared_dir(spark).split('://')[-1]}/skein/" in path.replace(":///", "/"):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,21 +49,68 @@ def lists_of(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def tidied(run: Callable) -> Callable:
-    """run, which after its task gives back memory that Arrow and the C library hold for later.
+#: Rows that Spark puts into a batch of texts, unless the session says otherwise, and bytes that Python works on at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 
-    A worker serves many tasks; without this, its size is that of its largest moment.
+def regrouped(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, or one longer row; small ones are joined."""
+    held, size = [], 0
+    for b in batches:
+        own = b.nbytes
+        parts = [b] if own <= 2 * most else _cut(b, most)
+        for part in parts:
+            if held and size + part.nbytes > most:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def _cut(batch: pa.RecordBatch, most: int) -> list[pa.RecordBatch]:
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        return [batch]
+    half = batch.num_rows // 2
+    return _cut(batch.slice(0, half), most) + _cut(batch.slice(half), most)
+
+
+@functools.cache
+def _lean_worker() -> None:
+    """Once in a worker: large arrays, Arrow's too, come from the system and go back to it when they are freed.
+
+    By default the C library keeps ever larger ones for later, and Arrow keeps all: a worker's size
+    would be the sum of its largest moments.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
+
+def by_arrow(run: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
+    """mapInArrow in bounded memory, for DataFrame.transform().
+
+    Spark fills batches by rows, and 10,000 texts make large ones on both sides; so a session that
+    keeps that default gets BATCH_ROWS, and run sees batches of about BATCH_BYTES. After a task, the
+    worker gives back what the C library holds for later.
     """
 
     def wrapped(batches):
+        _lean_worker()
         try:
-            yield from run(batches)
+            yield from run(regrouped(batches))
         finally:
-            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # not every C library has it
                 ctypes.CDLL(None).malloc_trim(0)
 
-    return wrapped
+    def mapped(df: DataFrame) -> DataFrame:
+        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if conf.get(name) == "10000":
+            conf.set(name, BATCH_ROWS)
+        return df.mapInArrow(wrapped, schema)
+
+    return mapped
 
 
 def quiet_threads() -> None:

@@ -1,14 +1,15 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
-A paragraph (a line) is hashed to a wide vector of 16-bit lanes, and a text's fingerprint is the sum
-of its paragraphs' vectors modulo 2**16. So the order of paragraphs doesn't matter, and a paragraph
+A paragraph (a line) is hashed to a wide vector of 32-bit lanes, and a text's fingerprint is the sum
+of its paragraphs' vectors modulo 2**32. So the order of paragraphs doesn't matter, and a paragraph
 is inserted by adding its vector and deleted by subtracting it, without the rest of the text.
 
 The first lanes of a paragraph's vector are drawn uniformly from a keyed hash of its bytes; they
 tell unequal multisets apart. The other lanes are a signed count sketch of the paragraph's pairs of
 neighbouring words (of its word, if it has one only): the dot product of two texts' sketches
 estimates that of their pair counts, and the likeness of two fingerprints is that product over the
-larger of the two squared lengths, held within 0 and 1; equal fingerprints have likeness 1.
+larger of the two squared lengths, held within 0 and 1; equal fingerprints have likeness 1. A lane of
+a sketch is read as a signed number, which holds any text of less than 2**31 pairs.
 
 The query edits each text with the front of the text that follows in descending order of id. Ids
 alone are sorted into ranges first; the first document of each range is also sent to the range
@@ -31,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import shuffle_partitions, table, tidied
+from skein.llm.common import by_arrow, shuffle_partitions, table
 
-EXACT_LANES, SKETCH_LANES = 64, 192
+EXACT_LANES, SKETCH_LANES = 32, 192
 LANES = EXACT_LANES + SKETCH_LANES
 _KEY = b"skein paragraph"
 
 
 def paragraph_exact(paragraph: bytes) -> np.ndarray:
-    return np.frombuffer(hashlib.shake_128(_KEY + paragraph).digest(2 * EXACT_LANES), "<u2")
+    return np.frombuffer(hashlib.shake_128(_KEY + paragraph).digest(4 * EXACT_LANES), "<u4")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,7 +52,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def fingerprint(text: str) -> np.ndarray:
     """The lanes of a whole text."""
     paragraphs = text.encode().split(b"\n")
-    exact = np.zeros(EXACT_LANES, np.uint16)
+    exact = np.zeros(EXACT_LANES, np.uint32)
     hashes: list[np.ndarray] = []
     for p in paragraphs:
         exact += paragraph_exact(p)
@@ -60,7 +61,7 @@ def fingerprint(text: str) -> np.ndarray:
     pairs = _mixed(np.concatenate(hashes))
     lane = (pairs % np.uint64(SKETCH_LANES)).astype(np.int64)
     sign = 1 - 2 * ((pairs >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-    sketch = np.bincount(lane, weights=sign, minlength=SKETCH_LANES).astype(np.int64).astype(np.uint16)
+    sketch = np.bincount(lane, weights=sign, minlength=SKETCH_LANES).astype(np.int64).astype(np.uint32)
     return np.concatenate([exact, sketch])
 
 
@@ -75,13 +76,13 @@ def deleted(lanes: np.ndarray, paragraph: str) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[EXACT_LANES:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[EXACT_LANES:].astype(np.int32).astype(np.float64) for v in (a, b))
     most = max(x @ x, y @ y)
     return float(min(1.0, max(0.0, (x @ y) / most))) if most else 0.0
 
 
 def written_out(lanes: np.ndarray) -> str:
-    return base64.b64encode(lanes.astype("<u2").tobytes()).decode()
+    return base64.b64encode(lanes.astype("<u4").tobytes()).decode()
 
 
 def edited_text(text: str, following: str) -> str:
@@ -91,13 +92,13 @@ def edited_text(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fingerprint (base64 of little-endian 16-bit lanes) of each row; no shuffle."""
+    """id and fingerprint (base64 of little-endian 32-bit lanes) of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([written_out(fingerprint(t or "")) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(by_arrow(run, "doc_id long, fingerprint string"))
 
 
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
@@ -108,14 +109,11 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = thin.select("doc_id").where(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     cuts = sorted({int(c) for c in cuts}, reverse=True)  # fewer than `ranges`
-
-    def below(a: int, z: int) -> Column:  # how many cuts lie above the id, by binary search
-        if a == z:
-            return F.lit(a)
-        m = (a + z) // 2
-        return F.when(F.col("doc_id") < cuts[m], below(m + 1, z)).otherwise(below(a, m))
-
-    placed = thin.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(below(0, len(cuts))).cast("int"))
+    # How many cuts lie above the id: steps of a binary search over one constant array.
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    above = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(bounds, at + step) > F.col("doc_id")), at + step).otherwise(at)) if cuts else F.lit(0)
+    placed = thin.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above).cast("int"))
     # The first row of each range: the highest id, and of its texts the least.
     tops = placed.select("range", "doc_id").groupBy("range").agg(F.max("doc_id").alias("top"))
     order = Window.orderBy("range")
@@ -153,7 +151,7 @@ def with_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return rows.select("doc_id", "text", "range", "peek").mapInArrow(tidied(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("doc_id", "text", "range", "peek").transform(by_arrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,38 +1,32 @@
 """Language-model scoring with a causal self-attention model trained in numpy on subword ids.
 
-Texts are lower-cased (A-Z) and cut into words; an end follows the last. The model's units are ids:
-the most frequent training words, at most `lexicon_most`, are whole units, and any other word is the
-ids that a public byte-level BPE gives it. So known and unknown words have a probability.
+Texts are lower-cased (A-Z) and cut into words; an end follows the last. The model's units are the
+end and the ids that a public byte-level BPE gives each word, as after a space. Every unit has a
+learnt probability in every context (attention.py), so known and unknown words are scored alike, and
+a text's score is the sum over its units.
 
-What the corpus gives: exact counts of all training words (a shuffle by word), from which follow the
-units' counts. What training gives: a small causal attention model over classes of units. The most
-frequent units are classes of their own, others share a class by their form; a unit's probability is
-its class's, by the model, times its share of the class's count. Query, key and value of a unit are
-rows of tables; attention has one head with a learnt bias for each distance; the output adds the last
-unit's own row, so the model starts as a class bigram and learns what the context adds.
+Training: a start on a bounded sample of windows on the driver, from a table of unit counts over the
+whole training corpus; then one round in which every training document gives all its windows to its
+task, so that each of its units is a target once. Tasks train from the start, block by block. What
+they changed is averaged, weighted by windows, in two levels of streaming sums.
 
-Training: a start from a bounded sample of windows on the driver, then one round in which every
-training document gives all its windows to its task, so that each of its units is a target once.
-Tasks train from the start, block by block, and the weights are averaged by a shuffle, weighted by
-windows.
+Scoring: windows of 32 units that overlap by half; each unit is scored once, with at least 16 units
+of context where the text has them, in batches under a causal mask.
 
-Scoring: windows of 2 * `step` units that overlap by half; each unit is scored once, with at least
-`step` units of context where the text has them, in batches under a causal mask.
-
-The base model's counts of frequent words travel as a broadcast of bounded size; occurrences of
-other words meet their counts in a shuffle join.
+Base score: exact counts of all training words come from a shuffle by word. The counts of the most
+frequent ones travel as a broadcast of bounded size; occurrences of other words meet theirs in a
+shuffle join, so the bound changes speed alone.
 
 Defined cases: a null text is empty and holds the end alone. A null id counts as training text, as
 its remainder isn't 2. Repeated rows score alike. Without training text, the base gives each token
-log10(1 / 1) = 0 and the model is uniform. An empty table gives no row. Other columns of the input
-don't matter.
+log10(1 / 1) = 0 and the model is nearly uniform. An empty table gives no row. Other columns of the
+input don't matter.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,43 +35,44 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc32_of_id, table, tidied, written
-from skein.llm.subwords import default_tokenizer, subwords
+from skein.llm.attention import BATCH, Attention, Layout, Trainer, text_scores, training_windows
+from skein.llm.common import Tables, by_arrow, crc32_of_id, table
+from skein.llm.subwords import Subwords, default_tokenizer, subwords, taken
 
 FOLDS, HELD = 7, 2
+#: Words whose counts are broadcast for the base score.
 LEXICON_MOST = 1 << 19
-#: Classes of one unit each.
-HEAD = 176
-#: Clusters of spellings; other units share a class by cluster and kind.
-CLUSTERS, KINDS = 16, 4
-#: Units with rows of their own in the tables; others share their class's row.
-OWN_ROWS = 2048
-WIDTH, STEP = 16, 32
-#: Windows that a task trains on at once.
-BLOCK = 4096
-BPE_IDS = 50257
+#: Documents and windows of the start's sample.
+START_ROWS, START_WINDOWS = 4096, 16384
+START_RATE, RATE = 0.02, 0.01
+#: Windows that a task shuffles and trains on at once.
+BLOCK = 8192
+#: Weights that travel as one row, and branches of the first level of sums.
+SLOTS, BRANCHES = 4096, 64
 
 
 def held_out() -> Column:
     return F.coalesce(crc32_of_id("doc_id", FOLDS) == HELD, F.lit(False))
 
 
-def words_of(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """Chunk by chunk: number of the first text, distinct words, word numbers, bounds by text."""
-    if not len(texts):
-        return
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    chunk = sizes // chunk_bytes
-    starts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(texts)]
-    for a, z in zip(starts, starts[1:], strict=False):
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(a, z - a), "")))
-        bounds = words.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        flat = words.flatten()
-        distinct = flat.dictionary_encode()
-        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-        numbers = distinct.indices.to_numpy()[real] if len(flat) else np.zeros(0, np.int32)
-        yield a, distinct.dictionary, numbers, np.concatenate([[0], np.cumsum(real)])[bounds]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of lower-cased texts, the words' numbers among them, and bounds by text."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    bounds = words.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    flat = words.flatten()
+    distinct = flat.dictionary_encode()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    numbers = distinct.indices.to_numpy()[real] if len(flat) else np.zeros(0, np.int32)
+    return distinct.dictionary, numbers, np.concatenate([[0], np.cumsum(real)])[bounds]
+
+
+def units_of(enc: Subwords, distinct: pa.Array, numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all texts, each with its end, and bounds by text."""
+    ids, sizes = enc.encode_distinct(distinct)
+    items = np.insert(numbers.astype(np.int64), bounds[1:], len(sizes))
+    units, ends = taken(np.append(ids.astype(np.int32) + 1, np.int32(0)), np.append(sizes, 1), items)
+    return units, np.concatenate([[0], ends])[bounds + np.arange(len(bounds))]
 
 
 def count_words(docs: DataFrame, most_held: int = 600_000) -> DataFrame:
@@ -92,21 +87,21 @@ def count_words(docs: DataFrame, most_held: int = 600_000) -> DataFrame:
             return out
 
         for b in batches:
-            for _, distinct, numbers, _ in words_of(b.column(0)):
-                counts = np.bincount(numbers, minlength=len(distinct))
-                for w, n in zip(distinct.to_pylist(), counts.tolist(), strict=True):
-                    if n:
-                        held[w] = held.get(w, 0) + n
-                if len(held) > most_held:
-                    yield emit()
+            distinct, numbers, _ = words_of(b.column(0))
+            counts = np.bincount(numbers, minlength=len(distinct))
+            for w, n in zip(distinct.to_pylist(), counts.tolist(), strict=True):
+                if n:
+                    held[w] = held.get(w, 0) + n
+            if len(held) > most_held:
+                yield emit()
         if held:
             yield emit()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(counts: DataFrame, most: int) -> tuple[pa.Table, int]:
-    """The words at least as frequent as a limit, which at most `most` words reach, and the limit."""
+def lexicon(counts: DataFrame, most: int) -> pa.Table:
+    """The words at least as frequent as a limit that at most `most` words reach, and their counts."""
     by_count = {r["n"]: r["words"] for r in counts.where("n > 1").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()}  # a row each distinct count
     limit, total = None, 0
     for n in sorted(by_count, reverse=True):
@@ -114,382 +109,156 @@ def lexicon(counts: DataFrame, most: int) -> tuple[pa.Table, int]:
             break
         limit, total = n, total + by_count[n]
     limit = limit if limit is not None else 1 << 62
-    return counts.where(F.col("n") >= limit).orderBy(F.desc("n"), "word").toArrow(), limit
+    return counts.where(F.col("n") >= limit).toArrow()
 
 
-def subword_counts(counts: DataFrame, limit: int, tokenizer: str) -> np.ndarray:
-    """Counts of BPE ids over the words below the limit; at most as many rows as ids reach the driver."""
+def unit_counts(counts: DataFrame, ends: int, tokenizer: str) -> np.ndarray:
+    """Counts of all units over the counted words; at most a row for each id reaches the driver."""
+    size = subwords(tokenizer).size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = subwords(tokenizer), np.zeros(BPE_IDS, np.int64)
+        enc, total = subwords(tokenizer), np.zeros(size)
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                np.add.at(total, np.frombuffer(enc.unit(" " + w), "<u4"), n)
+            ids, sizes = enc.encode_distinct(b.column(0))
+            total += np.bincount(ids, weights=np.repeat(b.column(1).to_numpy(), sizes), minlength=size)
         own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own].astype(np.int64))], ["id", "n"])
 
-    got = counts.where(F.col("n") < limit).select("word", "n").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BPE_IDS, np.int64)
-    out[got.column("id").to_numpy()] = got.column("n").to_numpy()
+    got = counts.select("word", "n").transform(by_arrow(run, "id long, n long")).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.full(1 + size, 0.05)
+    out[0] += ends
+    out[1 + got.column("id").to_numpy()] += got.column("n").to_numpy()
     return out
 
 
-@dataclass
-class Units:
-    """Units: 0 is the end, then the lexicon, then the BPE ids."""
-
-    words: pa.Array
-    word_counts: np.ndarray
-    row: np.ndarray  # of the tables, by unit
-    cls: np.ndarray  # by unit
-    log_share: np.ndarray  # log of the unit's share in its class
-    classes: int
-    rows: int
-    prior: np.ndarray  # log share of each class
-    tokenizer: str
-
-    def of_words(self, distinct: pa.Array) -> tuple[list, np.ndarray]:
-        """The units of each word (a number if there is one alone), and its number in the lexicon or -1."""
-        at = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        enc, first = subwords(self.tokenizer), 1 + len(self.words)
-        out: list = []
-        for k, w in zip(at.tolist(), distinct.to_pylist(), strict=True):
-            out.append(k + 1 if k >= 0 else np.frombuffer(enc.unit(" " + w), "<u4").astype(np.int64) + first)
-        return out, at
-
-    def of_texts(self, distinct: pa.Array, numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Units of all texts, each with its end; bounds by text; lexicon number of each distinct word."""
-        table_, at = self.of_words(distinct)
-        table_ = [np.array([t]) if isinstance(t, int) else t for t in table_]
-        n = len(bounds) - 1
-        table_.append(np.zeros(1, np.int64))
-        size = np.fromiter(map(len, table_), np.int64, len(table_))
-        start = np.cumsum(size) - size
-        item = np.insert(numbers.astype(np.int64), bounds[1:], len(table_) - 1)
-        cuts = bounds + np.arange(n + 1)
-        sizes = size[item]
-        ends = np.cumsum(sizes)
-        where = np.repeat(start[item] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return np.concatenate(table_)[where], np.concatenate([[0], ends])[cuts], at
-
-
-def make_units(words: pa.Table, bpe: np.ndarray, ends: int, tokenizer: str) -> Units:
-    enc = subwords(tokenizer)
-    pieces = [enc.tokenizer.id_to_token(k) or "" for k in range(BPE_IDS)]
-    counts = np.concatenate([[ends], words.column("n").to_numpy(), bpe]).astype(np.float64) + 0.05
-    texts = words.column("word").combine_chunks()
-    texts = texts if isinstance(texts, pa.Array) else pa.array([], pa.string())
-    first = np.array([p.startswith("Ġ") for p in pieces])
-    kind = np.concatenate([[0], (np.arange(len(texts)) >= 4096).astype(np.int64), 2 + (~first)])
-    spelled = [b"", *[w.encode() for w in texts.to_pylist()], *[enc.tokenizer.decode([k]).strip().encode() for k in range(BPE_IDS)]]
-    order = np.argsort(-counts, kind="stable")
-    form = kind * CLUSTERS + spelling_clusters(spelled, order[:20_000], counts)
-    cls, rows = HEAD + form, OWN_ROWS + form
-    cls[order[:HEAD]] = np.arange(min(HEAD, len(order)))
-    rows[order[:OWN_ROWS]] = np.arange(min(OWN_ROWS, len(order)))
-    classes = HEAD + CLUSTERS * KINDS
-    total = np.bincount(cls, weights=counts, minlength=classes)
-    prior = np.log(np.maximum(total, 1e-3) / np.maximum(total, 1e-3).sum())
-    return Units(texts, words.column("n").to_numpy().astype(np.int64), rows, cls, np.log(counts / total[cls]), classes, OWN_ROWS + CLUSTERS * KINDS, prior, tokenizer)
-
-
-def spelling_clusters(spelled: list[bytes], sample: np.ndarray, counts: np.ndarray, dims: int = 256, rounds: int = 12) -> np.ndarray:
-    """A cluster for each unit: spherical k-means on hashed pairs of bytes, fitted on a bounded sample."""
-
-    def features(part: list[bytes]) -> np.ndarray:
-        sizes = np.array([len(w) + 1 for w in part])
-        data = np.frombuffer(b"".join(b" " + w for w in part) + b" ", np.uint8).astype(np.int64)
-        pair = (data[:-1] * 31 + data[1:] * 7) % dims
-        owner = np.repeat(np.arange(len(part)), sizes)
-        f = np.bincount(owner * dims + pair, minlength=len(part) * dims).reshape(len(part), dims).astype(np.float32)
-        return f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-6)
-
-    x, w = features([spelled[k] for k in sample]), np.sqrt(counts[sample])[:, None].astype(np.float32)
-    mid = x[np.linspace(0, len(x) - 1, CLUSTERS).astype(int)]
-    for _ in range(rounds):
-        near = (x @ mid.T).argmax(1)
-        for c in range(CLUSTERS):
-            if (near == c).any():
-                m = (x[near == c] * w[near == c]).sum(0)
-                mid[c] = m / max(float(np.linalg.norm(m)), 1e-6)
-    return np.concatenate([(features(spelled[a : a + 8192]) @ mid.T).argmax(1) for a in range(0, len(spelled), 8192)])
-
-
-class Attention:
-    """Weights: query, key, value and own rows (rows, WIDTH), bias by distance, output, class bias."""
-
-    def __init__(self, weights: list[np.ndarray]):
-        self.weights = weights
-        self.kept: tuple | None = None
-
-    @staticmethod
-    def start(rows: int, prior: np.ndarray, seed: int = 1) -> Attention:
-        rng = np.random.default_rng(seed)
-        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return Attention([small(rows, WIDTH), small(rows, WIDTH), small(rows, WIDTH), small(rows, WIDTH), np.zeros(2 * STEP, np.float32), small(WIDTH, len(prior)), prior.astype(np.float32)])
-
-    def forward(self, x: np.ndarray, ok: np.ndarray, first: int) -> tuple:
-        """x: rows (windows, length); ok: which are of the text; the outputs from position `first` on."""
-        q_, k_, v_, own, bias, out, prior = self.weights
-        n = x.shape[1]
-        xq = x[:, first:]
-        q, k, v = q_[xq], k_[x], v_[x]
-        gap = np.arange(first, n)[:, None] - np.arange(n)[None, :]
-        rel = np.where(gap >= 0, bias[np.clip(gap, 0, len(bias) - 1)], np.float32(-1e9))
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(1 / math.sqrt(WIDTH))
-        s += rel
-        s += np.where(ok, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        h = np.matmul(s, v)
-        h += own[xq]
-        z = h.reshape(-1, WIDTH) @ out
-        z += prior
-        return xq, gap, q, k, v, s, h, z
-
-    def log_classes(self, x: np.ndarray, ok: np.ndarray, first: int, target: np.ndarray) -> np.ndarray:
-        """Log probability of the target classes (windows, length - first).
-
-        The sums of exponentials are taken without a shift, which spares passes over the arrays;
-        should one overflow, the shifted way gives the result.
-        """
-        q_, k_, v_, own, bias, out, prior = self.weights
-        n = x.shape[1]
-        gap = np.arange(first, n)[:, None] - np.arange(n)[None, :]
-        rel = np.where(gap >= 0, bias[np.clip(gap, 0, len(bias) - 1)], np.float32(-1e9))
-        xq, at = x[:, first:], np.arange(target.size)
-        with np.errstate(over="ignore", invalid="ignore"):
-            s = np.matmul((q_ * np.float32(1 / math.sqrt(WIDTH)))[xq], k_[x].transpose(0, 2, 1))
-            s += rel
-            part = np.flatnonzero(~ok.all(1))
-            s[part] += np.where(ok[part], np.float32(0), np.float32(-1e9))[:, None, :]
-            np.exp(s, out=s)
-            h = np.matmul(s, v_[x])
-            h /= s.sum(-1, keepdims=True)
-            h += own[xq]
-            # The class bias is one more row of the output; arrays this large are kept for the next call.
-            if self.kept is None or len(self.kept[0]) < target.size:
-                self.kept = np.empty((target.size, len(prior)), np.float32), np.ones((target.size, WIDTH + 1), np.float32), np.concatenate([out, prior[None, :]])
-            z, wide = self.kept[0][: target.size], self.kept[1][: target.size]
-            wide[:, :WIDTH] = h.reshape(-1, WIDTH)
-            np.matmul(wide, self.kept[2], out=z)
-            got = z[at, target.ravel()]
-            np.exp(z, out=z)
-            logs = got - np.log(z.sum(1))
-        if not np.isfinite(logs).all():
-            z = self.forward(x, ok, first)[-1]
-            got, top = z[at, target.ravel()], z.max(1, keepdims=True)
-            logs = got - top[:, 0] - np.log(np.exp(z - top).sum(1))
-        return logs.reshape(target.shape)
-
-    def gradients(self, x: np.ndarray, ok: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        q_, k_, v_, own, bias, out, _ = self.weights
-        xq, gap, q, k, v, s, h, z = self.forward(x, ok, 0)
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        t, w = target.ravel(), real.ravel().astype(np.float32)
-        at = np.arange(len(t))
-        loss = float(-(np.log(p[at, t] + 1e-12) * w).sum() / max(1.0, w.sum()))
-        p[at, t] -= 1
-        p *= (w / max(1.0, w.sum()))[:, None]
-        d_out, d_prior = h.reshape(-1, WIDTH).T @ p, p.sum(0)
-        dh = (p @ out.T).reshape(h.shape)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dh)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-        d_bias = np.bincount(np.clip(gap, 0, len(bias) - 1).ravel(), weights=np.where(gap >= 0, ds.sum(0), 0).ravel(), minlength=len(bias))
-        ds *= np.float32(1 / math.sqrt(WIDTH))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        tables = []
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-        for d in (dq, dk, dv, dh):
-            g = np.zeros_like(q_)
-            g[flat[order][heads]] = np.add.reduceat(d.reshape(-1, WIDTH)[order], heads, axis=0)
-            tables.append(g)
-        return loss, [*tables, d_bias.astype(np.float32), d_out, d_prior]
-
-    def train(self, windows: np.ndarray, units: Units, epochs: int, rate: float, batch: int = 32, seed: int = 2) -> float:
-        """Adam over windows of units (windows, length + 1), -1 where a text has ended."""
-        self.kept = None
-        rng = np.random.default_rng(seed)
-        first = [np.zeros_like(w) for w in self.weights]
-        second = [np.zeros_like(w) for w in self.weights]
-        step, loss = 0, 0.0
-        for _ in range(epochs):
-            for a in range(0, len(order := rng.permutation(len(windows))), batch):
-                b = windows[order[a : a + batch]]
-                real = b[:, 1:] >= 0
-                loss, grads = self.gradients(units.row[np.maximum(b[:, :-1], 0)], b[:, :-1] >= 0, units.cls[np.maximum(b[:, 1:], 0)], real)
-                step += 1
-                for w, g, m, v in zip(self.weights, grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        return loss
-
-
-def windows_of(docs: DataFrame, shared) -> DataFrame:
-    """A window of units from each text, placed by a hash of the text's id."""
+def sample_windows(training: DataFrame, tokenizer: str, rows: int = START_ROWS, most: int = START_WINDOWS) -> np.ndarray:
+    """At most `most` windows, by a hash, of the documents with the `rows` least hashes of ids."""
+    picked = training.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(rows)
+    texts = training.join(F.broadcast(picked), "doc_id").select(F.col("text").cast("string").alias("text"))  # at most `rows` ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = subwords(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_windows(b, shared.value).tolist(), pa.list_(pa.int64()))], ["window"])
-
-    return docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)).alias("at")).mapInArrow(tidied(run), "window array<long>")
-
-
-def _windows(b: pa.RecordBatch, units: Units, length: int = 2 * STEP) -> np.ndarray:
-    """length + 1 units of each text, -1 after its end. A text's start is preceded by an end."""
-    places, out = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), []
-    for first, distinct, numbers, bounds in words_of(b.column(0)):
-        # Only the words near the window are made units: a word is at least one unit.
-        size = np.diff(bounds)
-        start = places[first : first + len(size)] % np.maximum(1, size - length + 2)
-        taken = np.minimum(size - start, length + 1)
-        at = np.repeat(bounds[:-1] + start - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
-        used, numbers = np.unique(numbers[at], return_inverse=True)
-        own, cuts, _ = units.of_texts(distinct.take(pa.array(used)), numbers, np.concatenate([[0], np.cumsum(taken)]))
-        for k in range(len(size)):
-            text = own[cuts[k] : cuts[k + 1]]
-            if start[k] + taken[k] < size[k]:
-                text = text[:-1]  # the text goes on: no end
-            if start[k] == 0:
-                text = np.concatenate([[0], text])
-            text = text[: length + 1]
-            out.append(np.concatenate([text, np.full(length + 1 - len(text), -1)]))
-    return np.array(out).reshape(-1, length + 1)
-
-
-def all_windows(texts: pa.Array, units: Units, length: int = 2 * STEP) -> Iterator[np.ndarray]:
-    """Windows of length + 1 units, -1 after a text's end, that hold each unit of the texts as a target once."""
-    for _, distinct, numbers, bounds in words_of(texts):
-        own, cuts, _ = units.of_texts(distinct, numbers, bounds)
-        size = np.diff(cuts)
-        per = -(-size // length)
-        text = np.repeat(np.arange(len(size)), per)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        for a in range(0, len(text), BLOCK):
-            t = text[a : a + BLOCK]
-            at = (nth[a : a + BLOCK] * length)[:, None] + np.arange(length + 1)[None, :]  # 0 is the end before the text
-            unit = own[np.clip(cuts[t][:, None] + at - 1, 0, len(own) - 1)]
-            yield np.where(at > size[t][:, None], -1, np.where(at > 0, unit, 0))
-
-
-def averaged(docs: DataFrame, shared, start: list[np.ndarray], rate: float) -> list[np.ndarray]:
-    """Weights after every task has trained from `start` on all windows of its texts."""
-    sc = docs.sparkSession.sparkContext
-    begun = sc.broadcast(start)
+            for w in training_windows(*units_of(enc, *words_of(b.column(0)))):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1]), pa.array(w.ravel()))
+                yield pa.RecordBatch.from_arrays([lists], ["window"])
+
+    found = texts.transform(by_arrow(run, "window array<int>")).orderBy(F.xxhash64("window"), "window").limit(most).toArrow()
+    return np.array(found.column("window").to_pylist(), np.int32)
+
+
+def averaged(training: DataFrame, start: Attention, tokenizer: str, rate: float = RATE) -> Attention:
+    """The model after every task has trained from `start` on all windows of its texts."""
+    begun = training.sparkSession.sparkContext.broadcast(start)
+    shapes = [w.shape for w in start.weights]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, model, seen = shared.value, Attention([w.copy() for w in begun.value]), 0
+        enc, trainer = subwords(tokenizer), Trainer(begun.value.copy(), rate)
         held: list[np.ndarray] = []
         for b in batches:
-            for part in all_windows(b.column(0), units):
+            for part in training_windows(*units_of(enc, *words_of(b.column(0)))):
                 held.append(part)
                 if sum(map(len, held)) >= BLOCK:
-                    got = np.concatenate(held)
-                    model.train(got, units, 1, rate)
-                    seen, held = seen + len(got), []
-        if held and len(got := np.concatenate(held)):
-            model.train(got, units, 1, rate)
-            seen += len(got)
-        if seen:
-            flat = np.concatenate([w.ravel() for w in model.weights]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["slot", "value", "seen"])
-
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "slot long, value double, seen long").groupBy("slot").agg((F.sum("value") / F.sum("seen")).alias("v")).toArrow()  # a row each weight
-    if not len(got):
+                    trainer.train(np.concatenate(held))
+                    held = []
+        if held:
+            trainer.train(np.concatenate(held))
+        if trainer.seen:
+            change = np.concatenate([(w.astype(np.float64) - w0).ravel() for w, w0 in zip(trainer.model.weights, begun.value.weights, strict=True)]) * trainer.seen
+            change = np.pad(change, (0, -len(change) % SLOTS)).reshape(-1, SLOTS)
+            own = np.flatnonzero(change.any(1))
+            rows = [change[k].tobytes() for k in own]
+            branch = np.full(len(own) + 1, TaskContext.get().partitionId() % BRANCHES, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1).astype(np.int32)), pa.array(branch), pa.array([*rows, np.array([trainer.seen], np.float64).tobytes()])], ["block", "branch", "change"])
+
+    sums = training.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "block int, branch int, change binary"))
+    for keys in (["block", "branch"], ["block"]):
+        sums = sums.repartition(*keys).sortWithinPartitions(*keys).transform(by_arrow(_summed, "block int, branch int, change binary"))
+    got = {r["block"]: np.frombuffer(r["change"], np.float64) for r in sums.collect()}  # a row for each block of weights
+    begun.destroy()
+    if -1 not in got:
         return start
-    flat = np.zeros(sum(w.size for w in start))
-    flat[got.column("slot").to_numpy()] = got.column("v").to_numpy()
-    out, at = [], 0
-    for w in start:
-        out.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
-        at += w.size
-    return out
-
-
-def text_scores(model: Attention, units: Units, own: np.ndarray, bounds: np.ndarray, at_once: int = 64) -> np.ndarray:
-    """Natural log probability of each text: windows that overlap by half, each unit scored once."""
-    sizes = np.diff(bounds)
-    per = -(-sizes // STEP)
-    text = np.repeat(np.arange(len(sizes)), per)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    total = np.zeros(len(sizes))
-    rows, cls, share = units.row[own], units.cls[own], units.log_share[own]
-    reach = np.arange(-STEP, STEP)
-    for a in range(0, len(text), at_once):
-        t, k = text[a : a + at_once], nth[a : a + at_once]
-        at = (k * STEP)[:, None] + reach[None, :]  # inputs: the unit before each target
-        ok = (at >= 0) & (at < sizes[t][:, None])
-        before = np.clip(bounds[t][:, None] + at - 1, 0, len(rows) - 1)
-        x = np.where(at > 0, rows[before], units.row[0])
-        goal = bounds[t][:, None] + np.minimum(at[:, STEP:], sizes[t][:, None] - 1)
-        real = at[:, STEP:] < sizes[t][:, None]
-        logs = model.log_classes(x, ok, STEP, cls[goal]) + share[goal]
-        total += np.bincount(t, weights=np.where(real, logs, 0).sum(1), minlength=len(sizes))
-    return total
-
-
-def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, lexicon_most: int = LEXICON_MOST, sample_windows: int = 4096, epochs: int = 6) -> DataFrame:
+    seen, flat = got.pop(-1)[0], np.concatenate([w.ravel() for w in start.weights]).astype(np.float64)
+    flat = np.pad(flat, (0, -len(flat) % SLOTS)).reshape(-1, SLOTS)
+    for block, change in got.items():
+        flat[block] += change / seen
+    ends = np.cumsum([math.prod(x) for x in shapes])
+    return Attention(start.layout, [part.reshape(x).astype(np.float32) for part, x in zip(np.split(flat.ravel()[: ends[-1]], ends[:-1]), shapes, strict=True)])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of equal block and branch: rows come sorted, and one sum is held."""
+    key, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()])], ["block", "branch", "change"])
+    for b in batches:
+        for block, branch, change in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            change = np.frombuffer(change.as_buffer(), np.float64)
+            if (block, branch) == key:
+                total += change
+                continue
+            if key is not None:
+                yield row()
+            key, total = (block, branch), change.copy()
+    if key is not None:
+        yield row()
+
+
+def trained(training: DataFrame, counts: np.ndarray, tokenizer: str) -> Attention:
+    model = Attention.start(Layout.of(counts), counts)
+    sample = sample_windows(training, tokenizer)
+    if not len(sample):
+        return model
+    Trainer(model, START_RATE).train(sample, max(4, min(30, -(-400 * BATCH // len(sample)))))
+    return averaged(training, model, tokenizer)
+
+
+def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, lexicon_most: int = LEXICON_MOST) -> DataFrame:
     """docs and training: doc_id and text. doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
-    counts = written(count_words(training), "lm-counts")
+    tables = Tables(spark)
+    counts = tables.written(count_words(training), "lm-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
-    words, limit = lexicon(counts, lexicon_most)
-    units = make_units(words, subword_counts(counts, limit, tokenizer), ends, tokenizer)
-    shared = spark.sparkContext.broadcast(units)
-    picked = training.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(31))).limit(sample_windows)
-    sample = windows_of(picked, shared).toArrow().column("window").to_pylist()  # at most sample_windows rows
-    model = Attention.start(units.rows, units.prior)
-    if sample:
-        model.train(np.array(sample), units, epochs, 0.01)
-        model = Attention(averaged(training, shared, model.weights, 0.002))
-    trained = spark.sparkContext.broadcast(model.weights)
+    model = trained(training, unit_counts(counts, ends, tokenizer), tokenizer)
+    words = lexicon(counts, lexicon_most)
+    shared = spark.sparkContext.broadcast((model, words.column("word").combine_chunks(), words.column("n").to_numpy().astype(np.int64)))
     whole = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, model = shared.value, Attention(trained.value)
-        row = TaskContext.get().partitionId() << 33
-        log_counts = np.log10((units.word_counts + 1) / whole)
+        model, lexicon_words, word_counts = shared.value
+        enc, row = subwords(tokenizer), TaskContext.get().partitionId() << 33
+        log_counts = np.append(np.log10((word_counts + 1) / whole), 0.0)  # the last for words outside
         for b in batches:
-            for first, distinct, numbers, bounds in words_of(b.column(1)):
-                own, cuts, at = units.of_texts(distinct, numbers, bounds)
-                size = np.diff(bounds)
-                text = np.repeat(np.arange(len(size)), size)
-                known = at >= 0
-                logs = np.where(known, log_counts[np.maximum(at, 0)], 0.0) if len(log_counts) else np.zeros(len(at))
-                base = np.bincount(text, weights=logs[numbers], minlength=len(size)) + math.log10((ends + 1) / whole)
-                n_known = np.bincount(text[known[numbers]], minlength=len(size)) + (ends > 0)
-                scores = text_scores(model, units, own, cuts) / math.log(10)
-                ids = row + np.arange(len(size))
-                row += len(size)
-                none = pa.nulls(len(size), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0).slice(first, len(size)), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), none], names)
-                # Other words, once each text, for the join with their counts.
-                other = ~known[numbers]
-                pairs, times = np.unique(text[other] * len(distinct) + numbers[other], return_counts=True)
-                k = len(pairs)
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(distinct)]), pa.nulls(k, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), distinct.take(pa.array(pairs % len(distinct)))], names)
+            distinct, numbers, bounds = words_of(b.column(1))
+            at = pc.fill_null(pc.index_in(distinct, value_set=lexicon_words), len(word_counts)).to_numpy(zero_copy_only=False)
+            size = np.diff(bounds)
+            text = np.repeat(np.arange(len(size)), size)
+            known = at < len(word_counts)
+            base = np.bincount(text, weights=log_counts[at][numbers], minlength=len(size)) + math.log10((ends + 1) / whole)
+            n_known = np.bincount(text[known[numbers]], minlength=len(size)) + (ends > 0)
+            scores = text_scores(model, *units_of(enc, distinct, numbers, bounds)) / math.log(10)
+            ids = row + np.arange(len(size))
+            row += len(size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.nulls(len(size), pa.string())], names)
+            # Other words, once each text, for the join with their counts.
+            other = ~known[numbers]
+            pairs, times = np.unique(text[other] * len(distinct) + numbers[other], return_counts=True)
+            k = len(pairs)
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(distinct)]), pa.nulls(k, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), distinct.take(pa.array(pairs % len(distinct)))], names)
 
     names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word"]
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = written(thin.mapInArrow(tidied(run), "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string"), "lm-scores")
+    both = tables.written(thin.transform(by_arrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string")), "lm-scores")
     rare = both.where(F.col("word").isNotNull()).select("row", F.col("n_tokens").alias("k"), "word").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 1) / F.lit(whole))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(F.lit(0))).alias("more_known"))
     out = both.where(F.col("word").isNull()).join(rare, "row", "left")
-    return out.select(
+    out = out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
     )
+    return tables.result(out, "lm-result")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

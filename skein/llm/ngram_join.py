@@ -19,8 +19,9 @@ aggregates and passes over the texts.
    members near it. By the triangle inequality, a member that the centre doesn't link can only link
    with members whose differences from the centre share an element with its own. So the differences
    from the centre (elements gained, then elements lost) are joined by the same prefix principle,
-   with the number of shared differences that a link needs. That is a join of small sets of rare
-   elements, linear in the group, and it loses no link.
+   with the number of shared differences that a link needs. Members that share a difference and are
+   linked already, by whatever way, aren't compared: a list gives pairs of which one is outside its
+   largest component. No link between components is lost.
 6. Candidates are verified on whole sets, which a pass over the texts computes again for the nodes
    concerned. Components come from minimum labels with pointer jumping, each round a written table.
 
@@ -42,12 +43,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import removed, table, tidied, written
+from skein.llm.common import Tables, by_arrow, table
 
 #: The contract of op9_ngram_join: words of a shingle, and 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 4, 85
 #: Lists of more members than this are long.
 LONG = 48
+#: Parts into which the members of a centre are split.
+GROUPS = 256
 #: A prefix element in more documents than this is frequent; at most FREQUENT_MOST are listed.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
 _BITS = 1 << 24
@@ -116,6 +119,11 @@ def _ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def summaries(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, k1, k2 and the prefix by hash order of each row."""
 
@@ -125,18 +133,16 @@ def summaries(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
             for s in shingle_sets(b.column(1), width):
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else (0, 0))
-                parts.append(s[: prefix(len(s), percent)] if len(s) else s)
-            offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+                parts.append(s[: prefix(len(s), percent)].copy() if len(s) else s)
             k1, k2 = ([k[i] for k in keys] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), tokens], ["doc_id", "n", "k1", "k2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(parts)], ["doc_id", "n", "k1", "k2", "prefix"])
 
-    return _ids_and_texts(docs).mapInArrow(tidied(run), "doc_id long, n int, k1 long, k2 long, prefix array<long>")
+    return _ids_and_texts(docs).transform(by_arrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<long>"))
 
 
-def frequent_elements(sums: DataFrame) -> tuple[np.ndarray, float]:
+def frequent_elements(tables: Tables, sums: DataFrame) -> tuple[np.ndarray, float]:
     """The frequent prefix elements (at most FREQUENT_MOST), and the mean length of other lists."""
-    df = written(sums.select(F.explode("prefix").alias("t")).groupBy("t").count().where("count > 1"), "join-frequency")
+    df = tables.written(sums.select(F.explode("prefix").alias("t")).groupBy("t").count().where("count > 1"), "join-frequency")
     over = {r["bucket"]: r["n"] for r in df.where(F.col("count") > FREQUENT).groupBy(F.floor(F.log2("count") * 4).alias("bucket")).agg(F.count("*").alias("n")).collect()}  # a few hundred rows
     least, total = None, 0
     for bucket in sorted(over, reverse=True):
@@ -148,6 +154,7 @@ def frequent_elements(sums: DataFrame) -> tuple[np.ndarray, float]:
         listed = np.sort(df.where((F.col("count") > FREQUENT) & (F.floor(F.log2("count") * 4) >= least)).select("t").toArrow().column("t").to_numpy().astype(np.int64).view(np.uint64))
     c = F.col("count").cast("double")
     mean = df.where(F.col("count") <= FREQUENT).agg((F.sum(c * c) / F.sum(c)).alias("m")).first()["m"]
+    tables.dropped(df)
     return listed, float(mean or 1.0)
 
 
@@ -160,21 +167,48 @@ def boundary_for(mean_list: float, percent: int = PERCENT, least: int = 6, most:
     return best
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, boundary: int, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """token, k1, place: index entries of each set that a task sees for the first time.
+def postings(docs: DataFrame, frequent: np.ndarray, boundary: int, width: int = SHINGLE, percent: int = PERCENT, at_once: int = 200_000) -> DataFrame:
+    """token, k1, place, often: index entries of each set that a task sees for the first time.
 
-    place holds the set's size and the element's position, or the least position for two elements.
+    place holds the set's size and the element's position, or the least position for two elements;
+    often tells that all its elements are frequent.
     """
     both = needed(boundary + 1, percent)
-    names = ["token", "k1", "place"]
+
+    def entries(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(s)
+        p = prefix(n, percent)
+        rare, often = s, np.zeros(n, bool)
+        if len(frequent):
+            often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+            if often.any():
+                rare, often = np.concatenate([s[~often], s[often]]), np.sort(often)
+        token, pos, known = [], [], []
+        if n <= boundary:
+            i, j = np.triu_indices(p + 1, 1)
+            token.append(_mix(_mix(rare[i]) + rare[j]))
+            pos.append(np.full(len(i), PAIR, np.int64))
+            known.append(often[i] & often[j])
+        if n >= both:
+            token.append(rare[:p])
+            pos.append(np.arange(p))
+            known.append(often[:p])
+        return np.concatenate(token), np.concatenate(pos) | (n << 32), np.concatenate(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        held: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            k1 = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+            token, place, often = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(k1), pa.array(place), pa.array(often)], ["token", "k1", "place", "often"])
+
         for b in batches:
-            tokens, keys, sizes, ns, places = [], [], [], [], []
+            size = 0
             for s in shingle_sets(b.column(1), width):
-                n = len(s)
-                if n < 2:  # one element links with its equal alone
+                if len(s) < 2:  # one element links with its equal alone
                     continue
                 key = set_key(s)
                 if key in seen:
@@ -182,33 +216,15 @@ def postings(docs: DataFrame, frequent: np.ndarray, boundary: int, width: int =
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(key)
-                p = prefix(n, percent)
-                rare = s
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = frequent[at] == s
-                    if often.any():
-                        rare = np.concatenate([s[~often], s[often]])
-                part, pos = [], []
-                if n <= boundary:
-                    i, j = np.triu_indices(p + 1, 1)
-                    part.append(_mix(_mix(rare[i]) + rare[j]))
-                    pos.append(np.full(len(i), PAIR, np.int64))
-                if n >= both:
-                    part.append(rare[:p])
-                    pos.append(np.arange(p))
-                t = np.concatenate(part)
-                tokens.append(t)
-                places += pos
-                keys.append(key)
-                sizes.append(len(t))
-                ns.append(n)
-            if tokens:
-                k1 = np.repeat(np.array([k[0] for k in keys], np.int64), sizes)
-                arrays = [np.concatenate(tokens).view(np.int64), k1, (np.repeat(np.array(ns, np.int64), sizes) << 32) | np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
-
-    return _ids_and_texts(docs).mapInArrow(tidied(run), "token long, k1 long, place long")
+                held.append((key[0], *entries(s)))
+                size += len(held[-1][1])
+                if size >= at_once:
+                    yield emit()
+                    size = 0
+            if held:
+                yield emit()
+
+    return _ids_and_texts(docs).transform(by_arrow(run, "token long, k1 long, place long, often boolean"))
 
 
 def _allows(na: Column, nb: Column, percent: int) -> Column:
@@ -242,57 +258,72 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataFram
                 yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     thin = _ids_and_texts(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").select("node", "text", bit.alias("bit"))
-    return thin.mapInArrow(tidied(run), "node long, set binary").where(F.length("set") > 0)
+    return thin.transform(by_arrow(run, "node long, set binary")).where(F.length("set") > 0)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def verified(tables: Tables, docs: DataFrame, pairs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b, central. Adds linked, n (of b), d (size of the difference) and, for central
-    pairs, delta: the prefix of b's difference from a, elements gained before elements lost."""
+    pairs, delta: the prefix of b's difference from a, elements gained before elements lost.
+
+    The pairs of one a come together, and a's set goes to them once; those of a centre are split into
+    GROUPS parts, so a centre of many members is dealt over tasks.
+    """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, nodes, width), "join-sets")
-    with_a = pairs.join(sets.withColumnRenamed("set", "sa"), F.col("a") == F.col("node")).drop("node")
-    with_b = with_a.join(sets.withColumnRenamed("set", "sb"), F.col("b") == F.col("node")).drop("node")
+    sets = tables.written(sets_of(docs, nodes, width), "join-sets")
+    placed = pairs.withColumn("part", F.when(F.col("central"), F.pmod(F.xxhash64("b"), F.lit(GROUPS))).otherwise(F.lit(0)))
+    members = placed.join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "central", "set")
+    heads = placed.select("a", "part").distinct().join(sets, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), F.lit(False).alias("central"), "set")
+    grouped = members.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, firsts = None, []  # the sets of the group's a: an id of several texts has several
         for batch in batches:
-            linked, sizes, gaps, deltas = [], [], [], []
-            for central, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(a, b)
-                common = a[np.minimum(at, len(a) - 1)] == b
-                both = int(common.sum())
-                linked.append(100 * both >= percent * (len(a) + len(b) - both))
-                sizes.append(len(b))
-                gaps.append(len(a) + len(b) - 2 * both)
-                delta = np.zeros(0, np.uint64)
-                if central:
-                    most = (100 - percent) * len(b) // percent + 1
-                    delta = np.concatenate([b[~common], np.setdiff1d(a, b, assume_unique=True)])[:most]
-                deltas.append(delta.view(np.int64))
-            offsets = np.cumsum([0, *map(len, deltas)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*deltas, np.zeros(0, np.int64)])))
-            columns = [*batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(gaps, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "central", "linked", "n", "d", "delta"])
-
-    return with_b.select("a", "b", "central", "sa", "sb").mapInArrow(tidied(run), "a long, b long, central boolean, linked boolean, n int, d int, delta array<long>")
-
-
-def components(links: DataFrame) -> DataFrame:
+            out: list[list] = [[] for _ in range(7)]
+            for node, part, member, central, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                b = np.frombuffer(raw.as_buffer(), np.uint64)
+                if group != (node, part):
+                    group, firsts = (node, part), []
+                if member is None:
+                    firsts.append(b.copy())
+                    continue
+                for a in firsts:
+                    at = np.searchsorted(a, b)
+                    common = a[np.minimum(at, len(a) - 1)] == b
+                    both = int(common.sum())
+                    delta = np.zeros(0, np.uint64)
+                    if central:
+                        most = (100 - percent) * len(b) // percent + 1
+                        delta = np.concatenate([b[~common], np.setdiff1d(a, b, assume_unique=True)])[:most]
+                    row = (node, member, central, 100 * both >= percent * (len(a) + len(b) - both), len(b), len(a) + len(b) - 2 * both, delta)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), _lists(out[6])], ["a", "b", "central", "linked", "n", "d", "delta"])
+
+    checked = grouped.transform(by_arrow(run, "a long, b long, central boolean, linked boolean, n int, d int, delta array<long>"))
+    checked = tables.written(checked, "join-checked")
+    tables.dropped(sets)
+    return checked
+
+
+def components(tables: Tables, links: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component; links: a, b."""
     edges = links.select("a", "b").union(links.select("b", "a")).distinct()
-    edges = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "join-edges")
+    edges = tables.written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "join-edges")
     labels = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label"), F.lit(True).alias("moved"))
-    labels = written(labels, "join-labels")
+    labels = tables.written(labels, "join-labels")
     while labels.where("moved").limit(1).count():
         near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = step.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "before")
-        labels = written(step.select("node", "label", (F.col("label") < F.col("before")).alias("moved")), "join-labels")
-    return labels.select("node", "label")
+        last, labels = labels, tables.written(step.select("node", "label", (F.col("label") < F.col("before")).alias("moved")), "join-labels")
+        tables.dropped(last)
+    tables.dropped(edges)
+    return labels.drop("moved")
 
 
-def candidates(members: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def candidates(tables: Tables, members: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """From index entries (token, node, n, pos): pairs of short lists, and (centre, member) of long ones.
 
     A pair stays if what its prefixes share, and what may follow them, reaches a link's intersection:
@@ -302,7 +333,7 @@ def candidates(members: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     size = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
     entries = members.withColumn("size", size).withColumn("range", F.explode(F.array(F.col("size"), F.col("size") + 1)))
     lists = entries.groupBy("token", "range").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
-    entries = written(entries.join(lists, ["token", "range"]), "join-entries")
+    entries = tables.written(entries.join(lists, ["token", "range"]), "join-entries")
     x, y = (entries.where(F.col("members") <= LONG).select("token", "range", "size", "node", "n", "pos").alias(k) for k in "xy")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.range") == F.col("y.range")) & (F.col("x.node") < F.col("y.node"))
     on = on & (F.col("x.range") == F.greatest("x.size", "y.size")) & _allows(F.col("x.n"), F.col("y.n"), percent)  # each shared element once
@@ -321,52 +352,76 @@ def candidates(members: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     return pairs, central
 
 
-def differences(central: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of members of one centre, of different components, whose differences allow a link."""
+def differences(tables: Tables, central: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of members of one centre, of different components, whose differences allow a link.
+
+    A list of members that share a difference gives only pairs of which one is outside the list's
+    largest component: a family that is linked already gives none.
+    """
     m = central.join(labels.withColumnRenamed("node", "b"), "b", "left")
     m = m.select("a", "b", "linked", "n", "d", F.coalesce("label", "b").alias("label"), F.posexplode("delta").alias("pos", "token"))
-    m = written(m, "join-differences")
-    x, y = m.alias("x"), m.alias("y")
-    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.b") < F.col("y.b"))
+    m = tables.written(m, "join-differences")
+    lists = m.groupBy("a", "token", "label").agg(F.count("*").alias("members"), F.min("linked").alias("linked"))
+    lists = lists.groupBy("a", "token").agg(F.max(F.struct("members", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.min("linked").alias("all_linked"))
+    m = tables.written(m.join(lists.where((F.col("labels") > 1) & ~F.col("all_linked")).select("a", "token", "main"), ["a", "token"]), "join-differences")
+    x, y = m.where(F.col("label") != F.col("main")).alias("x"), m.alias("y")
+    on = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.b") < F.col("y.b")))
     apart = ~(F.col("x.linked") & F.col("y.linked")) & (F.col("x.label") != F.col("y.label"))
     spare = F.floor((F.col("x.n") + F.col("y.n")) * F.lit(100 - percent) / F.lit(100.0 + percent) + F.lit(1e-9))
     shared = F.least(F.col("x.d") - F.col("x.pos"), F.col("y.d") - F.col("y.pos"))
     close = _allows(F.col("x.n"), F.col("y.n"), percent) & (2 * shared >= F.col("x.d") + F.col("y.d") - spare)
-    return x.join(y, on & apart & close).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    return x.join(y, on & apart & close).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+
+def _and_central(pairs: DataFrame, central: DataFrame) -> DataFrame:
+    return pairs.withColumn("central", F.lit(False)).union(central.withColumn("central", F.lit(True)))
 
 
 def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
-    whole = written(summaries(docs, width, percent), "join-prefixes")
-    frequent, mean_list = frequent_elements(whole)
-    sums = written(whole.drop("prefix"), "join-sums")
-    removed(whole)
+    tables = Tables(docs.sparkSession)
+    whole = tables.written(summaries(docs, width, percent), "join-prefixes")
+    frequent, mean_list = frequent_elements(tables, whole)
+    sums = tables.written(whole.drop("prefix"), "join-sums")
+    tables.dropped(whole)
     named = sums.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    named = written(named, "join-nodes")
+    named = tables.written(named, "join-nodes")
     entries = postings(docs.where(F.col("doc_id").isNotNull()), frequent, boundary_for(mean_list, percent), width, percent)
-    of_token = Window.partitionBy("token")
-    entries = entries.withColumn("_least", F.min("k1").over(of_token)).withColumn("_most", F.max("k1").over(of_token)).where(F.col("_least") != F.col("_most"))
+    # An element of one set alone can't link. That is looked up for rare elements, in windows that frequent ones don't enter.
+    of_token = Window.partitionBy("token", "_own")
+    entries = entries.withColumn("_own", F.when(F.col("often"), F.col("k1"))).withColumn("_least", F.min("k1").over(of_token)).withColumn("_most", F.max("k1").over(of_token)).where(F.col("often") | (F.col("_least") != F.col("_most")))
     # k1 alone names a set here: should two sets share it, both become candidates, and only whole sets link.
     entries = entries.select("token", "k1", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
     entries = entries.join(named.select("k1", "node"), "k1").groupBy("token", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-    pairs, central = candidates(entries, percent)
-    first = pairs.withColumn("central", F.lit(False)).union(central.withColumn("central", F.lit(True)))
-    checked = written(verified(docs, written(first, "join-pairs"), width, percent), "join-checked")
-    links = checked.where("linked").select("a", "b")
+    entries = tables.written(entries, "join-postings")  # it's read twice
+    pairs = tables.written(_and_central(*candidates(tables, entries, percent)), "join-pairs")
+    tables.dropped(entries)
+    checked = verified(tables, docs, pairs, width, percent)
     several = sums.join(named, ["k1", "k2"]).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
-    links = written(links.union(several.select("a", "b")), "join-links")
-    labels = components(links)
+    links = tables.written(checked.where("linked").select("a", "b").union(several.select("a", "b")), "join-links")
+    labels = components(tables, links)
     central = checked.where("central")
     if central.limit(1).count():
-        more = written(differences(central, labels, percent).withColumn("central", F.lit(False)), "join-more")
+        more = tables.written(differences(tables, central, labels, percent).withColumn("central", F.lit(False)), "join-more")
         if more.limit(1).count():
-            links = links.union(verified(docs, more, width, percent).where("linked").select("a", "b"))
-            labels = components(written(links, "join-links"))
+            links = links.union(verified(tables, docs, more, width, percent).where("linked").select("a", "b"))
+            labels = components(tables, tables.written(links, "join-links"))
     where = named.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component"))
     out = sums.select("doc_id", "n", "k1", "k2").join(where, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id"))
+    return tables.result(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.cast("long").alias("component_id")), "join-components")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), SHINGLE, PERCENT)
+
+
+#: op9_ngram_join's rows for documents with ids, by all pairs that share a shingle.
+OP9_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(ws[i : i + 3], 'string_agg', ' ') AS shingle FROM w, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1) + 1))) AS r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS label FROM w UNION SELECT b, label FROM r JOIN u ON id = a WHERE label < b)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(c.component AS BIGINT) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(label) AS component FROM r GROUP BY id) c ON c.id = w.doc_id"""

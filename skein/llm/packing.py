@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import lists_of, table, tidied
+from skein.llm.common import by_arrow, lists_of, table
 from skein.llm.subwords import default_tokenizer, subwords
 
 #: A piece in a window: document id, ids of the document before it, id bytes, ids of the document.
@@ -177,7 +177,7 @@ def pack(
             yield rows(packer.taken())
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(tidied(run), SCHEMA + ", token_ids array<int>" * with_ids)
+    return thin.transform(by_arrow(run, SCHEMA + ", token_ids array<int>" * with_ids))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

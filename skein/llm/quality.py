@@ -5,8 +5,8 @@ over the text's size, is high where the good dictionary helps more; a short text
 what good texts usually have. A logistic curve fitted to labelled rows turns it into a score.
 
 Fitting takes a bounded sample of labelled rows: `sample_rows` of each class, chosen by a hash of
-their ids, and of each text at most `sample_pieces` pieces, spread over it. Two thirds of the sampled
-rows build the dictionaries, the others fit the curve on their whole texts. Nothing but the text is
+their ids. The whole texts of two thirds of them build the dictionaries, those of the others fit the
+curve. Nothing but the text is
 an input. Scoring reads every whole text in its own task, without a shuffle.
 
 Defined cases: a null text is empty; an empty text scores as the curve says for a usual good text of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_texts, crc32_of_id, table, tidied
+from skein.llm.common import by_arrow, byte_texts, crc32_of_id, table
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -69,6 +69,19 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * difference + self.offset))))
 
 
+def pieces(texts: list[bytes], size: int, least: int = 16) -> list[bytes]:
+    """The texts in pieces of `size` bytes; what is too short to train on is joined to what comes before."""
+    out: list[bytes] = []
+    for t in texts:
+        for at in range(0, len(t), size):
+            part = t[at : at + size]
+            if out and (len(part) < least or len(out[-1]) < least):
+                out[-1] += part
+            else:
+                out.append(part)
+    return out
+
+
 def _dictionary(pieces: list[bytes], size: int, level: int) -> tuple[bytes, bool]:
     import zstandard
 
@@ -99,7 +112,6 @@ def fit(
     labels: DataFrame,
     label_col: str = "quality",
     sample_rows: int = 2000,
-    sample_pieces: int = 16,
     dictionary_bytes: int = 64 << 10,
     piece: int = 1024,
     level: int = 3,
@@ -113,19 +125,10 @@ def fit(
         chosen = part if chosen is None else chosen.unionByName(part)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_rows ids
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in byte_texts(b.column(2)):
-                n = -(-len(t) // piece)
-                at = range(n) if n <= sample_pieces else [k * n // sample_pieces for k in range(sample_pieces)]
-                out.append([t[k * piece : (k + 1) * piece] for k in at])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["h", "y", "pieces"])
-
     third = F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % 3 == 0
-    rows = picked.where(~third).select("h", "y", "text").mapInArrow(tidied(parts), "h string, y int, pieces array<binary>").collect()
-    rows.sort(key=lambda r: r["h"])
-    by_class = [[bytes(p) for r in rows if r["y"] == y for p in r["pieces"] if len(p) >= 16] for y in (0, 1)]
+    rows = picked.where(~third).select("h", "y", F.col("text").cast("binary").alias("text")).collect()  # at most 2 * sample_rows texts
+    rows.sort(key=lambda r: (r["h"], r["text"] or b""))
+    by_class = [pieces([bytes(r["text"]) for r in rows if r["y"] == y and r["text"]], piece) for y in (0, 1)]
     (bad, bad_trained), (good, good_trained) = (_dictionary(p, dictionary_bytes, level) for p in by_class)
     model = Model(good, bad, (good_trained, bad_trained), 0.0, 1.0, 0.0, piece, level, drawn=0)
     fitted = [(r["y"], r["difference"], r["n"]) for r in scored(picked.where(third), model, "y").select("y", "difference", "n").collect()]
@@ -155,7 +158,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             more = [pa.array(difference, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([model.score(d) for d in difference], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], [f.name for f in fields] + ["difference", "n", "score"])
 
-    return docs.select("doc_id", *keep, F.col("text").cast("string").alias("_text")).mapInArrow(tidied(run), schema)
+    return docs.select("doc_id", *keep, F.col("text").cast("string").alias("_text")).transform(by_arrow(run, schema))
 
 
 def held_out() -> Column:

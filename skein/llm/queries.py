@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from skein.llm.fingerprints import op4_fingerprints
 from skein.llm.lm_scoring import op2_lm_scoring
 from skein.llm.mixing import OP8_SQL, op8_mixing
-from skein.llm.ngram_join import op9_ngram_join
+from skein.llm.ngram_join import OP9_SQL, op9_ngram_join
 from skein.llm.packing import op3_packing
 from skein.llm.quality import op10_quality
 from skein.llm.secret_scan import op7_secret_scan
@@ -25,8 +24,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
 }
 
-#: Queries without an entry run models, tokenizers or iterations, which SQL can't express.
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+#: Queries without an entry run models, tokenizers or hashes of their own, which SQL can't express.
+ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL}

@@ -10,8 +10,8 @@ Guess cost: a value that follows a credential word is segmented by dynamic progr
 words, dates, repeats, keyboard walks and brute-force spans, so that the estimated number of guesses
 is least. A value whose cost reaches `least_cost` (a power of ten) becomes a span of the kind guess,
 which covers the value alone. Values of letters alone are costed like others: ranked words keep
-prose cheap. The program looks back at most 20 characters for words, so a long value takes time in
-proportion to it.
+prose cheap. A repeat, a run or a walk reaches back as far as it goes on. The program looks back as
+far as the longest ranked word, so a long value takes time in proportion to it.
 
 Positions are code points, ends exclusive. Every task works on its own rows; nothing is shuffled.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table, tidied
+from skein.llm.common import by_arrow, table
 from skein.llm.subwords import default_tokenizer
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -46,7 +46,6 @@ CONTEXT = re.compile(
 CONTEXT_WORDS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "key", "credential", "authorization", "bearer")
 
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_WORD_MOST = 20
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -57,16 +56,23 @@ def _neighbours() -> set[tuple[str, str]]:
 _ADJACENT = _neighbours()
 
 
+class Ranks(dict):
+    """Ranks of words, and the longest word's length."""
+
+    longest = 0
+
+
 @lru_cache(maxsize=2)
-def ranked_words(path: str) -> dict[str, int]:
+def ranked_words(path: str) -> Ranks:
     """Words of three letters or more, ranked by their order in a tokenizer's vocabulary."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    words: dict[str, int] = {}
+    words = Ranks()
     for piece in sorted(vocab, key=vocab.get):
         word = piece.lstrip("Ġ").lower()
         if len(word) >= 3 and word.isascii() and word.isalpha() and word not in words:
             words[word] = len(words) + 1
+            words.longest = max(words.longest, len(word))
     return words
 
 
@@ -76,11 +82,13 @@ def _alphabet(c: str) -> int:
 
 def guess_cost(value: str, words: dict[str, int]) -> float:
     """log10 of the guesses that the cheapest segmentation takes; each segment costs a factor 2."""
-    n, low = len(value), value.lower()
+    n, low = len(value), value.lower() if value.isascii() else "".join(c.lower() if c.isascii() else c for c in value)
+    longest = words.longest if isinstance(words, Ranks) else max(map(len, words), default=0)
     step = math.log10(2)
     best = [0.0] + [math.inf] * n  # any last segment
     brute = [math.inf] * (n + 1)  # last segment brute force
     run = walk = 1
+    told = {unit: [1] * (n + 1) for unit in range(2, 5)}  # how often the block that ends here is told in a row
     for i in range(1, n + 1):
         c = math.log10(_alphabet(value[i - 1]))
         brute[i] = min(brute[i - 1] + c, best[i - 1] + step + c)
@@ -92,13 +100,11 @@ def guess_cost(value: str, words: dict[str, int]) -> float:
             cost = min(cost, best[i - run] + step + math.log10(_alphabet(value[i - 1]) * run))
         if walk >= 3:
             cost = min(cost, best[i - walk] + step + math.log10(47 * 2 * walk))
-        for unit in range(2, 5):  # a block told again
-            k = 1
-            while i - (k + 1) * unit >= 0 and value[i - (k + 1) * unit : i - k * unit] == value[i - unit : i] and k < _WORD_MOST:
-                k += 1
-            if k >= 2:
+        for unit, times in told.items():  # a block told again
+            if i >= 2 * unit and value[i - 2 * unit : i - unit] == value[i - unit : i]:
+                k = times[i] = times[i - unit] + 1
                 cost = min(cost, best[i - (k - 1) * unit] + step + math.log10(k))
-        for size in range(3, min(_WORD_MOST, i) + 1):
+        for size in range(3, min(longest, i) + 1):
             rank = words.get(low[i - size : i])
             if rank:
                 upper = sum(x.isupper() for x in value[i - size : i])
@@ -160,7 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return thin.mapInArrow(tidied(run), f"doc_id long, spans {SPANS}{kept}" + ", text string" * (mask is not None))
+    return thin.transform(by_arrow(run, f"doc_id long, spans {SPANS}{kept}" + ", text string" * (mask is not None)))
 
 
 def masked(text: str, spans: list[tuple[int, int, int, float | None]], mask: str) -> str:

@@ -11,7 +11,7 @@ library's whole encode().
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
@@ -21,10 +21,13 @@ import regex
 
 from skein.llm.common import quiet_threads
 
-#: Pieces kept by a worker, about 60 MB. At the limit it begins anew.
-KEPT_PIECES = 300_000
+#: Units that a generation of a worker's cache holds, about 25 MB; there are two.
+KEPT_UNITS = 120_000
 #: Bytes of text that are split at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Letters on which all libraries agree, then marks that end a word, for Arrow's regular expressions.
+PLAIN = r"^[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
+MARKS = ".,;:!?$%&#*"
 #: A space that Unicode white space or the end follows, for Arrow's regular expressions.
 ODD_SPACE = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 #: Fixed value: how a byte-level BPE of this family splits text into pieces.
@@ -47,47 +50,91 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Kept:
+    """A cache of two generations: at its limit the young one becomes the old one, whose entries
+    come back when they are asked for. So what is frequent stays, and the size is bounded."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+    def all(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of the keys; those that are unknown are made at once."""
+        out = list(map(self.young.get, keys))
+        if None in out:
+            lost = [k for k, got in enumerate(out) if got is None]
+            found = [self.old.get(keys[k]) for k in lost]
+            new = [k for k, got in zip(lost, found, strict=True) if got is None]
+            for k, got in zip(lost, found, strict=True):
+                out[k] = got
+            for k, got in zip(new, make([keys[k] for k in new]), strict=True):
+                out[k] = got
+            if len(self.young) + len(lost) > self.most:
+                self.young, self.old = {}, self.young
+            self.young.update((keys[k], out[k]) for k in lost[: self.most])
+        return out
+
+
+def taken(flat: np.ndarray, size: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the items hold, one after the other, and where each ends; flat has them in order of number."""
+    sizes = size[items]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = (np.cumsum(size) - size)[items]
+    shift -= ends
+    shift += sizes
+    at = np.repeat(shift.astype(kind), sizes)
+    del shift, sizes
+    at += np.arange(total, dtype=kind)
+    return flat[at], ends
+
+
+def _flat(table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(table), "<u4"), np.fromiter(map(len, table), np.int64, len(table)) // 4
+
+
 class Subwords:
     """Encoder for one tokenizer file; encode() gives ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, kept: int = KEPT_PIECES):
+    def __init__(self, path: str, kept: int = KEPT_UNITS):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
-        self.kept = kept
-        self.pieces: dict[str, bytes] = {}
+        self.spelled = [pack("<I", k) for k in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))]
+        self.size = len(self.spelled)
+        self.stems, self.units, self.pieces = Kept(kept), Kept(kept // 4), Kept(kept // 4)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        if any(" " in s for s in special):
-            raise ValueError("an added token that holds a space can't be cut at spaces")
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of one piece of the library's own split, by the library's BPE model."""
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.kept:
-                self.pieces.clear()
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-            got = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
-        return got
+        if any(" " in s or s.isalpha() for s in special):
+            raise ValueError("an added token that holds a space, or letters alone, can't be cut at spaces")
+
+    def pieces_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of the library's own split, by the library's BPE model."""
+        tokenize, spelled, alphabet = self.model.tokenize, self.spelled, self.alphabet
+        plain = lambda p: p.isascii() and p.isprintable()
+        written = (p.replace(" ", "\u0120") if plain(p) else p.encode().decode("latin-1").translate(alphabet) for p in pieces)
+        return [b"".join([spelled[t.id] for t in tokenize(p)]) for p in written]
+
+    def stems_of(self, letters: list[str]) -> list[bytes]:
+        """Ids of pieces of a space and letters."""
+        return self.pieces_of([" " + x for x in letters])
 
     def unit(self, unit: str) -> bytes:
-        got = self.pieces.get(unit)
-        if got is not None:
-            return got
-        start = 1 if unit[:1] == " " else 0
-        if unit[start:].isalpha():
-            return self.piece(unit)
-        letters = unit.rstrip(".,")
-        if letters[start:].isalpha():
-            return self.piece(letters) + self.piece(unit[len(letters) :])
+        """Ids of a stretch of text that no piece reaches out of."""
         if self.special.search(unit) or _RARE.search(unit):
-            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-            return pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.piece, PIECES.findall(unit)))
+            return b"".join([self.spelled[k] for k in self.tokenizer.encode(unit, add_special_tokens=False).ids])
+        return b"".join(self.pieces.all(PIECES.findall(unit), self.pieces_of))
+
+    def units_of(self, words: list[str]) -> list[bytes]:
+        return [self.unit(" " + w) for w in words]
 
     def encode(self, text: str) -> bytes:
         """Ids of one text."""
@@ -115,41 +162,56 @@ class Subwords:
             ids, offsets = self._chunk(pc.fill_null(texts.slice(a, z - a), ""), end_id)
             yield int(a), ids, offsets
 
+    def encode_distinct(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each as if a space stood before it, one after the other, and their numbers of ids.
+
+        Most words are letters, then marks or none: two pieces, which are looked up by themselves;
+        the others are looked up whole.
+        """
+        if not len(distinct):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        letters = pc.utf8_rtrim(distinct, MARKS)
+        marks = (pc.binary_length(distinct).to_numpy() - pc.binary_length(letters).to_numpy()).astype(np.int64)
+        plain = pc.match_substring_regex(letters, PLAIN).to_numpy(zero_copy_only=False) & (marks < 8)
+        stems = letters.filter(pa.array(plain)).dictionary_encode()
+        table = self.stems.all(stems.dictionary.to_pylist(), self.stems_of)
+        first, second = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        first[plain] = stems.indices.to_numpy()
+        first[~plain] = len(table) + np.arange(len(distinct) - len(stems))
+        table += self.units.all(distinct.filter(pa.array(~plain)).to_pylist(), self.units_of)
+        second[~plain | (marks == 0)] = len(table)
+        table.append(b"")
+        for k in np.unique(marks[plain & (marks > 0)]).tolist():
+            own = np.flatnonzero(plain & (marks == k))
+            tails = pc.utf8_slice_codeunits(distinct.take(pa.array(own)), -k).dictionary_encode()
+            second[own] = len(table) + tails.indices.to_numpy()
+            table += self.pieces.all(tails.dictionary.to_pylist(), self.pieces_of)
+        ids, ends = taken(*_flat(table), np.stack([first, second], axis=1).ravel())
+        return ids, np.diff(ends[1::2], prepend=0)
+
     def _chunk(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         words = pc.split_pattern(texts, " ")
         bounds = words.offsets.to_numpy().astype(np.int64)
         distinct = words.flatten().dictionary_encode()
-        unit_of = distinct.indices.to_numpy().astype(np.int64)
+        unit_of = distinct.indices.to_numpy().copy()
         bounds -= bounds[0]
-        table = [self.unit(" " + w) for w in distinct.dictionary.to_pylist()]
+        ids, size = self.encode_distinct(distinct.dictionary)
         # A text's first word has no space before it; a text with runs of spaces is taken whole.
         odd = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
-        empty = len(table)
         for d in odd:
-            unit_of[bounds[d] : bounds[d + 1]] = empty
-        table.append(b"")
-        firsts = [self.unit(w) for w in pc.list_element(words, 0).to_pylist()]
+            unit_of[bounds[d] : bounds[d + 1]] = len(size)
+        table = [b"" if end_id is None else pack("<I", end_id), *map(self.unit, pc.list_element(words, 0).to_pylist())]
         for d in odd:
-            firsts[d] = self.encode(texts[d].as_py())
-        unit_of[bounds[:-1]] = len(table) + np.arange(n)
-        table += firsts
-        if end_id is not None:
-            unit_of = np.insert(unit_of, bounds[1:], len(table))
-            bounds += np.arange(n + 1)
-            table.append(pack("<I", end_id))
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        start = np.cumsum(size) - size
-        sizes = size[unit_of]
-        ends = np.cumsum(sizes)
-        at = np.repeat(start[unit_of] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        ids = np.frombuffer(b"".join(table), "<u4")[at]
+            table[d + 1] = self.encode(texts[d].as_py())
+        del words, distinct
+        unit_of[bounds[:-1]] = len(size) + 2 + np.arange(n)
+        unit_of = np.insert(unit_of, bounds[1:], len(size) + 1)  # the end, empty without end_id
+        bounds += np.arange(n + 1)
+        more, sizes = _flat(table)
+        ids, ends = taken(np.concatenate([ids, more]), np.concatenate([size, [0], sizes]), unit_of)
         return ids, np.concatenate([[0], ends])[bounds]
 
-    def encode_words(self, words: Iterable[str]) -> list[list[int]]:
-        """Ids of single words, each as if a space stood before it."""
-        return [np.frombuffer(self.unit(" " + w), "<u4").tolist() for w in words]
-
 
 _ENCODERS: dict[str, Subwords] = {}
 

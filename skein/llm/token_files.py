@@ -9,7 +9,8 @@ A document's global start is the sum of what all earlier files hold plus its sta
 sums take one row a file, from the n_tokens column alone.
 
 Defined cases: a null text is empty and holds only the end id. Rows with a null id come first. Rows
-with equal ids all stay, ordered by text. An empty table gives an empty file. Other columns of the
+with equal ids, null ones too, all stay, ordered by a hash of their text, which also deals them out
+to files if they are many. An empty table gives an empty file. Other columns of the
 input don't matter.
 """
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_path, lists_of, shuffle_partitions, table, tidied
+from skein.llm.common import by_arrow, fresh_path, lists_of, shuffle_partitions, table
 from skein.llm.subwords import default_tokenizer, subwords
 
 SCHEMA = "file_no int, doc_id long, n_tokens long, start_in_file long, token_ids array<int>"
@@ -63,9 +64,11 @@ def write_token_orc(
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(tidied(encode), SCHEMA)
+        .withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "hash")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "text")
+        .select("doc_id", "text")
+        .transform(by_arrow(encode, SCHEMA))
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", row_index_stride)
@@ -101,7 +104,7 @@ def digest(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(tidied(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "n_tokens", "token_ids").transform(by_arrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ A rule fits its host and all subdomains, if the path starts with the rule's path
 wins. Rules are column expressions.
 
 Models: two smoothed variable-order Markov models over the characters of URLs, one of accepted and
-one of rejected URLs. The probability of a character is interpolated from order 0 to `order`: at
-each order the count of the context with the character, plus `prior` times the lower order's
-probability, over the context's count plus `prior`. Counts sit in tables of 2**bits cells that
-n-grams are hashed to, so the models have a fixed size whatever the corpus; tasks count in numpy and
-send their occupied cells, which are summed by a shuffle. Digits count as one character. The score is
-the difference of the two log-likelihoods over the URL's length.
+one of rejected URLs. A context of up to `order` characters belongs to a model if it holds at least
+1/`contexts` of the model's characters, so a model has at most `contexts` contexts of each length, on
+any corpus. A character's probability is interpolated from no context to the longest that belongs:
+its count after the context, plus `prior` times the shorter context's probability, over the
+context's count plus `prior`. Counts are exact sums of a shuffle by context and character; a
+context's count is the sum over its characters, so each distribution sums to one. Digits count as
+one character, as do cases of a letter. The score is the difference of the two log-likelihoods over
+the URL's length.
 
 URLs that rules decide are the labelled ones: four fifths train the models, one fifth, held out by a
 hash of the URL, calibrates the threshold, which is the score where the smaller of the shares of
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_texts, table, tidied
+from skein.llm.common import Tables, by_arrow, byte_texts, table
 
 #: (verdict, host, path)
 RULES = (
@@ -62,102 +64,134 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-@dataclass(frozen=True)
-class Alphabet:
-    order: int = 5
-    bits: int = 16
-
-    def grams(self, urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every character of every URL: context and gram cells, (order + 1, characters); lengths."""
-        pad = self.order
-        texts = [b"\x01" * pad + u for u in urls]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-        chars = np.where((chars >= 48) & (chars <= 57), np.uint64(48), chars)
-        chars = np.where((chars >= 65) & (chars <= 90), chars + np.uint64(32), chars)
-        starts = np.cumsum(sizes) - sizes
-        real = np.ones(len(chars), bool)
-        for k in range(pad):
-            real[starts + k] = False
-        at = np.flatnonzero(real)
-        shift, mult = np.uint64(64 - self.bits), np.uint64(0x9E3779B97F4A7C15)
-        context, contexts, grams = np.full(len(at), 7, np.uint64), [], []
-        for k in range(self.order + 1):
-            if k:
-                context = context * np.uint64(1_000_003) + chars[at - k] + np.uint64(1)
-            mixed = (context ^ (context >> np.uint64(29))) * mult
-            contexts.append((mixed >> shift).astype(np.int64))
-            gram = mixed + (chars[at] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            grams.append((((gram ^ (gram >> np.uint64(31))) * mult) >> shift).astype(np.int64))
-        return np.stack(contexts), np.stack(grams), sizes - pad
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def contexts_of(urls: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every character of every URL: names of its contexts (order + 1, characters), the character; lengths.
+
+    A URL is preceded by starts, so its first characters have contexts of every length too.
+    """
+    texts = [b"\x01" * order + u for u in urls]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    chars = np.where((chars >= 48) & (chars <= 57), np.uint64(48), chars)
+    chars = np.where((chars >= 65) & (chars <= 90), chars + np.uint64(32), chars)
+    starts = np.cumsum(sizes) - sizes
+    real = np.ones(len(chars), bool)
+    for k in range(order):
+        real[starts + k] = False
+    at = np.flatnonzero(real)
+    context, out = np.zeros(len(at), np.uint64), []
+    for k in range(order + 1):
+        if k:
+            context = _spread(context + chars[at - k] + np.uint64(1))
+        out.append(context)
+    return np.stack(out), chars[at], sizes - order
+
+
+def gram_of(context: np.ndarray, char: np.ndarray) -> np.ndarray:
+    return _spread(context ^ _spread(char + np.uint64(0x9E3779B97F4A7C15)))
 
 
 @dataclass(frozen=True)
-class Ratio:
-    """counts: (class, context or gram, order, cell); class 0 accepted, 1 rejected."""
+class Markov:
+    """Sorted names and counts of contexts, and of contexts with a character."""
 
-    alphabet: Alphabet
+    contexts: np.ndarray
+    totals: np.ndarray
+    grams: np.ndarray
     counts: np.ndarray
     prior: float
+
+    def probabilities(self, contexts: np.ndarray, char: np.ndarray) -> np.ndarray:
+        p = np.full(len(char), 1 / 256)
+        for own in contexts:
+            total = _counted(self.contexts, self.totals, own)
+            count = _counted(self.grams, self.counts, gram_of(own, char))
+            p = np.where(total > 0, (count + self.prior * p) / (total + self.prior), p)
+        return p
+
+
+def _counted(names: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(names):
+        return np.zeros(len(asked))
+    distinct, of = np.unique(asked, return_inverse=True)
+    at = np.minimum(np.searchsorted(names, distinct), len(names) - 1)
+    return np.where(names[at] == distinct, counts[at], 0.0)[of]
+
+
+@dataclass(frozen=True)
+class Ratio:
+    accepted: Markov
+    rejected: Markov
+    order: int
     threshold: float = 0.0
 
     def scores(self, urls: list[bytes]) -> np.ndarray:
         if not urls:
             return np.zeros(0)
-        contexts, grams, sizes = self.alphabet.grams(urls)
-        logs = []
-        for own in self.counts:
-            p = np.full(contexts.shape[1], 1 / 256)
-            for k in range(len(contexts)):
-                p = (own[1, k][grams[k]] + self.prior * p) / (own[0, k][contexts[k]] + self.prior)
-            logs.append(np.log(p))
+        contexts, char, sizes = contexts_of(urls, self.order)
+        logs = np.log(self.accepted.probabilities(contexts, char)) - np.log(self.rejected.probabilities(contexts, char))
         ends = np.cumsum(sizes)
-        sums = np.concatenate([[0.0], np.cumsum(logs[0] - logs[1])])
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
         return (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)
 
 
-def count_cells(labelled: DataFrame, alphabet: Alphabet) -> np.ndarray:
-    """labelled: rejected (int 0 or 1), url. The driver gets at most 4 * (order + 1) * 2**bits cells."""
-    shape = (2, 2, alphabet.order + 1, 1 << alphabet.bits)
+def count_models(labelled: DataFrame, order: int, contexts: int, prior: float) -> tuple[Markov, Markov]:
+    """labelled: rejected (int 0 or 1), url. The driver gets at most `contexts` contexts of each length and class, and their characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.int64)
         for b in batches:
             rejected, urls = b.column(0).to_numpy(zero_copy_only=False), byte_texts(b.column(1))
             for y in (0, 1):
                 own = [u for u, r in zip(urls, rejected, strict=True) if r == y and u]
                 if own:
-                    contexts, grams, _ = alphabet.grams(own)
-                    for k in range(shape[2]):
-                        total[y, 0, k] += np.bincount(contexts[k], minlength=shape[3])
-                        total[y, 1, k] += np.bincount(grams[k], minlength=shape[3])
-        cells = np.flatnonzero(total)
-        for a in range(0, len(cells), 50_000):
-            part = cells[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total.ravel()[part], pa.int64())], ["cell", "n"])
-
-    got = labelled.select("rejected", "url").mapInArrow(tidied(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(np.prod(shape), np.float32)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(shape)
+                    names, char, _ = contexts_of(own, order)
+                    for k in range(order + 1):
+                        grams, first, n = np.unique(gram_of(names[k], char), return_index=True, return_counts=True)
+                        columns = [np.full(len(n), y, np.int32), np.full(len(n), k, np.int32), names[k][first].view(np.int64), grams.view(np.int64), n.astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["y", "k", "context", "gram", "n"])
+
+    tables = Tables(labelled.sparkSession)
+    grams = labelled.select("rejected", "url").transform(by_arrow(count, "y int, k int, context long, gram long, n long"))
+    grams = tables.written(grams.groupBy("y", "k", "context", "gram").agg(F.sum("n").alias("n")), "url-grams")
+    size = {r["y"]: r["n"] for r in grams.where("k = 0").groupBy("y").agg(F.sum("n").alias("n")).collect()}  # two rows
+    least = F.when(F.col("y") == 1, F.lit(size.get(1, 0) / contexts)).otherwise(F.lit(size.get(0, 0) / contexts))
+    totals = tables.written(grams.groupBy("y", "k", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= least), "url-contexts")
+    kept = grams.join(totals.select("y", "k", "context"), ["y", "k", "context"], "left_semi")
+    out = []
+    for y in (0, 1):
+        parts = []
+        for df, name, n in ((totals, "context", "total"), (kept, "gram", "n")):
+            got = df.where(F.col("y") == y).select(name, n).toArrow()
+            names = got.column(name).to_numpy().view(np.uint64)
+            by_name = np.argsort(names)
+            parts += [names[by_name], got.column(n).to_numpy()[by_name].astype(np.float64)]
+        out.append(Markov(*parts, prior))
+    tables.dropped(grams, totals)
+    return out[0], out[1]
 
 
 def with_scores(urls: DataFrame, model: Ratio, *keep: str) -> DataFrame:
     """The kept columns and the score of each URL."""
     fields = [urls.schema[c] for c in keep]
+    shared = urls.sparkSession.sparkContext.broadcast(model)  # bounded by the number of contexts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(byte_texts(b.column(b.num_columns - 1))), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(byte_texts(b.column(b.num_columns - 1))), pa.float64())], [*keep, "score"])
 
-    return urls.select(*keep, F.coalesce("url", F.lit("")).alias("_url")).mapInArrow(tidied(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
+    return urls.select(*keep, F.coalesce("url", F.lit("")).alias("_url")).transform(by_arrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"))
 
 
-def fit(labelled: DataFrame, order: int = 5, bits: int = 16, prior: float = 4.0) -> Ratio:
+def fit(labelled: DataFrame, order: int = 5, contexts: int = 1 << 16, prior: float = 4.0) -> Ratio:
     """labelled: url and rejected (0 or 1)."""
-    alphabet = Alphabet(order, bits)
     held = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    model = Ratio(alphabet, count_cells(labelled.where(~held), alphabet), prior)
+    model = Ratio(*count_models(labelled.where(~held), order, contexts, prior), order)
     cell = F.least(F.greatest(F.floor((F.col("score") + _SPAN) / (2 * _SPAN) * _CALIBRATION_BINS), F.lit(0)), F.lit(_CALIBRATION_BINS - 1)).cast("int")
     table_ = np.zeros((2, _CALIBRATION_BINS))
     for r in with_scores(labelled.where(held), model, "rejected").groupBy("rejected", cell.alias("cell")).count().collect():  # at most 2 * 4001 rows
@@ -169,10 +203,10 @@ def fit(labelled: DataFrame, order: int = 5, bits: int = 16, prior: float = 4.0)
         worth = np.minimum(above, below)
         best = np.flatnonzero(worth >= worth.max() - 1e-12)
         threshold = float(best[len(best) // 2] / _CALIBRATION_BINS * 2 * _SPAN - _SPAN)
-    return Ratio(alphabet, model.counts, prior, threshold)
+    return Ratio(model.accepted, model.rejected, order, threshold)
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 5, bits: int = 16, prior: float = 4.0) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = 5, contexts: int = 1 << 16, prior: float = 4.0) -> DataFrame:
     """id, host, path, rule, verdict and score of each row."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -180,7 +214,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("by_rule", verdict)
     labelled = rows.where(F.col("by_rule").isNotNull()).select("url", (F.col("by_rule") == "block").cast("int").alias("rejected"))
-    model = fit(labelled, order, bits, prior)
+    model = fit(labelled, order, contexts, prior)
     judged = with_scores(rows, model, "page_id", "host", "path", "rule", "by_rule")
     by_method = F.when(F.col("score") >= model.threshold, F.lit("allow")).otherwise(F.lit("block"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "score")

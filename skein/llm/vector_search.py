@@ -10,9 +10,14 @@ Copies: equal vectors are one class. A query needs at most k + 1 ids of a class,
 its k + 1 smallest ids, found with a limit before the shuffle: a vector that a third of all rows
 share costs a few rows a task. Queries of one class are searched once.
 
-Search: the stated query set meets all classes in blocks. In a block of candidates, two codes at a
-time index a table of 256 sums; the `shortlist` best of each block are scored exactly, in double
-precision, on the original vectors.
+Cells: a coarse partition of the sample's unit vectors, about as many cells as the square root of the
+table, at most `most_cells`. A query meets the nearest cells alone, as many as hold the share `recall`
+of true neighbours within the sample (which is sparser than the table, so the share there is higher).
+On clustered vectors those are few; on vectors without clusters, most of them.
+
+Search: within a cell, queries and candidates meet in blocks, and only ids and codes of candidates
+move. Two codes at a time index a table of 256 sums; the `shortlist` best of a query over all its
+blocks are then fetched and scored exactly, in double precision, on the original vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
 part, nor do those of another length than the most frequent one (ties: the longer) and rows without
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import table, tidied, written
+from skein.llm.common import Tables, by_arrow, table
 
 CENTROIDS = 16
 
@@ -120,6 +125,40 @@ def fit(unit: np.ndarray, sub: int = 2, threshold: float = 0.25, rounds: int = 6
     return books
 
 
+class Cells:
+    """Unit centroids of a coarse partition."""
+
+    def __init__(self, centroids: np.ndarray, probes: int):
+        self.centroids, self.probes = centroids, probes
+
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.centroids.T).argmax(1)
+
+    def nearest(self, unit: np.ndarray) -> np.ndarray:
+        return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+
+    @staticmethod
+    def fit(unit: np.ndarray, cells: int, k: int, recall: float, rounds: int = 10, asked: int = 512, seed: int = 7) -> Cells:
+        """Spherical k-means, and the least number of probes that finds `recall` of the k nearest in the sample."""
+        unit = np.unique(unit, axis=0)
+        rng = np.random.default_rng(seed)
+        mid = unit[rng.choice(len(unit), min(cells, len(unit)), replace=False)].copy()
+        for _ in range(rounds if len(mid) > 1 else 0):
+            near = (unit @ mid.T).argmax(1)
+            total = np.stack([np.bincount(near, weights=unit[:, d], minlength=len(mid)) for d in range(unit.shape[1])], axis=1)
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            mid = np.where(size > 1e-9, total / np.maximum(size, 1e-9), mid)
+        queries = rng.choice(len(unit), min(asked, len(unit)), replace=False)
+        away = unit[queries] @ unit.T
+        away[np.arange(len(queries)), queries] = -2
+        near = np.argsort(-away, axis=1)[:, : min(k, len(unit) - 1)]
+        own = (unit @ mid.T).argmax(1)
+        place = np.argsort(np.argsort(-(unit[queries] @ mid.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
+        found = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+        probes = 1 + int(found[min(len(found) - 1, math.ceil(recall * len(found)))]) if len(found) else 1
+        return Cells(mid, min(probes, len(mid)))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -146,69 +185,97 @@ def nearest(
     every: int = 50,
     k: int = 5,
     sub: int = 2,
-    shortlist: int = 64,
-    block: int = 4096,
+    shortlist: int = 128,
+    block: int = 1 << 16,
     query_block: int = 1024,
     sample_rows: int = 16384,
+    recall: float = 0.98,
+    most_cells: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, whose id is divisible by `every`."""
     spark = vectors.sparkSession
+    tables = Tables(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = written(usable(vectors, id_col, vector_col), "vectors")
+    rows = tables.written(usable(vectors, id_col, vector_col), "vectors")
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample_rows).select("vector").toArrow()
     if not len(sample):
         return empty
-    books = fit(_unit(_matrix(sample.column("vector"))), sub)
+    unit = _unit(_matrix(sample.column("vector")))
+    books = fit(unit, sub)
+    cells = Cells.fit(unit, max(1, min(most_cells, math.isqrt(rows.count()), len(sample) // 16)), k, recall)
     firsts = Window.partitionBy("vector").orderBy("vec_id")  # limited to k + 1 before the shuffle
     kept = rows.withColumn("_n", F.row_number().over(firsts)).where(F.col("_n") <= k + 1)
     classes = kept.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class", F.col("ids")[0])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = Codebooks.packed(books.encode(_unit(_matrix(b.column(2))))) if len(b) else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["class", "ids", "vector", "codes"])
+            x = _unit(_matrix(b.column(2)))
+            codes = Codebooks.packed(books.encode(x)) if len(b) else []
+            own = cells.own(x) if len(b) else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own, pa.int32())], ["class", "ids", "vector", "codes", "cell"])
 
-    index = written(classes.select("class", "ids", "vector").mapInArrow(tidied(encode), "class long, ids array<long>, vector array<double>, codes binary"), "vector-index")
+    index = classes.select("class", "ids", "vector").transform(by_arrow(encode, "class long, ids array<long>, vector array<double>, codes binary, cell int"))
+    index = tables.written(index, "vector-index")
     queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.select("vector").distinct().join(index.select("class", "vector"), "vector")
-    asked = written(asked, "vector-queries")
-    n_blocks, n_asked = math.ceil(index.count() / block), math.ceil(asked.count() / query_block)
-    if not n_asked:
-        return empty
-    place = lambda n: (F.pmod(F.xxhash64("class"), F.lit(n))).cast("int")
-    left = asked.select("class", "vector", place(n_asked).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cb"))
-    right = index.select("class", "ids", "vector", "codes", place(n_blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("qb"))
 
-    def search(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"class": [], "vec_id": [], "score": []}
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = cells.nearest(_unit(_matrix(b.column(1)))) if len(b) else np.zeros((0, 1), int)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], ["class", "vector", "cells"])
+
+    asked = queries.select("vector").distinct().join(index.select("class", "vector"), "vector").select("class", "vector")
+    asked = tables.written(asked.transform(by_arrow(probe, "class long, vector array<double>, cells array<int>")), "vector-queries")
+    meeting = asked.select("class", F.explode("cells").alias("cell"))
+    # Blocks of each cell: at most most_cells rows.
+    blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n_cb")).join(meeting.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("n_qb")), "cell")
+    blocks = F.broadcast(tables.written(blocks, "vector-blocks"))
+    place = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.select("class", "vector", F.explode("cells").alias("cell")).join(blocks, "cell").select("class", "vector", "cell", place("n_qb").alias("qb"), every_one("n_cb").alias("cb"))
+    right = index.select("class", "codes", "cell").join(blocks, "cell").select("class", "codes", "cell", place("n_cb").alias("cb"), every_one("n_qb").alias("qb"))
+
+    def scan(q: pa.Table, c: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
         if q.num_rows and c.num_rows:
-            asked_ids, a, x = q.column("class").to_pylist(), _matrix(q.column("vector")), _matrix(c.column("vector"))
-            ids = c.column("ids").to_pylist()
-            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(x), -1).T.copy()
-            length, own = np.sqrt((x * x).sum(1)), np.sqrt((a * a).sum(1))
-            smallest = np.array([i[0] for i in ids])
-            for i, t in enumerate(_chunked_tables(books, _unit(a))):
+            ids = c.column("class").to_numpy()
+            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
+            for asker, t in zip(q.column("class").to_numpy(), _chunked_tables(books, _unit(_matrix(q.column("vector")))), strict=True):
                 approx = t[0][codes[0]]
                 for j in range(1, len(codes)):
                     approx += t[j][codes[j]]
                 best = np.argpartition(-approx, shortlist)[:shortlist] if len(approx) > shortlist else np.arange(len(approx))
-                score = (x[best] * a[i]).sum(1) / (length[best] * own[i])
-                for s in np.lexsort((smallest[best], -score))[: k + 1]:
-                    for vec_id in ids[best[s]]:
-                        out["class"].append(asked_ids[i])
-                        out["vec_id"].append(vec_id)
-                        out["score"].append(float(score[s]))
+                out.append((np.full(len(best), asker), ids[best], approx[best]))
+        parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
+        return pa.table({"class": pa.array(parts[0].astype(np.int64)), "near": pa.array(parts[1].astype(np.int64)), "approx": pa.array(parts[2].astype(np.float32))})
+
+    keys = ["cell", "qb", "cb"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "class long, near long, approx float")
+    best = Window.partitionBy("class").orderBy(F.col("approx").desc(), "near")
+    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= shortlist).select("class", "near")
+    fetched = found.join(index.select(F.col("class").alias("near"), F.col("vector").alias("candidate"), "ids"), "near")
+
+    def rerank(q: pa.Table, c: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"class": [], "vec_id": [], "score": []}
+        if q.num_rows and c.num_rows:
+            a, x = _matrix(q.column("vector"))[0], _matrix(c.column("candidate"))
+            ids = c.column("ids").to_pylist()
+            score = (x * a).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((a * a).sum()))
+            for s in np.lexsort(([i[0] for i in ids], -score))[: k + 1]:
+                out["class"] += [q.column("class")[0].as_py()] * len(ids[s])
+                out["vec_id"] += ids[s]
+                out["score"] += [float(score[s])] * len(ids[s])
         return pa.table({"class": pa.array(out["class"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, "class long, vec_id long, score double")
+    scored = asked.select("class", "vector").groupBy("class").cogroup(fetched.groupBy("class")).applyInArrow(rerank, "class long, vec_id long, score double")
     order = [F.col("score").desc(), F.col("vec_id")]
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
+    scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
     # At most k + 1 rows a class, so the join multiplies queries by k + 1.
-    by_class = found.groupBy("class").agg(F.collect_list(F.struct("score", "vec_id")).alias("found")).join(index.select("class", "vector"), "class")
+    by_class = scored.groupBy("class").agg(F.collect_list(F.struct("score", "vec_id")).alias("found")).join(index.select("class", "vector"), "class")
     hits = queries.withColumnRenamed("vec_id", "query_id").join(by_class, "vector").select("query_id", "found")
     right_order = F.sort_array(F.transform(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), lambda f: F.struct((-f["score"]).alias("away"), f["vec_id"].alias("vec_id"))))
     ranked = hits.select("query_id", F.posexplode(F.slice(right_order, 1, k)).alias("_at", "f"))
-    return ranked.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.away")).alias("score"))
+    return tables.result(ranked.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.away")).alias("score")), "vector-result")
 
 
 def _chunked_tables(books: Codebooks, queries: np.ndarray, at_once: int = 64) -> Iterator[np.ndarray]:

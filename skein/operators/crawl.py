@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.config import Settings
-from skein.operators.graph import saved
+from skein.session import Tables
 
 
 def is_relevant(title: Column, settings: Settings | None = None) -> Column:
@@ -28,6 +28,7 @@ def crawl(links: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int
     link positions from the seed, so no level is numbered in one task.
     """
     ok = relevant if relevant is not None else F.lit(True)
+    saved = Tables(links.sparkSession).written
     level = saved(seeds.select("title").distinct().select("title", F.lit(0).alias("depth"), F.array(F.struct(F.lit(0).alias("pos"), F.col("title").alias("title"))).alias("place")), "crawl")
     visited, left = level, max_pages
     for depth in range(max_depth + 1):

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.text import clean_text, split_sentences
+from skein.functions.html import page_parts
+from skein.functions.text import clean_text, is_ascii, split_sentences
 
 
 def assemble_page(df: DataFrame, base_url: str = "https://en.wikipedia.org/wiki/") -> DataFrame:
     """Raw pages of title, summary and html columns."""
-    from skein.functions.html import html_infobox, html_sections
-
-    return df.withColumns({"url": F.concat(F.lit(base_url), F.replace("title", F.lit(" "), F.lit("_"))), "sections": html_sections("html"), "infobox": html_infobox("html")})
+    out = df.withColumn("_parts", page_parts("html"))
+    return out.withColumns({"url": F.concat(F.lit(base_url), F.replace("title", F.lit(" "), F.lit("_"))), "sections": F.col("_parts.sections"), "infobox": F.col("_parts.infobox")}).drop("_parts")
 
 
 def clean_documents(raw: DataFrame) -> DataFrame:
@@ -40,15 +42,46 @@ def clean_documents(raw: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def nfkc_all(s: pd.Series) -> pd.Series:
-    import unicodedata
-
+def _nfkc_all(s: pd.Series) -> pd.Series:
     return s.map(lambda a: None if a is None else [unicodedata.normalize("NFKC", x) for x in a])
 
 
-def full_text(summary: Column, sections: Column) -> Column:
-    """The one text that mentions and sentence spans are both places in."""
-    return F.concat_ws("\n\n", F.concat(F.array(F.coalesce(summary, F.lit(""))), F.filter(F.transform(sections, lambda s: s["text"]), lambda t: F.coalesce(t, F.lit("")) != "")))
+def nfkc_all(texts: str) -> Column:
+    """NFKC of an array of texts; those of ASCII alone don't leave the JVM."""
+    return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda t: ~is_ascii(t)), F.col(texts))), F.col(texts))
+
+
+def full_text(summary: Column, sections: Column, more: Column | None = None) -> Column:
+    """The one text that mentions and sentence spans are both places in. more: further texts, as an array."""
+    parts = [F.array(F.coalesce(summary, F.lit(""))), F.filter(F.transform(sections, lambda s: s["text"]), lambda t: F.coalesce(t, F.lit("")) != "")]
+    return F.concat_ws("\n\n", F.concat(*parts, *([more] if more is not None else [])))
+
+
+def text_of(docs: DataFrame) -> Column:
+    """The text of documents that may name their parts otherwise.
+
+    The summary; the text or else the content of each section, of the list sections or else body;
+    then text and content of the document itself; joined by blank lines. Without any of these, all
+    string columns; without those, the row as JSON.
+    """
+    fields = {f.name: f.dataType for f in docs.schema.fields}
+    strings = [c for c, t in fields.items() if isinstance(t, T.StringType)]
+    own = lambda c: F.array(F.col(c)) if c in strings else F.array().cast("array<string>")
+
+    def texts(name: str) -> Column | None:
+        kind = fields.get(name)
+        if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
+            return None
+        have = [f for f in ("text", "content") if f in kind.elementType.fieldNames()]
+        if not have:
+            return None
+        return F.filter(F.transform(F.col(name), lambda s: F.coalesce(*[F.nullif(s[f], F.lit("")) for f in have])), lambda t: t.isNotNull())
+
+    lists = [t for t in map(texts, ("sections", "body")) if t is not None]
+    chosen = [F.coalesce(*[F.when(F.size(F.col(n)) > 0, t) for n, t in zip([n for n in ("sections", "body") if texts(n) is not None], lists, strict=True)], F.array().cast("array<string>"))] if lists else []
+    parts = F.filter(F.concat(own("summary"), *chosen, own("text"), own("content")), lambda t: t.isNotNull())
+    every = F.filter(F.array(*[F.col(c) for c in strings]), lambda t: t.isNotNull()) if strings else F.array().cast("array<string>")
+    return F.when(F.size(parts) > 0, F.concat_ws("\n\n", parts)).when(F.size(every) > 0, F.concat_ws("\n\n", every)).otherwise(F.to_json(F.struct(*docs.columns)))
 
 
 def sentence_table(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import apply_aliases
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the checkpoint folder where one is set, else cached: it ends the lineage of a loop."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return df.persist()
-    path = f"{base.rstrip('/')}/skein/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from skein.session import Tables
 
 
 def edges_multi(triples: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -45,11 +33,13 @@ def fold_edges(edges: DataFrame) -> DataFrame:
 
 
 def node_table(edges: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Distinct ends in order of first sight (heads before tails), with the dictionary's attributes.
+    """Distinct ends in order of first sight, with the dictionary's attributes.
 
+    seq is that of the edge (of any type that sorts) and which end of it: a head goes before its tail.
     dictionary: mention, type, and optionally wikidata_qid and wikidata_description.
     """
-    ends = edges.select(F.col("source").alias("id"), (F.col("seq") * 2).alias("seq")).union(edges.select("target", F.col("seq") * 2 + 1))
+    place = lambda end: F.struct(F.col("seq").alias("edge"), F.lit(end).alias("end")).alias("seq")
+    ends = edges.select(F.col("source").alias("id"), place(0)).union(edges.select("target", place(1)))
     n = ends.groupBy("id").agg(F.min("seq").alias("seq"))
     blank = F.lit("")
     if dictionary is None:
@@ -71,6 +61,16 @@ def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(nodes, edges), "id")
 
 
+def max_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The largest degree, 0 without nodes: what sizes are scaled by."""
+    return degrees(nodes, edges).agg(F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"))
+
+
+def used_types(nodes: DataFrame) -> DataFrame:
+    """The types that nodes have, in order of code points."""
+    return nodes.select(F.coalesce("type", F.lit("UNKNOWN")).alias("type")).distinct().orderBy("type")
+
+
 def top_degree(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     return with_degrees(nodes, edges).orderBy(F.desc("degree"), "seq").limit(most).select("id", "degree")
 
@@ -96,18 +96,21 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("source").alias("u"), F.col("target").alias("v")).union(e.select("target", "source")).distinct()
 
 
-def hops(edges: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
+def hops(edges: DataFrame, centers: DataFrame, radius: int, tables: Tables | None = None) -> DataFrame:
     """id and distance of every node at most `radius` steps, of either direction, from a centre (id).
 
     A level at a time: the frontier meets the edges in a join, and what was seen before goes. The
-    number of joins is the radius, whatever the graph's size.
+    number of joins is the radius, whatever the graph's size. Links and levels are written, so no
+    level computes the graph again.
     """
-    seen = centers.select("id").distinct().withColumn("distance", F.lit(0))
-    frontier, links = seen, undirected(edges)
+    own = tables or Tables(edges.sparkSession)
+    links = own.written(undirected(edges), "links")
+    seen = frontier = own.written(centers.select("id").distinct().withColumn("distance", F.lit(0)), "hops")
     for k in range(1, radius + 1):
         near = links.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        frontier = near.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k))
+        frontier = own.written(near.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k)), "hops")
         seen = seen.union(frontier)
+    own.dropped(links)
     return seen
 
 
@@ -115,11 +118,25 @@ def ego(nodes: DataFrame, edges: DataFrame, centers: DataFrame, radius: int = 1,
     """Nodes (with distance) and induced edges around a centre, of at most max_nodes nodes.
 
     Nearer nodes stay first, then those of higher degree in the whole graph, then by label and id.
+    Degrees are counted for reached nodes alone.
     """
-    d = hops(edges, centers, radius)
-    n = with_degrees(nodes, edges).join(d, "id")
-    n = n.orderBy("distance", F.desc("degree"), F.lower("label"), "id").limit(max_nodes)
-    return n, induced(edges, n)
+    tables = Tables(edges.sparkSession)
+    edges = tables.written(edges, "ego-edges")
+    reached = nodes.join(hops(edges, centers, radius, tables), "id")
+    n = reached.join(degrees_of(reached, edges), "id")
+    n = tables.written(n.orderBy("distance", F.desc("degree"), F.lower("label"), "id").limit(max_nodes), "ego-nodes")
+    e = tables.written(induced(edges, n), "ego-induced")
+    tables.dropped(edges)
+    return n, e
+
+
+def degrees_of(chosen: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degrees of the chosen ids; other ends are dropped before they are counted."""
+    ids = chosen.select("id").distinct()
+    ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o")).union(edges.select("target", F.lit(0)))
+    d = ends.join(ids, "id", "left_semi").groupBy("id").agg(F.sum("o").alias("_out"), F.count("*").alias("_all"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return ids.join(d, "id", "left").select("id", (zero("_all") - zero("_out")).alias("in_degree"), zero("_out").alias("out_degree"), zero("_all").alias("degree"))
 
 
 def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -132,16 +149,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component, the least id of its weakly connected component.
 
     Each round takes the least label among neighbours and then the label's own label, so a chain
-    shortens by halves; a round's result is saved, and the loop ends when nothing changes.
+    shortens by halves; a round's result is written, and the loop ends when nothing changes.
     """
-    links = saved(undirected(edges), "links")
-    labels = saved(nodes.select("id", F.col("id").alias("component"), F.lit(True).alias("moved")), "labels")
+    tables = Tables(edges.sparkSession)
+    links = tables.written(undirected(edges), "links")
+    labels = tables.written(nodes.select("id", F.col("id").alias("component"), F.lit(True).alias("moved")), "labels")
     while labels.where("moved").limit(1).count():
         near = links.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
         step = step.join(jump, "component", "left").select("id", F.least("component", "further").alias("component"), "before")
-        labels = saved(step.select("id", "component", (F.col("component") != F.col("before")).alias("moved")), "labels")
+        last, labels = labels, tables.written(step.select("id", "component", (F.col("component") != F.col("before")).alias("moved")), "labels")
+        tables.dropped(last)
+    tables.dropped(links)
     return labels.select("id", "component")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.config import LOW_VALUE_TYPES
-from skein.functions.text import cosine, link_score
+from skein.functions.text import cosine, link_score, split_sentences
 
 #: A detector turns texts into lists of (mention, type, start, end).
 Detector = Callable[[Iterable[str]], Iterable[list[tuple[str, str, int, int]]]]
@@ -70,11 +71,56 @@ def entity_rows(mentions: DataFrame, links: DataFrame | None, key: str) -> DataF
     return m.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*fields))), lambda e: e.dropFields("pos")).alias("entities"))
 
 
+#: Characters of a stretch of text by which mentions and sentences meet.
+STRETCH = 512
+
+
+def worthwhile(kind: Column) -> Column:
+    """Types that make candidate pairs; a mention without type may."""
+    return ~F.coalesce(kind, F.lit("")).isin(*LOW_VALUE_TYPES)
+
+
 def mentions_in_sentences(sentences: DataFrame, mentions: DataFrame, key: str) -> DataFrame:
-    """Mentions that lie within a sentence: an equal key and a range condition, so it stays a hash or merge join."""
-    m = mentions.where(~F.coalesce("type", F.lit("")).isin(*LOW_VALUE_TYPES))
-    s = sentences.withColumnRenamed(key, "_key")
-    return s.join(m, (F.col("_key") == F.col(key)) & (F.col("start") >= F.col("sent_start")) & (F.col("end") <= F.col("sent_end"))).drop("_key")
+    """Mentions that lie within a sentence.
+
+    Both are cut into stretches of text, so a mention meets only the sentences that reach into the
+    stretch where it starts: the join is by key and stretch, and its cost follows the text's length.
+    """
+    m = mentions.where(worthwhile(F.col("type"))).withColumn("_at", F.floor(F.col("start") / STRETCH))
+    s = sentences.withColumnRenamed(key, "_key").withColumn("_at", F.explode(F.sequence(F.floor(F.col("sent_start") / STRETCH), F.floor(F.greatest(F.col("sent_end") - 1, F.col("sent_start")) / STRETCH))))
+    s = s.withColumnRenamed("_at", "_stretch")
+    on = (F.col("_key") == F.col(key)) & (F.col("_stretch") == F.col("_at")) & (F.col("start") >= F.col("sent_start")) & (F.col("end") <= F.col("sent_end"))
+    return s.join(m, on).drop("_key", "_at", "_stretch")
+
+
+def sentence_mentions(docs: DataFrame, key: str, text: str, factory: Callable[[], Detector] | None = None, source: str = "pattern") -> DataFrame:
+    """mentions_in_sentences(sentence_spans, detect_mentions) in one pass over the texts, without a join.
+
+    Sentences come in order of place, and so do a detector's mentions, or they are sorted; each
+    mention is placed by binary search.
+    """
+    factory = factory or pattern_detector()
+    columns = [key, "sent_idx", "sentence", "sent_start", "sent_end", "pos", "mention", "type", "start", "end", "source"]
+
+    def run(batches):
+        detector = factory()
+        for b in batches:
+            rows = []
+            for k, t, ss, ms in zip(b[key], b["_t"], b["_s"], detector(b["_t"]), strict=True):
+                starts, ends, at = [], [], 0
+                for s in ss if ss is not None else ():
+                    found = t.find(s, at)
+                    starts.append(found if found >= 0 else at)
+                    at = starts[-1] + len(s)
+                    ends.append(at)
+                for pos, (mention, kind, start, end) in enumerate(ms):
+                    i = bisect_right(starts, start) - 1
+                    if i >= 0 and end <= ends[i] and (kind or "") not in LOW_VALUE_TYPES:
+                        rows.append((k, i, ss[i], starts[i], ends[i], pos, mention, kind, start, end, source))
+            yield pd.DataFrame(rows, columns=columns)
+
+    thin = docs.select(key, F.col(text).alias("_t"), split_sentences(F.col(text)).alias("_s"))
+    return thin.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, sent_idx int, sentence string, sent_start int, sent_end int, pos int, mention string, type string, start int, end int, source string")
 
 
 def first_of_span(placed: DataFrame, key: str) -> DataFrame:
@@ -90,7 +136,7 @@ def candidate_pairs(placed: DataFrame, key: str, most: int = 10) -> DataFrame:
     `most` rows leave a sentence, however many mentions it has.
     """
     fields = ["pos", "mention", "type", "start", "end"] + (["qid"] if "qid" in placed.columns else [])
-    lists = placed.groupBy(key, "sent_idx", "sentence").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("m"))
+    lists = placed.groupBy(key, "sent_idx").agg(F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(F.struct(*fields))).alias("m"))
     usable = lambda a, b: (a["mention"] != b["mention"]) & ~(a["type"].eqNullSafe(F.lit("DATE")) & b["type"].eqNullSafe(F.lit("DATE")))
     paired = lambda a, i, m: F.transform(F.slice(F.filter(F.transform(m, lambda b, j: F.struct(b.alias("b"), j.alias("j"))), lambda x: (x["j"] > i) & usable(a, x["b"])), 1, most), lambda x: F.struct(a.alias("a"), x["b"].alias("b")))
     # A fold keeps the first pairs only, so later mentions add nothing once the list is full.
@@ -100,3 +146,16 @@ def candidate_pairs(placed: DataFrame, key: str, most: int = 10) -> DataFrame:
     out = lists.select(key, "sent_idx", "sentence", F.posexplode(pairs).alias("pair", "p"))
     sides = [F.col(f"p.{s}.{f}").alias(n if f == "mention" else f"{n}_{f}") for s, n in (("a", "head"), ("b", "tail")) for f in fields if f != "pos"]
     return out.select(key, "sent_idx", "sentence", (F.col("pair") + 1).alias("pair"), *sides)
+
+
+def doc_totals(entities: DataFrame) -> DataFrame:
+    """Numbers of documents, of entities and of linked entities. entities: doc and entities."""
+    linked = F.size(F.filter("entities", lambda e: F.coalesce(e["wikidata_qid"], F.lit("")) != "")) if "wikidata_qid" in entities.schema["entities"].simpleString() else F.lit(0)
+    n = F.greatest(F.size("entities"), F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return entities.agg(F.count("*").alias("docs"), zero(F.sum(n)).alias("entities"), zero(F.sum(linked)).alias("linked"))
+
+
+def with_documents(entities: DataFrame, docs: DataFrame, key: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """Entities of documents that are there, with them, and the names of those that aren't."""
+    return entities.join(docs, key), entities.select(key).join(docs.select(key), key, "left_anti")

@@ -27,23 +27,59 @@ def attribute_triples(docs: DataFrame, mapping: DataFrame, order: str | None = N
     )
 
 
+def _grams(c: Column, size: int) -> Column:
+    """The distinct runs of `size` characters."""
+    n = F.length(c) - (size - 1)
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): texts of three characters or more and those that hold them.
+
+    A text is looked up by the one of its trigrams that fewest outer texts have, so the join is by
+    key; what it finds is checked.
+    """
+    own = outer.select("outer", F.explode(_grams(F.col("outer"), 3)).alias("gram"))
+    often = own.groupBy("gram").count()
+    rarest = inner.select("inner", F.explode(_grams(F.col("inner"), 3)).alias("gram")).join(often, "gram").groupBy("inner").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    return rarest.join(own, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+
+
+def related_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b): names of three characters or more of which either holds the other."""
+    a, b = (df.select(name).where(F.length(name) >= 3).distinct() for df, name in ((a, "a"), (b, "b")))
+    first = _containing(a.select(F.col("a").alias("inner")), b.select(F.col("b").alias("outer"))).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
+    second = _containing(b.select(F.col("b").alias("inner")), a.select(F.col("a").alias("outer"))).select(F.col("outer").alias("a"), F.col("inner").alias("b"))
+    return first.union(second).distinct()
+
+
 def distant_labels(candidates: DataFrame, facts: DataFrame, key: str = "cand_seq") -> DataFrame:
     """candidates (key, head, tail) with relation: the first fact whose names match, else 'none'.
 
     Names match if either holds the other; tails need three characters at least. A forward match
     goes before a reverse one, then an equal key, then the longest key, then the first fact.
-    The names are compared once for each distinct pair. Every match shares a token or a whole name
-    with the fact, but a part of a word may match too, so the comparison is a theta join; facts are
-    one corpus' attribute table, and the smaller side is what Spark chooses to send.
+
+    Names are compared once for each distinct pair, and no join is without a key: heads of three
+    characters or more meet fact heads by trigrams, and what is shorter on either side meets by
+    tails, of which the shorter ones are looked up among the tails' parts.
     """
     c = candidates.select("head", "tail").distinct().withColumns({"_h": match_norm(F.col("head")), "_t": match_norm(F.col("tail"))})
-    f = facts.select(F.col("fact_seq"), F.col("relation"), match_norm(F.col("head")).alias("_k"), match_norm(F.col("tail")).alias("_v"))
-    within = lambda a, b: F.contains(a, b) | F.contains(b, a)
-    hit = lambda h, t: within(F.col("_k"), h) & (F.length(t) >= 3) & within(F.col("_v"), t)
-    forward, reverse = hit(F.col("_h"), F.col("_t")), hit(F.col("_t"), F.col("_h"))
-    j = c.join(f, forward | reverse).withColumn("_dir", F.when(forward, F.lit(0)).otherwise(F.lit(1)))
-    near = F.when(F.col("_dir") == 0, F.col("_h")).otherwise(F.col("_t"))
-    rank = F.struct(F.col("_dir"), (F.col("_k") != near).cast("int"), -F.length("_k"), F.col("fact_seq"))
+    ways = [c.select("head", "tail", F.lit(d).alias("_dir"), F.col(p).alias("_p"), F.col(q).alias("_q")) for d, p, q in ((0, "_h", "_t"), (1, "_t", "_h"))]
+    ways = ways[0].union(ways[1]).where(F.length("_q") >= 3)
+    # Of facts that match alike the first one counts.
+    f = facts.select("fact_seq", "relation", match_norm(F.col("head")).alias("_k"), match_norm(F.col("tail")).alias("_v"))
+    f = f.groupBy("_k", "_v").agg(F.min_by("relation", "fact_seq").alias("relation"), F.min("fact_seq").alias("fact_seq"))
+    within = lambda x, y: F.contains(x, y) | F.contains(y, x)
+    heads = related_names(ways.select(F.col("_p").alias("a")), f.select(F.col("_k").alias("b")))
+    tails = related_names(ways.select(F.col("_q").alias("a")), f.select(F.col("_v").alias("b")))
+    short = (F.length("_p") < 3) | (F.length("_k") < 3)
+    columns = ("head", "tail", "_dir", "_p", "_k", "relation", "fact_seq")
+    by_head = ways.join(heads, F.col("_p") == F.col("a")).join(f, F.col("b") == F.col("_k")).where(within(F.col("_q"), F.col("_v")))
+    by_tail = ways.join(tails, F.col("_q") == F.col("a")).join(f, F.col("b") == F.col("_v")).where(short & within(F.col("_p"), F.col("_k")))
+    parts = ways.withColumn("_part", F.explode(F.concat(F.array(F.lit("")), _grams(F.col("_q"), 1), _grams(F.col("_q"), 2))))
+    by_part = parts.join(f.where(F.length("_v") < 3), F.col("_part") == F.col("_v")).where(short & within(F.col("_p"), F.col("_k")))
+    j = by_head.select(*columns).union(by_tail.select(*columns)).union(by_part.select(*columns))
+    rank = F.struct(F.col("_dir"), (F.col("_k") != F.col("_p")).cast("int"), -F.length("_k"), F.col("fact_seq"))
     best = j.groupBy("head", "tail").agg(F.min_by("relation", rank).alias("relation"))
     return candidates.join(best, ["head", "tail"], "left").withColumn("relation", F.coalesce("relation", F.lit("none")))
 

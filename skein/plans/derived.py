@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.operators.graph import edges_multi, fold_edges, node_table
+from skein.operators.search import indexed
+from skein.session import Tables
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages", "embeddings", "events")
 
@@ -34,16 +36,39 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples with an order of arrival, as a struct that needs no global numbering."""
+    """Triples of all sources with an order of arrival that needs no global numbering."""
     t = spark.sql(TRIPLES, **tables(spark, sf_dir, "region", "nation", "customer", "supplier", "part", "lineitem"))
     return t.withColumn("seq", t["seq"].cast("long"))
 
 
+_SAVED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and folded edges of the attribute and key sources."""
-    t = key_triples(spark, sf_dir)
-    e = edges_multi(t)
-    return node_table(e, dictionary(spark, sf_dir)), fold_edges(e)
+    """Nodes and folded edges of all triples."""
+    nodes, edges = searchable(spark, sf_dir)
+    return nodes.select("seq", "id", "label", "type", "wikidata_qid", "description"), edges
+
+
+def searchable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes, with search fields and degrees, and folded edges of all triples.
+
+    They are written once for a session and folder, as a service keeps them, and read from there: the
+    test tables don't change. forget() drops them.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        tables = Tables(spark)
+        multi = tables.written(edges_multi(triples(spark, sf_dir)), "graph-triples")
+        edges = tables.written(fold_edges(multi), "graph-edges")
+        nodes = node_table(multi, dictionary(spark, sf_dir))
+        _SAVED[key] = tables.written(indexed(nodes, edges), "graph-nodes"), edges
+        tables.dropped(multi)
+    return _SAVED[key]
+
+
+def forget() -> None:
+    _SAVED.clear()
 
 
 KEY_TRIPLES = TRIPLES.rsplit(" UNION ALL ", 1)[0]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.config import RELATION_MAPPING
-from skein.functions.text import clean_text, cosine, link_score, relation_color_number, split_value, tokens
+from skein.config import LISTED_RELATIONS, RELATION_MAPPING, WHOLE_RELATIONS
+from skein.functions.text import (
+    TYPE_COLORS, clean_text, cosine, edge_identity, edge_width, file_name_of_title, link_score, node_size, relation_color_number, search_norm, split_value, title_of_file_name, tokens, tooltip, type_color,
+)
 from skein.operators import crawl as crawl_ops
 from skein.operators import documents as doc_ops
 from skein.operators import graph as g
@@ -16,8 +18,8 @@ from skein.operators import mentions as m
 from skein.operators import merge as mg
 from skein.operators import search as s
 from skein.operators import triples as tr
-from skein.plans.derived import DICTIONARY, KEY_TRIPLES, TRIPLES, dictionary, graph, key_triples, plain, triples
-from skein.sources.files import mapping_table
+from skein.plans.derived import DICTIONARY, KEY_TRIPLES, TRIPLES, dictionary, graph, key_triples, plain, searchable, triples
+from skein.sources.files import mapping_table, remaining
 from skein.sources.wiki import page_links, page_titles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +59,10 @@ def q_sentence_split(spark, sf_dir):
     return doc_ops.sentence_table(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("sentence_spans")
+@query("sentence_spans", r"""WITH p0 AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents),
+p1 AS (SELECT doc_id, i, parts[i] AS part, trim(parts[i], chr(32) || chr(9) || chr(10) || chr(13)) AS sentence, coalesce(sum(length(parts[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p0, unnest(range(1, len(parts) + 1)) AS r(i)),
+p2 AS (SELECT *, before + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(10) || chr(13))) AS first FROM p1 WHERE sentence <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sent_idx, sentence, CAST(first AS INTEGER) AS sent_start, CAST(first + length(sentence) AS INTEGER) AS sent_end FROM p2""")
 def q_sentence_spans(spark, sf_dir):
     return doc_ops.sentence_spans(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -67,15 +72,23 @@ def q_title_tokens(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.size(tokens(F.concat_ws(" ", "p_name", "p_type"))).cast("long").alias("n_tokens"))
 
 
-@query("value_split", r"""WITH v AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'birth_place' WHEN 1 THEN 'award_received' ELSE 'known_for' END AS relation, c_name || ' (' || c_mktsegment || '); ' || lower(c_mktsegment) || '  ' || c_name || ' of the market' AS value FROM customer),
-p AS (SELECT c_custkey, relation, CASE WHEN relation = 'birth_place' THEN [trim(regexp_replace(value, '\([^)]*\)', '', 'g'), ' ,')] ELSE list_filter(list_transform(string_split(value, ';'), lambda x: trim(regexp_replace(x, '\([^)]*\)', '', 'g'))), lambda x: x <> '') END AS parts FROM v),
-f AS (SELECT c_custkey, CASE WHEN relation = 'known_for' THEN flatten(list_transform(parts, lambda x: CASE WHEN length(x) > 20 THEN list_filter(list_transform(regexp_split_to_array(x, '\s{2,}'), lambda y: trim(y)), lambda y: y <> '') ELSE [x] END)) ELSE parts END AS parts FROM p)
+RELATIONS = sorted(set(RELATION_MAPPING.values()))
+_VALUE = "c_name || ' (' || c_mktsegment || '); 12 May 1912 ' || lower(c_mktsegment) || '  ' || c_name || ' of the market, 1912-05-12, aged 41'"
+
+
+@query("value_split", rf"""WITH v AS (SELECT c_custkey, [{', '.join(repr(r) for r in RELATIONS)}][c_custkey % {len(RELATIONS)} + 1] AS relation, {_VALUE} AS value FROM customer),
+b AS (SELECT *, trim(regexp_replace(value, '\([^)]*\)', '', 'g')) AS plain, list_filter(list_transform(regexp_split_to_array(value, '[;\n]'), lambda x: trim(regexp_replace(x, '\([^)]*\)', '', 'g'))), lambda x: x <> '') AS listed FROM v),
+w AS (SELECT *, CASE relation
+  WHEN 'birth_place' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(plain, '^[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+\s*', ''), '\d{{4}}-\d{{2}}-\d{{2}}', '', 'g'), '\d{{1,2}} \w+ \d{{4}}', '', 'g'), '^[ ,]+|[ ,]+$', '', 'g')
+  WHEN 'death_place' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(plain, '\d{{1,2}} \w+ \d{{4}}', '', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}', '', 'g'), 'aged \d+', '', 'g'), '^[ ,]+|[ ,]+$', '', 'g')
+  ELSE plain END AS whole FROM b),
+f AS (SELECT c_custkey, CASE WHEN relation IN ({', '.join(repr(r) for r in WHOLE_RELATIONS)}) THEN (CASE WHEN length(whole) > 1 THEN [whole] ELSE [] END)
+  WHEN relation IN ({', '.join(repr(r) for r in LISTED_RELATIONS)}) THEN flatten(list_transform(listed, lambda x: CASE WHEN length(x) > 20 THEN list_filter(list_transform(regexp_split_to_array(x, '\s{{2,}}'), lambda y: trim(y)), lambda y: y <> '') ELSE [x] END)) ELSE listed END AS parts FROM w)
 SELECT c_custkey, CAST(i - 1 AS INTEGER) AS part, parts[i] AS tail FROM f, unnest(range(1, len(parts) + 1)) AS r(i)""")
 def q_value_split(spark, sf_dir):
     c = _read(spark, sf_dir, "customer")
-    relation = F.when(F.col("c_custkey") % 3 == 0, "birth_place").when(F.col("c_custkey") % 3 == 1, "award_received").otherwise("known_for")
-    value = F.concat(F.col("c_name"), F.lit(" ("), F.col("c_mktsegment"), F.lit("); "), F.lower("c_mktsegment"), F.lit("  "), F.col("c_name"), F.lit(" of the market"))
-    return c.select("c_custkey", F.posexplode(split_value(value, relation)).alias("part", "tail"))
+    relation = F.element_at(F.array(*map(F.lit, RELATIONS)), (F.col("c_custkey") % len(RELATIONS) + 1).cast("int"))
+    return c.select("c_custkey", F.posexplode(split_value(F.expr(_VALUE), relation)).alias("part", "tail"))
 
 
 @query("relation_color", "SELECT p_type, CAST(list_sum(list_transform(range(1, length(p_type) + 1), lambda i: i * ord(substr(lower(p_type), i, 1)))) % 12 AS INTEGER) AS color FROM (SELECT DISTINCT p_type FROM part)")
@@ -83,6 +96,11 @@ def q_relation_color(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_type").distinct().select("p_type", relation_color_number(F.col("p_type")).cast("int").alias("color"))
 
 
+@query("search_text", r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS folded FROM documents")
+def q_search_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", search_norm(F.col("text")).alias("folded"))
+
+
 # Mentions
 
 
@@ -94,42 +112,82 @@ def q_mention_detect(spark, sf_dir):
     return m.detect_mentions(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pos", "mention")
 
 
+TYPED = "[A-Z][a-z]+(?: [A-Z][a-z]+)*|[0-9]+"
+TYPE_SQL = "CASE WHEN NOT regexp_matches({m}, '^[0-9]') THEN 'UNKNOWN' WHEN length({m}) = 4 THEN 'DATE' ELSE 'CARDINAL' END"
+
+
+def typed_detector():
+    """Runs of capitalised words, years as dates, and other numbers."""
+
+    def make():
+        find = m.pattern_detector(TYPED)()
+        kind = lambda x: "UNKNOWN" if not x[0].isdigit() else "DATE" if len(x) == 4 else "CARDINAL"
+        return lambda texts: ([(x, kind(x), a, z) for x, _, a, z in found] for found in find(texts))
+
+    return make
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return m.first_of_span(m.mentions_in_sentences(doc_ops.sentence_spans(docs, "doc_id", "text"), m.detect_mentions(docs, "doc_id", "text"), "doc_id"), "doc_id")
+    return m.sentence_mentions(_read(spark, sf_dir, "documents"), "doc_id", "text", typed_detector())
 
 
 # A mention never crosses a sentence's end, so mentions of sentences are those of the whole text.
-IN_SENTENCE = "placed AS (SELECT doc_id, sent_idx, sentence, CAST(i - 1 AS INTEGER) AS at, ms[i] AS mention FROM (SELECT *, regexp_extract_all(sentence, '[A-Z][a-z]+(?: [A-Z][a-z]+)*') AS ms FROM sent), unnest(range(1, len(ms) + 1)) AS r(i))"
+IN_SENTENCE = f"""found AS (SELECT doc_id, sent_idx, sentence, CAST(i - 1 AS INTEGER) AS at, ms[i] AS mention FROM (SELECT *, regexp_extract_all(sentence, '{TYPED}') AS ms FROM sent), unnest(range(1, len(ms) + 1)) AS r(i)),
+placed AS (SELECT *, {TYPE_SQL.format(m='mention')} AS type FROM found WHERE {TYPE_SQL.format(m='mention')} <> 'CARDINAL')"""
 
 
-@query("mention_in_sentence", f"WITH {SENTENCES}, {IN_SENTENCE} SELECT doc_id, sent_idx, mention, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY ALL")
+@query("mention_in_sentence", f"WITH {SENTENCES}, {IN_SENTENCE} SELECT doc_id, sent_idx, mention, type, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY ALL")
 def q_mention_in_sentence(spark, sf_dir):
-    return _placed(spark, sf_dir).groupBy("doc_id", "sent_idx", "mention").agg(F.count("*").alias("n"))
+    docs = _read(spark, sf_dir, "documents")
+    placed = m.first_of_span(m.mentions_in_sentences(doc_ops.sentence_spans(docs, "doc_id", "text"), m.detect_mentions(docs, "doc_id", "text", typed_detector()), "doc_id"), "doc_id")
+    return placed.groupBy("doc_id", "sent_idx", "mention", "type").agg(F.count("*").alias("n"))
+
+
+@query("sentence_mentions", f"WITH {SENTENCES}, {IN_SENTENCE} SELECT doc_id, sent_idx, mention, type, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY ALL")
+def q_sentence_mentions(spark, sf_dir):
+    return _placed(spark, sf_dir).groupBy("doc_id", "sent_idx", "mention", "type").agg(F.count("*").alias("n"))
 
 
 PAIRS = f"""{SENTENCES}, {IN_SENTENCE},
-pairs AS (SELECT a.doc_id, a.sent_idx, a.sentence, a.mention AS head, b.mention AS tail, row_number() OVER (PARTITION BY a.doc_id, a.sent_idx ORDER BY a.at, b.at) AS pair
-  FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.at < b.at AND a.mention <> b.mention QUALIFY pair <= 10)"""
+pairs AS (SELECT a.doc_id, a.sent_idx, a.sentence, a.mention AS head, a.type AS head_type, b.mention AS tail, b.type AS tail_type, row_number() OVER (PARTITION BY a.doc_id, a.sent_idx ORDER BY a.at, b.at) AS pair
+  FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.at < b.at AND a.mention <> b.mention AND NOT (a.type = 'DATE' AND b.type = 'DATE') QUALIFY pair <= 10)"""
 
 
-@query("candidate_pairs", f"WITH {PAIRS} SELECT doc_id, sent_idx, CAST(pair AS INTEGER) AS pair, head, tail FROM pairs")
+@query("candidate_pairs", f"WITH {PAIRS} SELECT doc_id, sent_idx, CAST(pair AS INTEGER) AS pair, head, head_type, tail, tail_type FROM pairs")
 def q_candidate_pairs(spark, sf_dir):
-    return m.candidate_pairs(_placed(spark, sf_dir), "doc_id").select("doc_id", "sent_idx", "pair", "head", "tail")
+    return m.candidate_pairs(_placed(spark, sf_dir), "doc_id").select("doc_id", "sent_idx", "pair", "head", "head_type", "tail", "tail_type")
+
 
+@query("entity_totals", f"WITH {MENTIONS}, k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE starts_with(mention, 'A')) AS linked FROM ment GROUP BY doc_id) SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS entities, CAST(sum(linked) AS BIGINT) AS linked FROM k")
+def q_entity_totals(spark, sf_dir):
+    found = m.detect_mentions(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    kb = found.select("mention").distinct().where(F.startswith("mention", F.lit("A")))
+    kb = kb.select(F.lower("mention").alias("name"), F.lit(0).alias("rank"), F.concat(F.lit("Q"), "mention").alias("id"), F.col("mention").alias("label"), F.lit("").alias("description"))
+    return m.doc_totals(m.entity_rows(found, m.link_mentions(found, kb), "doc_id"))
 
-@query("link_heuristic", r"""WITH kb AS (SELECT lower(r_name) AS name, 'R' || r_regionkey AS id, r_name AS label, 'region ' || lower(r_name) AS description, 0 AS rank FROM region
-  UNION ALL SELECT lower(r_name), 'N' || n_nationkey, n_name, 'nation in ' || lower(r_name), 1 + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
-t AS (SELECT DISTINCT upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AS mention FROM region UNION SELECT 'Nowhere'),
-c AS (SELECT mention, id, label, description, rank, CASE WHEN lower(label) = lower(mention) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * len(list_filter(string_split(lower(mention), ' '), lambda w: contains(description, w))) AS score FROM t LEFT JOIN kb ON lower(mention) = name AND rank < 30)
+
+@query("missing_documents", f"WITH {MENTIONS} SELECT DISTINCT doc_id FROM ment WHERE doc_id % 7 = 0")
+def q_missing_documents(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    entities = m.entity_rows(m.detect_mentions(docs, "doc_id", "text"), None, "doc_id")
+    return m.with_documents(entities, docs.where("doc_id % 7 <> 0").select("doc_id", "text"), "doc_id")[1]
+
+
+@query("link_heuristic", f"""WITH {MENTIONS}, kb AS (SELECT lower(mention) AS name, lang || '-' || mention AS id, CASE WHEN lang < 'f' THEN mention ELSE mention || ' ' || lang END AS label, CASE WHEN lang = 'es' THEN lower(mention) || ' in ' || lang ELSE lang END AS description, row_number() OVER (PARTITION BY lower(mention) ORDER BY lang, mention) - 1 AS rank FROM (SELECT DISTINCT mention, lang FROM ment JOIN documents USING (doc_id))),
+t AS (SELECT DISTINCT mention FROM ment UNION SELECT 'Nowhere Else'),
+c AS (SELECT mention, id, rank, CASE WHEN lower(label) = lower(mention) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * len(list_filter(string_split(lower(mention), ' '), lambda w: contains(description, w))) AS score FROM t LEFT JOIN kb ON lower(mention) = name AND rank < 5)
 SELECT mention, id AS wikidata_qid, round(CASE WHEN id IS NULL THEN 0.0::DOUBLE ELSE score END, 6) AS link_confidence FROM c QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, rank) = 1""")
 def q_link_heuristic(spark, sf_dir):
-    region, nation = _read(spark, sf_dir, "region"), _read(spark, sf_dir, "nation")
-    named = F.lower("r_name").alias("name")
-    kb = region.select(named, F.concat(F.lit("R"), "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.concat(F.lit("region "), F.lower("r_name")).alias("description"), F.lit(0).alias("rank"))
-    kb = kb.union(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(named, F.concat(F.lit("N"), "n_nationkey"), "n_name", F.concat(F.lit("nation in "), F.lower("r_name")), F.col("n_nationkey") + 1))
-    terms = region.select(F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.substring("r_name", 2, 100))).alias("mention")).union(spark.createDataFrame([("Nowhere",)], "mention string"))
-    return m.link_mentions(terms, kb, top_k=30).select("mention", "wikidata_qid", F.round("link_confidence", 6).alias("link_confidence"))
+    docs = _read(spark, sf_dir, "documents")
+    found = m.detect_mentions(docs, "doc_id", "text")
+    known = found.join(docs.select("doc_id", "lang"), "doc_id").select("mention", "lang").distinct()
+    order = Window.partitionBy(F.lower("mention")).orderBy("lang", "mention")
+    kb = known.select(
+        F.lower("mention").alias("name"), F.concat_ws("-", "lang", "mention").alias("id"), F.when(F.col("lang") < "f", F.col("mention")).otherwise(F.concat_ws(" ", "mention", "lang")).alias("label"),
+        F.when(F.col("lang") == "es", F.concat(F.lower("mention"), F.lit(" in "), "lang")).otherwise(F.col("lang")).alias("description"), (F.row_number().over(order) - 1).alias("rank"),
+    )
+    terms = found.select("mention").union(spark.createDataFrame([("Nowhere Else",)], "mention string"))
+    return m.link_mentions(terms, kb).select("mention", "wikidata_qid", F.round("link_confidence", 6).alias("link_confidence"))
 
 
 @query("link_score_words", r"SELECT p_partkey, round(CASE WHEN lower(p_name) = lower(p_type) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * len(list_filter(string_split(lower(p_name), ' '), lambda w: contains(lower(p_type || ' ' || p_brand || ' red bolt'), w))), 6) AS score FROM part")
@@ -225,17 +283,17 @@ def q_embed_cosine(spark, sf_dir):
 MERGED = plain(f"""t AS ({TRIPLES}), k AS (SELECT *, {NORM('head')} AS kh, lower(trim(relation)) AS kr, {NORM('tail')} AS kt, CASE provenance WHEN 'infobox' THEN 3 WHEN 'silver' THEN 2 ELSE 1 END AS pri FROM t),
 best AS (SELECT *, min(seq) OVER (PARTITION BY kh, kr, kt) AS first_seq FROM k QUALIFY row_number() OVER (PARTITION BY kh, kr, kt ORDER BY pri DESC, confidence DESC, seq) = 1),
 prov AS (SELECT kh, kr, kt, string_agg(provenance, ',' ORDER BY s) AS provenance FROM (SELECT kh, kr, kt, provenance, min(seq) AS s FROM k GROUP BY ALL) GROUP BY ALL),
-docs AS (SELECT kh, kr, kt, CAST(count(*) FILTER (WHERE doc <> '' OR first) AS BIGINT) AS n_docs FROM (SELECT kh, kr, kt, doc, min(seq) AS s, min(seq) = min(min(seq)) OVER (PARTITION BY kh, kr, kt) AS first FROM k GROUP BY kh, kr, kt, doc) GROUP BY ALL),
-merged AS (SELECT first_seq AS seq, head, relation, tail, confidence, prov.provenance, n_docs, sentence FROM best JOIN prov USING (kh, kr, kt) JOIN docs USING (kh, kr, kt))""")
+docs AS (SELECT kh, kr, kt, string_agg(doc, '|' ORDER BY s) FILTER (WHERE doc <> '' OR first) AS doc_ids FROM (SELECT kh, kr, kt, doc, min(seq) AS s, min(seq) = min(min(seq)) OVER (PARTITION BY kh, kr, kt) AS first FROM k GROUP BY kh, kr, kt, doc) GROUP BY ALL),
+merged AS (SELECT first_seq AS seq, head, head_qid, relation, tail, tail_qid, confidence, prov.provenance, doc_ids, sentence FROM best JOIN prov USING (kh, kr, kt) JOIN docs USING (kh, kr, kt))""")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.merge_triples(triples(spark, sf_dir))
 
 
-@query("merge_triples", f"WITH {MERGED} SELECT seq, head, relation, tail, round(confidence, 6) AS confidence, provenance, n_docs, sentence FROM merged")
+@query("merge_triples", f"WITH {MERGED} SELECT seq, head, head_qid, relation, tail, tail_qid, round(confidence, 6) AS confidence, provenance, doc_ids, sentence FROM merged")
 def q_merge_triples(spark, sf_dir):
-    return _merged(spark, sf_dir).select("seq", "head", "relation", "tail", F.round("confidence", 6).alias("confidence"), "provenance", F.size("doc_ids").cast("long").alias("n_docs"), "sentence")
+    return _merged(spark, sf_dir).withColumns({"confidence": F.round("confidence", 6), "doc_ids": F.array_join("doc_ids", "|")})
 
 
 @query("provenance_counts", f"WITH {MERGED} SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(provenance, ',')) AS source FROM merged) GROUP BY source")
@@ -253,9 +311,37 @@ def q_alias_rewrite(spark, sf_dir):
     return mg.rewrite_aliases(key_triples(spark, sf_dir), {"nation1": "First Nation"}).select("seq", "head", "tail", "changes")
 
 
-@query("qc_sample", plain(f"WITH t AS ({KEY_TRIPLES}) SELECT head, relation, tail FROM (SELECT DISTINCT head, relation, tail FROM t) ORDER BY md5('42|' || head || '|' || relation || '|' || tail) LIMIT 50"))
+@query("qc_sample", plain(f"WITH t AS ({TRIPLES}) SELECT head, tail, relation, '' AS mapped_relation, '' AS head_mention, tail AS tail_mention, sentence, doc FROM (SELECT DISTINCT head, relation, tail, sentence, doc FROM t) ORDER BY md5('42|' || head || '|' || relation || '|' || tail), head, relation, tail, sentence, doc LIMIT 50"))
 def q_qc_sample(spark, sf_dir):
-    return mg.qc_sample(key_triples(spark, sf_dir).select("head", "relation", "tail").distinct())
+    rows = triples(spark, sf_dir).select("head", "relation", "tail", F.col("tail").alias("tail_mention"), "sentence", "doc").distinct()
+    return mg.qc_rows(rows)
+
+
+@query("unmapped_predicates", plain(f"WITH t AS ({TRIPLES}), {LITERALS} SELECT DISTINCT relation AS predicate FROM t WHERE lower(trim(relation)) NOT IN (SELECT literal FROM lit)"))
+def q_unmapped_predicates(spark, sf_dir):
+    return mg.unmapped_predicates(triples(spark, sf_dir), mapping_table(spark))
+
+
+@query("target_labels", f"WITH {LITERALS} SELECT DISTINCT mapped AS label, replace(mapped, '_', ' ') AS readable FROM map")
+def q_target_labels(spark, sf_dir):
+    return mg.target_labels(mapping_table(spark))
+
+
+@query("mapping_counts", plain(f"WITH t AS ({TRIPLES}), {LITERALS} SELECT CAST(count(*) FILTER (WHERE mapped IS NOT NULL) AS BIGINT) AS literal, CAST(0 AS BIGINT) AS embedding, CAST(count(*) FILTER (WHERE mapped IS NULL) AS BIGINT) AS unmapped FROM t LEFT JOIN lit ON lower(trim(relation)) = literal"))
+def q_mapping_counts(spark, sf_dir):
+    return mg.mapping_counts(mg.map_predicates(triples(spark, sf_dir), mapping_table(spark)))
+
+
+@query("sources_in_order", plain(f"WITH t AS ({TRIPLES}) SELECT head, relation, tail, provenance, CAST(CASE provenance WHEN 'infobox' THEN 0 WHEN 'silver' THEN 1 ELSE 2 END AS INTEGER) AS source, seq FROM t"))
+def q_sources_in_order(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    parts = [t.where(F.col("provenance") == p) for p in ("infobox", "silver", "rebel")]
+    return mg.in_order(*parts).select("head", "relation", "tail", "provenance", "seq.source", F.col("seq.at").alias("seq"))
+
+
+@query("distinct_triples", plain(f"WITH t AS ({TRIPLES}) SELECT head, relation, tail, seq, doc FROM t QUALIFY row_number() OVER (PARTITION BY head, relation, tail ORDER BY seq) = 1"))
+def q_distinct_triples(spark, sf_dir):
+    return tr.first_triples(triples(spark, sf_dir), "seq").select("head", "relation", "tail", "seq", "doc")
 
 
 # Graph
@@ -273,7 +359,7 @@ def q_edge_fold(spark, sf_dir):
     return g.fold_edges(g.edges_multi(triples(spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
 
 
-GRAPH = plain(f"""t AS ({KEY_TRIPLES}), {FOLD}, dict AS ({DICTIONARY}),
+GRAPH = plain(f"""t AS ({TRIPLES}), {FOLD}, dict AS ({DICTIONARY}),
 ends AS (SELECT source AS id, min(seq * 2) AS seq FROM e0 GROUP BY 1 UNION ALL SELECT target, min(seq * 2 + 1) FROM e0 GROUP BY 1),
 n AS (SELECT ids.id, ids.seq, coalesce(type, 'UNKNOWN') AS type, coalesce(wikidata_qid, '') AS wikidata_qid, coalesce(wikidata_description, '') AS description FROM (SELECT id, min(seq) AS seq FROM ends GROUP BY id) ids LEFT JOIN dict ON id = mention),
 half AS (SELECT source AS id, 1 AS o FROM e UNION ALL SELECT target, 0 FROM e),
@@ -282,7 +368,7 @@ deg AS (SELECT n.id, CAST(count(o) - coalesce(sum(o), 0) AS BIGINT) AS in_degree
 
 @query("graph_nodes", f"WITH {GRAPH} SELECT seq, id, type, wikidata_qid, description FROM n")
 def q_graph_nodes(spark, sf_dir):
-    return graph(spark, sf_dir)[0].select("seq", "id", "type", "wikidata_qid", "description")
+    return graph(spark, sf_dir)[0].select((F.col("seq.edge") * 2 + F.col("seq.end")).alias("seq"), "id", "type", "wikidata_qid", "description")
 
 
 @query("node_dictionary", plain(f"SELECT mention, type FROM ({DICTIONARY})"))
@@ -316,17 +402,17 @@ SELECT id, type, degree, CAST(score AS DOUBLE) AS score FROM sc JOIN deg USING (
 
 @query("search_nodes", _search_sql("nation_1"))
 def q_search_nodes(spark, sf_dir):
-    return s.search_nodes(*graph(spark, sf_dir), "nation_1").select("id", "type", "degree", "score")
+    return s.search_nodes(*searchable(spark, sf_dir), "nation_1").select("id", "type", "degree", "score")
 
 
 @query("search_description", _search_sql("asia"))
 def q_search_description(spark, sf_dir):
-    return s.search_nodes(*graph(spark, sf_dir), " Asia ").select("id", "type", "degree", "score")
+    return s.search_nodes(*searchable(spark, sf_dir), " Asia ").select("id", "type", "degree", "score")
 
 
 @query("resolve_node", f"WITH {GRAPH} SELECT id FROM n WHERE lower(id) = 'nation_3' ORDER BY (id = 'Nation_3') DESC, seq LIMIT 1")
 def q_resolve_node(spark, sf_dir):
-    return s.resolve_node(graph(spark, sf_dir)[0], "Nation_3").select("id")
+    return s.resolve_node(searchable(spark, sf_dir)[0], "Nation_3").select("id")
 
 
 @query("node_details_out", f"WITH {GRAPH} SELECT target, relation, type AS target_type FROM e LEFT JOIN n ON target = id WHERE source = 'red widget' ORDER BY lower(target), lower(relation), target, e.seq LIMIT 20")
@@ -339,10 +425,12 @@ def q_node_details_in(spark, sf_dir):
     return s.incoming(*graph(spark, sf_dir), "NATION_7").select("source", "relation", "source_type")
 
 
-@query("node_neighbors", f"""WITH {GRAPH}, w AS (SELECT target AS id FROM e WHERE source = 'NATION_7' UNION ALL SELECT source FROM e WHERE target = 'NATION_7')
-SELECT id, CAST(count(*) AS BIGINT) AS relation_count, any_value(degree) AS degree FROM w JOIN deg USING (id) GROUP BY id ORDER BY relation_count DESC, degree DESC, lower(id), id LIMIT 20""")
+@query("node_neighbors", f"""WITH {GRAPH}, w AS (SELECT target AS id, 'out' AS way, seq, relation FROM e WHERE source = 'NATION_7' UNION ALL SELECT source, 'in', seq, relation FROM e WHERE target = 'NATION_7'),
+o AS (SELECT *, row_number() OVER (PARTITION BY id, way ORDER BY seq) AS k FROM w)
+SELECT id, CAST(count(*) AS BIGINT) AS relation_count, any_value(degree) AS degree, coalesce(string_agg(relation, ',' ORDER BY seq) FILTER (WHERE way = 'out' AND k <= 5), '') AS outgoing, coalesce(string_agg(relation, ',' ORDER BY seq) FILTER (WHERE way = 'in' AND k <= 5), '') AS incoming FROM o JOIN deg USING (id) GROUP BY id ORDER BY relation_count DESC, degree DESC, lower(id), id LIMIT 20""")
 def q_node_neighbors(spark, sf_dir):
-    return s.neighbors(*graph(spark, sf_dir), "NATION_7").select("id", "relation_count", "degree")
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["relation"]), ",").alias(c)
+    return s.neighbors(*searchable(spark, sf_dir), "NATION_7").select("id", "relation_count", "degree", names("outgoing"), names("incoming"))
 
 
 HOPS = f"""{GRAPH}, u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
@@ -385,6 +473,63 @@ def q_filter_ends(spark, sf_dir):
     return g.ends_of(graph(spark, sf_dir)[1], "relation", ["birth_place", "educated_at"])
 
 
+@query("max_degree", f"WITH {GRAPH} SELECT max(degree) AS max_degree FROM deg")
+def q_max_degree(spark, sf_dir):
+    return g.max_degree(*graph(spark, sf_dir))
+
+
+@query("used_types", f"WITH {GRAPH} SELECT DISTINCT type FROM n")
+def q_used_types(spark, sf_dir):
+    return g.used_types(graph(spark, sf_dir)[0])
+
+
+_COLORS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_COLORS.items())
+
+
+@query("node_drawing", f"""WITH {GRAPH}, top AS (SELECT greatest(max(degree), 1) AS most FROM deg)
+SELECT id, round(420.0::DOUBLE + 1900.0::DOUBLE * degree / most, 6) AS size, CASE type {_COLORS} ELSE '{TYPE_COLORS["UNKNOWN"]}' END AS color, '<b>' || id || '</b>' || '<br>Type: ' || type || CASE WHEN wikidata_qid <> '' THEN '<br>QID: ' || wikidata_qid ELSE '' END || CASE WHEN description <> '' THEN '<br>' || description ELSE '' END AS title FROM n JOIN deg USING (id), top""")
+def q_node_drawing(spark, sf_dir):
+    nodes, edges = searchable(spark, sf_dir)
+    most = g.max_degree(nodes.select("id"), edges).first()["max_degree"]
+    return nodes.select("id", F.round(node_size(F.col("degree"), F.lit(most)), 6).alias("size"), type_color(F.col("type")).alias("color"), tooltip(F.col("id"), F.col("type"), F.col("wikidata_qid"), F.col("description")).alias("title"))
+
+
+@query("edge_drawing", f"WITH {GRAPH} SELECT source || '::' || relation || '::' || target AS id, round(1.4::DOUBLE + 1.6::DOUBLE * confidence, 6) AS width FROM e")
+def q_edge_drawing(spark, sf_dir):
+    return graph(spark, sf_dir)[1].select(edge_identity(F.col("source"), F.col("relation"), F.col("target")).alias("id"), F.round(edge_width(F.col("confidence")), 6).alias("width"))
+
+
+_FILE = r"""substr(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), 1, 200)"""
+
+
+@query("file_names", f"SELECT page_id, {_FILE} AS file, replace({_FILE}, '_', ' ') AS title FROM pages")
+def q_file_names(spark, sf_dir):
+    name = file_name_of_title(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", name.alias("file"), title_of_file_name(name).alias("title"))
+
+
+@query("remaining_titles", "SELECT DISTINCT 'page ' || page_id || '_x' AS title FROM pages WHERE page_id % 3 <> 0")
+def q_remaining_titles(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    title = lambda sep: F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(f"{sep}x")).alias("title")
+    return remaining(pages.select(title("_")).distinct(), pages.where("page_id % 3 = 0").select(title(" ")))
+
+
+@query("label_counts", "SELECT CAST(count(*) FILTER (WHERE c_custkey % 4 <> 0) AS BIGINT) AS positive, CAST(count(*) FILTER (WHERE c_custkey % 4 = 0) AS BIGINT) AS negative FROM customer")
+def q_label_counts(spark, sf_dir):
+    return mg.label_counts(_silver(spark, sf_dir))
+
+
+def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relation = F.when(F.col("c_custkey") % 4 == 0, "none").otherwise(F.concat(F.lit("rel_"), (F.col("c_custkey") % 4).cast("string")))
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cand_seq"), F.col("c_name").alias("head"), relation.alias("relation"), F.col("c_mktsegment").alias("tail"), F.lower("c_name").alias("sentence"), F.lit("d").alias("doc"))
+
+
+@query("silver_triples", "SELECT c_custkey AS cand_seq, c_name AS head, '' AS head_qid, 'rel_' || (c_custkey % 4) AS relation, c_mktsegment AS tail, '' AS tail_qid, 0.8::DOUBLE AS confidence, lower(c_name) AS sentence, 'd' AS doc, 'silver' AS provenance FROM customer WHERE c_custkey % 4 <> 0")
+def q_silver_triples(spark, sf_dir):
+    return tr.silver_triples(_silver(spark, sf_dir))
+
+
 # Pages
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +23,53 @@ def local_session(cores: int = 8, app: str = "skein", **conf: str) -> SparkSessi
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session gets a temporary folder; a cluster is asked for a setting.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if found is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        found = sc._jsc.sc().getCheckpointDir().get()
+    if found is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="skein-")
+        sc.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Tables that one job writes to the shared folder: each cuts the lineage and outlives lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def dropped(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; all other tables of the job go."""
+        out = self.written(df, name)
+        self.dropped(*[t for t, _ in list(self.paths.values()) if t is not out])
+        return out

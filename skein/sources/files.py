@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from skein import schemas
 from skein.config import RELATION_MAPPING
+from skein.functions.text import file_name_of_title, strip, title_of_file_name
 
 
 def _json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,16 +54,34 @@ def read_triples(spark: SparkSession, path: str, missing_ok: bool = True) -> Dat
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """doc and entities; of several lines of one doc the last."""
+    """doc and entities, and seq, its first line's place; of several lines of one doc the last counts."""
     rows = read_jsonl(spark, path, schemas.ENTITIES)
-    return rows.groupBy("doc").agg(F.max_by("entities", "seq").alias("entities"))
+    return rows.groupBy("doc").agg(F.max_by("entities", "seq").alias("entities"), F.min("seq").alias("seq"))
 
 
-def mention_dictionary(entities: DataFrame, order: str = "doc") -> DataFrame:
-    """For each mention the attributes of its first occurrence, by `order` and place."""
+def mention_dictionary(entities: DataFrame, order: str = "seq") -> DataFrame:
+    """For each mention the attributes of its first occurrence, by order of arrival and place."""
     m = entities.select(F.col(order).alias("_o"), F.posexplode("entities").alias("_at", "e")).select("_o", "_at", "e.*")
-    first = Window.partitionBy("mention").orderBy("_o", "_at")
-    return m.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_o", "_at")
+    fields = [c for c in m.columns if c not in ("_o", "_at", "mention")]
+    return m.groupBy("mention").agg(F.min_by(F.struct(*fields), F.struct("_o", "_at")).alias("e")).select("mention", "e.*")
+
+
+def existing_titles(spark: SparkSession, path: str) -> DataFrame:
+    """Titles of the documents that an earlier run has left, by their file names; none where there is no folder."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.col("path"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "title string")
+        raise
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
+    return files.select(title_of_file_name(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).alias("title")).distinct()
+
+
+def remaining(titles: DataFrame, done: DataFrame) -> DataFrame:
+    """Titles that no earlier run has fetched: a title is compared by the name of its file."""
+    of = lambda c: title_of_file_name(file_name_of_title(c))
+    return titles.withColumn("_t", of(F.col("title"))).join(done.select(of(F.col("title")).alias("_t")).distinct(), "_t", "left_anti").drop("_t")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +91,8 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     attributes; of several edges between the same nodes the last stays.
     """
     raw = spark.read.schema(schemas.GRAPH).option("multiLine", True).json(path)
-    nodes = raw.select(F.posexplode("nodes").alias("seq", "n")).select("seq", "n.*").withColumn("id", F.trim("id")).where("id != ''")
-    edges = raw.select(F.posexplode("edges").alias("seq", "e")).select("seq", "e.*").withColumns({"source": F.trim("source"), "target": F.trim("target")}).where("source != '' and target != ''")
+    nodes = raw.select(F.posexplode("nodes").alias("seq", "n")).select("seq", "n.*").withColumn("id", strip(F.col("id"))).where("id != ''")
+    edges = raw.select(F.posexplode("edges").alias("seq", "e")).select("seq", "e.*").withColumns({"source": strip(F.col("source")), "target": strip(F.col("target"))}).where("source != '' and target != ''")
     return complete_graph(nodes, edges)
 
 

@@ -11,6 +11,8 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.text import file_name_of_title
+
 NODE_FIELDS = ("label", "type", "wikidata_qid", "description")
 EDGE_FIELDS = ("relation", "confidence", "sentence", "doc", "provenance")
 
@@ -25,6 +27,40 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_each(df: DataFrame, folder: str | Path, name: str = "title") -> int:
+    """One JSON file for each row, named after its title; returns their number.
+
+    For handing documents to other programs: rows come to the driver one partition at a time.
+    write_documents() is the table that later stages read.
+    """
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    n = 0
+    rows = df.select(file_name_of_title(F.col(name)).alias("_file"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_json"))
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        _publish(folder / f"{r['_file']}.json", [json.dumps(json.loads(r["_json"]), ensure_ascii=False, indent=2)])
+        n += 1
+    return n
+
+
+def keep_backup(path: str | Path) -> Path:
+    """Rename a file to .bak before it is written anew, once: an older backup stays, and so does the file.
+
+    Returns the path that holds what was there.
+    """
+    path = Path(path)
+    backup = path.with_name(path.name + ".bak")
+    if path.exists() and not backup.exists():
+        os.replace(path, backup)
+        return backup
+    return path
+
+
+def write_text(text: str, path: str | Path) -> None:
+    """A picture (SVG) or page (HTML) as a file."""
+    _publish(path, [text])
+
+
 def fill_blanks(df: DataFrame) -> DataFrame:
     return df.na.fill("")
 
@@ -97,5 +133,6 @@ def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     order = lambda c: F.array_sort(F.collect_list(c))
     n = nodes.agg(order(F.struct("seq", "id", *NODE_FIELDS)).alias("nodes"))
     e = edges.agg(order(F.struct("seq", "source", "target", *EDGE_FIELDS)).alias("edges"))
-    both = n.join(F.broadcast(e))
-    return both.select("nodes", "edges", F.struct(F.size("nodes").alias("num_nodes"), F.size("edges").alias("num_edges")).alias("stats"))
+    # Two rows of one document, brought together by a key: a graph that fits a row is small.
+    parts = n.select(F.lit(0).alias("_k"), "nodes").join(e.select(F.lit(0).alias("_k"), "edges"), "_k")
+    return parts.select("nodes", "edges", F.struct(F.size("nodes").alias("num_nodes"), F.size("edges").alias("num_edges")).alias("stats"))

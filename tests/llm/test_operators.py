@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import common, fingerprints, lm_scoring, mixing, ngram_join, packing, quality, secret_scan, subwords, token_files, url_filter, vector_search
+from skein.llm import attention, common, fingerprints, lm_scoring, mixing, ngram_join, packing, quality, secret_scan, subwords, token_files, url_filter, vector_search
 from skein.llm.queries import ORACLE_SQL, QUERIES
 
 #: Columns that clash with names the operators use themselves.
@@ -75,6 +76,49 @@ def test_token_files_round_trip_and_pruning(spark, docs, nothing, tokenizer, tmp
     assert token_files.with_starts(token_files.read_token_orc(spark, f"{path}0")).count() == 0
 
 
+def test_token_files_have_stripes_and_bloom_filters_that_spare_rows(spark, tmp_path):
+    from pyarrow import orc
+
+    rnd = random.Random(8)
+    rows = [(50 * k, " ".join(str(rnd.random()) for _ in range(300))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    path = f"{tmp_path}/t"
+    token_files.write_token_orc(df, f"file://{path}", partitions=1, stripe_bytes=256 << 10, row_index_stride=100)
+    plain = f"{tmp_path}/p"
+    token_files.read_token_orc(spark, f"file://{path}").coalesce(1).write.option("compression", "zstd").option("orc.stripe.size", 256 << 10).option("orc.row.index.stride", 100).orc(f"file://{plain}")
+    (file,), (other,) = ([f for f in Path(p).iterdir() if f.name.startswith("part-")] for p in (path, plain))
+    own, without = orc.ORCFile(file), orc.ORCFile(other)
+    assert own.nstripes > 3 and own.nrows == 3000
+    assert own.file_length > without.file_length and own.stripe_statistics_length > 0  # Bloom filters take room in the stripes' indexes
+    scanned = lambda ids: next(int(m["value"]) for m in metrics(spark, token_files.read_token_orc(spark, f"file://{path}", ids)) if m["name"] == "number of output rows")
+    assert scanned([50 * 1700]) <= 1100  # a reader's batch of 1,024 rows at most, of 3,000
+    assert scanned([50 * 1700 + 1]) < 1100  # within the statistics' range; only Bloom filters tell that it's absent
+
+
+def metrics(spark, df):
+    """The scan's metrics after df has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.nodeName().startswith("Scan"):
+        plan = plan.children().head()
+    it, out = plan.metrics().iterator(), []
+    while it.hasNext():
+        m = it.next()
+        out.append({"name": m._2().name().get(), "value": m._2().value()})
+    return out
+
+
+def test_token_files_deal_out_null_and_equal_ids(spark, tokenizer, tmp_path):
+    rows = [(None, f"a {k}") for k in range(200)] + [(7, f"b {k}") for k in range(200)] + [(9, "c c")] * 3 + [(k, "d") for k in range(20, 40)]
+    token_files.write_token_orc(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file://{tmp_path}/t", partitions=6)
+    got = token_files.digest(token_files.with_starts(token_files.read_token_orc(spark, f"file://{tmp_path}/t"))).collect()
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((d, zlib.crc32(ids_of(tokenizer, t, 2).tobytes())) for d, t in rows)
+    ends = sorted((r["start"], r["start"] + r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(ends, ends[1:], strict=False))
+    files = token_files.read_token_orc(spark, f"file://{tmp_path}/t").where("doc_id is null").select("file_no").distinct().count()
+    assert files > 1
+
+
 def test_packing_places_each_id_once_without_padding(docs, nothing, tokenizer):
     rows = packing.pack(docs.repartition(2), width=64, with_ids=True, open_limit=4).collect()
     text = {d: t for d, t, _ in TEXTS}
@@ -121,6 +165,21 @@ def test_fingerprints_edits_order_and_likeness(spark, docs, nothing):
     assert fingerprints.with_edits(docs.limit(1), 2).first()["near_next"] == 1.0
 
 
+def test_likeness_is_near_that_of_whole_pair_counts():
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    base = [rnd.choice(words) for _ in range(400)]
+    for share in (0.0, 0.2, 0.5, 1.0):
+        other = [rnd.choice(words) if rnd.random() < share else w for w in base]
+        a, b = (Counter(zip(t, t[1:], strict=False)) for t in (base, other))
+        want = sum(a[k] * b[k] for k in a) / max(sum(v * v for v in a.values()), sum(v * v for v in b.values()))
+        assert abs(fingerprints.likeness(*(fingerprints.fingerprint(" ".join(t)) for t in (base, other))) - want) < 0.25
+    # Counts beyond 16 bits: half of a repeated pair, and nearly all of it.
+    f = fingerprints.fingerprint
+    assert abs(fingerprints.likeness(f("x y " * 40_000), f("x y " * 20_000)) - 0.5) < 0.01
+    assert fingerprints.likeness(f("w " * 32_768), f("w " * 32_700)) > 0.99
+
+
 def test_urls(spark):
     urls = ["https://a.com/x", "http://EXAMPLE.com/en/1?q", "https://www.example.com/en/", "https://n.net/es/#", "https://com", "nothing", None, "", "http://x.org?p=/en/", "https://b.net/fr/2"]
     more = [f"https://shop{k}.com/{k}" for k in range(40)] + [f"https://spam{k}.net/es/{k}" for k in range(40)] + ["https://spam9.org/es/1"]
@@ -133,6 +192,50 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def plain_markov(urls, order, contexts, prior):
+    """p(character | what comes before) by dictionaries, as the docstring says."""
+    fold = lambda u: "\x01" * order + re.sub("[0-9]", "0", u.lower())
+    grams = Counter((t[i - k : i], t[i]) for u in urls for t in [fold(u)] for i in range(order, len(t)) for k in range(order + 1))
+    totals = Counter()
+    for (c, _), n in grams.items():
+        totals[c] += n
+    least = totals[""] / contexts
+
+    def p(before, char):
+        out = 1 / 256
+        for k in range(order + 1):
+            c = before[len(before) - k :]
+            if totals[c] and totals[c] >= least:
+                out = (grams[c, char] + prior * out) / (totals[c] + prior)
+        return out
+
+    return fold, p
+
+
+@pytest.mark.parametrize("contexts", [1 << 16, 20])
+def test_url_models_equal_plain_ones_and_sum_to_one(spark, contexts):
+    rnd = random.Random(6)
+    urls = [(int(k % 3 == 0), f"https://{rnd.choice(['shop', 'news', 'spam'])}{rnd.randint(0, 99)}.{'org' if k % 3 else 'biz'}/{''.join(rnd.choice('abcAB/') for _ in range(rnd.randint(0, 12)))}") for k in range(150)]
+    df = spark.createDataFrame(urls, "rejected int, url string").repartition(3)
+    models = url_filter.count_models(df, 4, contexts, 3.0)
+    tried = ["https://shop1.org/abc", "x", "https://spam77.biz/AAAA//", "é?"]
+    ratio = url_filter.Ratio(*models, 4)
+    want = []
+    for y, model in enumerate(models):
+        fold, p = plain_markov([u for r, u in urls if r == y], 4, contexts, 3.0)
+        for u in tried[:3]:
+            t = fold(u)
+            names, char, _ = url_filter.contexts_of([u.encode()], 4)
+            assert np.allclose(model.probabilities(names, char), [p(t[i - 4 : i], t[i]) for i in range(4, len(t))])
+            # Each place's distribution over all bytes sums to one.
+            for at in (0, len(u) - 1):
+                every = np.arange(256, dtype=np.uint64)
+                assert abs(model.probabilities(np.repeat(names[:, at : at + 1], 256, axis=1), every).sum() - 1) < 1e-9
+        want.append([sum(np.log(p(t[i - 4 : i], t[i])) for i in range(4, len(t))) for t in map(fold, tried[:3])])
+    assert np.allclose(ratio.scores([u.encode() for u in tried[:3]]), (np.array(want[0]) - want[1]) / [len(u) for u in tried[:3]])
+    assert len(models[0].contexts) <= 5 * contexts
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(300)]
@@ -177,6 +280,47 @@ def test_guess_costs_are_ordered():
     assert cost("19991231") < cost("83920175") and cost("password") < cost("pbsxwqrd") and cost("") == 0.0
 
 
+def cheapest(value, words):
+    """The least cost over all segmentations, by trying each."""
+    step, low = np.log10(2), value.lower()
+    size = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 33
+    brute = lambda s: sum(np.log10(size(c)) for c in s)
+
+    def segments(a):
+        """(end, cost) of what may begin at a; what repeats, runs or walks is as long as it can be before its end."""
+        for z in range(a + 1, len(value) + 1):
+            s = value[a:z]
+            yield z, brute(s)
+            if len(s) >= 3 and len(set(s)) == 1 and (a == 0 or value[a - 1] != s[0]):
+                yield z, np.log10(size(s[0]) * len(s))
+            near = [(x, y) in secret_scan._ADJACENT for x, y in zip(low[a : z - 1], low[a + 1 : z], strict=True)]
+            if len(s) >= 3 and all(near) and (a == 0 or (low[a - 1], low[a]) not in secret_scan._ADJACENT):
+                yield z, np.log10(47 * 2 * len(s))
+            for u in range(2, 5):
+                k = len(s) // u + 1
+                if len(s) % u == 0 and a >= u and value[a - u : z] == value[a - u : a] * k and not (a >= 2 * u and value[a - 2 * u : a - u] == value[a - u : a]):
+                    yield z, np.log10(k)
+            if words.get(low[a:z]):
+                upper = sum(c.isupper() for c in s)
+                yield z, np.log10(words[low[a:z]]) + (step if upper else 0) + step * min(upper, 3) * (upper not in (0, 1, len(s)))
+            if secret_scan._is_date(s):
+                yield z, np.log10({4: 120, 6: 36525, 8: 43830, 10: 43830}[len(s)])
+
+    def best(a):
+        return 0.0 if a == len(value) else min(step + cost + best(z) for z, cost in segments(a))
+
+    return best(0)
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    words, rnd = {"cat": 5, "dog": 9, "catdog": 40, "pass": 2}, random.Random(9)
+    values = ["catdogcat", "abababab", "xyxyxyxyx", "aaaab", "qwert9", "CatPASS", "20200131", "asdfasdf", "ababcatab"]
+    values += ["".join(rnd.choice(["cat", "a", "b", "ab", "q", "w", "1", "$"]) for _ in range(4))[:9] for _ in range(60)]
+    for v in values:
+        assert abs(secret_scan.guess_cost(v, words) - cheapest(v, words)) < 1e-9, v
+    assert secret_scan.guess_cost("ab" * 50_000, words) < 12  # a long value takes time in proportion
+
+
 def test_mixing_targets_and_limits(spark, docs, nothing):
     sized = mixing.sized_documents(docs)
     rows = mixing.mix(sized, mixing.quality_weight(F.col("_chars"), F.col("size")), bins=4).collect()
@@ -259,39 +403,112 @@ def test_language_model(spark, docs, nothing):
     rnd = random.Random(3)
     rows = [(k, " ".join(rnd.choice(["a", "the", "cat", "dog", f"z{k}"]) for _ in range(30))) for k in range(60)] + [(d + 1000, t) for d, t, _ in TEXTS]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash())
-    r = {x["doc_id"]: x for x in lm_scoring.score(df, df.where(~lm_scoring.held_out()), sample_windows=50, epochs=1).collect()}
+    training = df.where(~lm_scoring.held_out())
     count, ends = Counter(), 0
     for d, t in rows:
         if zlib.crc32(str(d).encode()) % 7 != 2:
             count.update((t or "").encode().lower().split())
             ends += 1
     n, v = sum(count.values()) + ends, len(count) + 1
-    for d, t in rows:
-        words = (t or "").encode().lower().split()
-        base = sum(np.log10((c + 1) / (n + v + 1)) for c in [*(count.get(w, 0) for w in words), ends])
-        assert abs(base - r[d]["base_score"]) < 1e-6 * max(1, abs(base)) and r[d]["n_tokens"] == len(words) + 1 and r[d]["train_tokens"] == n
-        assert r[d]["n_known"] == sum(w in count for w in words) + 1 and np.isfinite(r[d]["score"]) and r[d]["score"] < 0
+    for lexicon_most in (1 << 19, 3):  # the bound of the broadcast changes no result
+        r = {x["doc_id"]: x for x in lm_scoring.score(df, training, lexicon_most=lexicon_most).collect()}
+        for d, t in rows:
+            words = (t or "").encode().lower().split()
+            base = sum(np.log10((c + 1) / (n + v + 1)) for c in [*(count.get(w, 0) for w in words), ends])
+            assert abs(base - r[d]["base_score"]) < 1e-6 * max(1, abs(base)) and r[d]["n_tokens"] == len(words) + 1 and r[d]["train_tokens"] == n
+            assert r[d]["n_known"] == sum(w in count for w in words) + 1 and np.isfinite(r[d]["score"]) and r[d]["score"] < 0
     assert r[1002]["score"] == r[1009]["score"]
-    assert lm_scoring.score(nothing, nothing, sample_windows=5, epochs=1).count() == 0
-
-
-def test_attention_windows_and_gradients():
-    model = lm_scoring.Attention.start(12, np.log(np.full(5, 0.2)))
-    rng = np.random.default_rng(0)
-    x, y = rng.integers(0, 12, (2, 6)), rng.integers(0, 5, (2, 6))
-    ok = real = np.ones((2, 6), bool)
-    loss, grads = model.gradients(x, ok, y, real)
-    for w, g in zip(model.weights, grads, strict=True):
-        k = np.unravel_index(np.abs(g).argmax(), g.shape)
-        w[k] += 1e-2
-        up = model.gradients(x, ok, y, real)[0]
-        w[k] -= 2e-2
-        down = model.gradients(x, ok, y, real)[0]
-        w[k] += 1e-2
-        assert abs((up - down) / 2e-2 - g[k]) < 2e-2 * max(0.1, abs(g[k]))
+    assert lm_scoring.score(nothing, nothing).count() == 0
+    alone = {x["doc_id"]: x for x in lm_scoring.score(df, training.limit(0)).collect()}
+    assert all(abs(x["base_score"]) < 1e-12 and x["train_tokens"] == 0 and np.isfinite(x["score"]) for x in alone.values())
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    """Words of two languages, made of syllables: contexts tell the language, and spelling tells unseen words."""
+    rnd = random.Random(2)
+    syllables = [["ka", "mo", "ri", "ta", "zu", "ne"], ["th", "ing", "er", "ou", "st", "and"]]
+
+    def text():
+        own = rnd.choice(syllables)
+        return " ".join("".join(rnd.choice(own) for _ in range(rnd.randint(1, 5))) for _ in range(120))
+
+    df = spark.createDataFrame([(k, text()) for k in range(700)], "doc_id long, text string").repartition(4)
+    rows = [r for r in lm_scoring.score(df, df.where(~lm_scoring.held_out())).withColumn("held", lm_scoring.held_out()).collect() if r["held"]]
+    per_token = lambda c: sum(r[c] for r in rows) / sum(r["n_tokens"] for r in rows)
+    assert len(rows) > 60 and per_token("score") > per_token("base_score") + 0.1
+    assert sum(r["score"] > r["base_score"] for r in rows) > 0.9 * len(rows)
+
+
+def small_model(units=300, seed=0):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(1, 1000, units).astype(float)
+    layout = attention.Layout.of(counts, own_rows=40)
+    model = attention.Attention.start(layout, counts)
+    return rng, attention.Attention(layout, [(w + rng.normal(0, 0.3, w.shape)).astype(np.float32) for w in model.weights])
+
+
+def plain_log_probabilities(model, before, unit):
+    """By loops in double precision: log p of every unit after `before`, the last of which is the query."""
+    layout, (table, bias, out, leaves) = model.layout, [w.astype(np.float64) for w in model.weights]
+    w = attention.WIDTH
+    rows = table[layout.row[before]]
+    q, k, v, own = rows[-1, :w], rows[:, w : 2 * w], rows[:, 2 * w : 3 * w], rows[-1, 3 * w :]
+    s = k @ q / np.sqrt(w) + bias[np.arange(len(before))[::-1]]
+    s = np.exp(s - s.max())
+    state = np.append(s @ v / s.sum() + own, 1.0)
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    classes, total = soft(state @ out), np.zeros(len(layout.rank))
+    for c, (lo, hi) in enumerate(zip(layout.starts[:-1], layout.starts[1:], strict=True)):
+        inside = soft(leaves[lo:hi] @ state) if hi - lo > 1 else np.zeros(1)
+        total[np.argsort(layout.rank)[lo:hi]] = classes[c] + inside
+    assert abs(np.exp(total).sum() - 1) < 1e-9
+    return total[unit]
+
+
+def test_scores_equal_plain_loops():
+    rng, model = small_model()
+    sizes = [1, 5, 16, 17, 40, 100]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    units = rng.integers(0, 300, bounds[-1])
+    got = attention.text_scores(model, units, bounds, at_once=3)
+    for k, size in enumerate(sizes):
+        text, want = np.concatenate([[0], units[bounds[k] : bounds[k + 1]]]), 0.0
+        for i in range(1, size + 1):
+            first = max(0, (i - 1) // attention.STEP * attention.STEP - attention.STEP)  # a window's first input
+            want += plain_log_probabilities(model, text[first:i], text[i])
+        assert abs(got[k] - want) < 1e-3 * abs(want)
+
+
+def test_gradients_equal_differences_and_nothing_looks_ahead():
+    rng, model = small_model(seed=1)
+    windows = rng.integers(0, 300, (3, attention.LENGTH + 1)).astype(np.int32)
+    windows[1, 20:] = -1
+    leaf = np.zeros_like(model.weights[3])
+    trainer = attention.Trainer(model, 0.1)
+    loss, grads = trainer.gradients(windows, lambda lo, hi, g: leaf.__setitem__(slice(lo, hi), g))
+    plain = -sum(plain_log_probabilities(model, w[: i + 1], w[i + 1]) for w in windows for i in range(attention.LENGTH) if w[i + 1] >= 0) / (windows[:, 1:] >= 0).sum()
+    assert abs(loss - plain) < 1e-4
+    for w, g in zip(model.weights, [*grads, leaf], strict=True):
+        for k in np.argsort(-np.abs(g).ravel())[:3]:
+            k = np.unravel_index(k, g.shape)
+            w[k] += 1e-2
+            up = trainer.gradients(windows)[0]
+            w[k] -= 2e-2
+            down = trainer.gradients(windows)[0]
+            w[k] += 1e-2
+            assert abs((up - down) / 2e-2 - g[k]) < 2e-2 * max(0.01, abs(g[k]))
+    x = model.layout.row[windows[:1, :-1]]
     later = x.copy()
-    later[:, 4:] = 0
-    assert np.allclose(model.log_classes(x, ok, 0, y)[:, :4], model.log_classes(later, ok, 0, y)[:, :4])
+    later[:, 20:] = 0
+    ok, unit = np.ones(x.shape, bool), windows[:1, 1:]
+    assert np.allclose(model.log_probabilities(x, ok, 0, unit)[:, :20], model.log_probabilities(later, ok, 0, unit)[:, :20])
+
+
+def test_large_weights_give_finite_scores():
+    rng, model = small_model(seed=2)
+    model = attention.Attention(model.layout, [w * 60 for w in model.weights])
+    units = rng.integers(0, 300, 80)
+    assert np.isfinite(attention.text_scores(model, units, np.array([0, 80]))).all()
 
 
 def test_pipeline_keeps_clean_documents_and_drops_copies(spark, sf_dir):

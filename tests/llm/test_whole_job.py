@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from skein.llm import lm_scoring, ngram_join, secret_scan, subwords
+from skein.llm import attention, lm_scoring, ngram_join, secret_scan, subwords
 
 
 def linked_sets(texts, width, percent):
@@ -68,19 +68,53 @@ def test_secrets_of_letters_alone(spark):
 
 def test_language_model_trains_on_whole_texts(spark):
     rnd = random.Random(3)
-    words = [rnd.choice("abcdefgh") for _ in range(2000)]
-    lexicon = pa.table({"word": list("abcdefgh"), "n": pa.array([250] * 8, pa.int64())})
-    units = lm_scoring.make_units(lexicon, np.zeros(lm_scoring.BPE_IDS), 1, subwords.default_tokenizer())
-    texts = [" ".join(words), None, "a b", " ".join(["c"] * 64)]
-    got = np.concatenate(list(lm_scoring.all_windows(pa.array(texts), units)))
+    enc = subwords.subwords(subwords.default_tokenizer())
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(2000)), None, "a b", " ".join(["c"] * 64)]
+    units, bounds = lm_scoring.units_of(enc, *lm_scoring.words_of(pa.array(texts)))
+    got = np.concatenate(list(attention.training_windows(units, bounds, at_once=7)))
     targets = got[:, 1:][got[:, 1:] >= 0].tolist()
-    assert targets == [n for t in texts for n in [*(1 + "abcdefgh".index(w) for w in (t or "").split()), 0]]
+    assert targets == [n for t in texts for n in [*(1 + i for w in (t or "").split() for i in enc.tokenizer.encode(" " + w, add_special_tokens=False).ids), 0]]
 
-    shared, start = spark.sparkContext.broadcast(units), lm_scoring.Attention.start(units.rows, units.prior).weights
+    counts = np.ones(1 + enc.size)
+    start = attention.Attention.start(attention.Layout.of(counts), counts)
+    words = texts[0].split()
 
-    def weights(text):
-        return lm_scoring.averaged(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), shared, start, 0.002)
+    def weights(*texts):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(len(texts), "doc_id")
+        return lm_scoring.averaged(df, start, subwords.default_tokenizer()).weights
 
     whole = weights(" ".join(words))
     for other in (["a"] * 500 + words[500:], words[:1500] + ["a"] * 500):  # a change anywhere in a text changes what is learnt
         assert any(not np.array_equal(x, y) for x, y in zip(whole, weights(" ".join(other)), strict=True))
+
+
+def test_sums_of_blocks_are_streamed():
+    rows = [(b, r, float(v)) for b in (-1, 0, 3) for r in (0, 1) for v in range(5)]
+    make = lambda part: pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([np.full(2, x[2]).tobytes() for x in part])], ["block", "branch", "change"])
+    got = [(b.column(0)[0].as_py(), np.frombuffer(b.column(2)[0].as_py()).tolist()) for b in lm_scoring._summed(iter([make(rows[:7]), make(rows[7:8]), make(rows[8:])]))]
+    assert got == [(b, [10.0, 10.0]) for b in (-1, 0, 3) for _ in (0, 1)]
+
+
+def test_outsiders_of_a_large_family_are_found(spark, monkeypatch):
+    """A centre that shares a passage with a family far from it, and outsiders near some of the family."""
+    monkeypatch.setattr(ngram_join, "LONG", 4)
+    monkeypatch.setattr(ngram_join, "GROUPS", 7)
+    rnd = random.Random(21)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [(0, " ".join(passage + [f"c{k}" for k in range(9)]))]
+    for family in range(3):
+        base = passage + [f"f{family}x{k}" for k in range(14)]
+        for k in range(45):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = f"e{rnd.randint(0, 10**6)}"
+            texts.append((1000 * (family + 1) + k, " ".join(w)))
+    for width, percent in ((4, 85), (5, 80)):
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df, width, percent).collect()} == linked_sets(texts, width, percent)
+
+
+def test_ids_of_several_texts_are_one_node(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (3, a + " z"), (4, b), (5, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()} == {3: 3, 4: 3, 5: 3}

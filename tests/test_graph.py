@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph as g
 from skein.operators.layout import evened, grid_slots, layout_component, to_html
+from skein.operators.merge import merge_triples
 from skein.operators.search import GraphQueries
 
 NODES = [(0, "Ada", "Ada", "PERSON", "Q1", "a person"), (1, "Hut 8", "Hut 8", "FAC", "", "a place"), (2, "Princeton", "Princeton University", "ORG", "Q2", "a university")]
@@ -99,7 +100,33 @@ def test_layout_is_deterministic_and_drawable(spark, service):
     assert np.allclose(layout_component(4, links, 20), layout_component(4, links, 20))
     assert layout_component(1, links[:0]).tolist() == [[0.0, 0.0]]
     assert len(grid_slots(5)) == 5 and evened(np.zeros((2, 2))).shape == (2, 2)
-    assert "<svg" in to_html(service.nodes, service.edges)
+    nodes = spark.createDataFrame(NODES, NODE)
+    assert "<svg" in to_html(nodes, service.edges)
+    with pytest.raises(ValueError):
+        to_html(nodes, service.edges, most=2)
+    with pytest.raises(ValueError):
+        service.full_graph(most=2)
+    assert service.full_graph()["num_nodes"] == 3
+
+
+def test_search_folds_cases(spark):
+    nodes = spark.createDataFrame([(0, "Straße", "Straße", "LOC", "", "ΟΔΟΣ"), (1, "x", "STRASSE", "LOC", "", "")], NODE)
+    s = GraphQueries(nodes, spark.createDataFrame(EDGES[:1], EDGE))
+    assert {r["id"] for r in s.search("STRASSE")} == {"Straße", "x"} and s.search("οδος")[0]["id"] == "Straße"
+    assert s.resolve("strasse") == "Straße"
+
+
+def test_graph_from_triples_with_any_order(spark):
+    """seq may be a struct, as file readers and merges give it."""
+    rows = [(("f", 1), "B", "r", "C"), (("f", 0), "A", "r", "B"), (("g", 0), "A", "q", "B")]
+    t = spark.createDataFrame(rows, "seq struct<file: string, at: long>, head string, relation string, tail string")
+    t = t.selectExpr("*", "1.0D AS confidence", "'' AS sentence", "'' AS doc", "'x' AS provenance", "'' AS head_qid", "'' AS tail_qid")
+    for triples in (t, merge_triples(t)):
+        e = g.edges_multi(triples.withColumn("doc", F.lit("")))
+        nodes = g.node_table(e)
+        assert [r["id"] for r in nodes.orderBy("seq").collect()] == ["A", "B", "C"]
+        assert {(r["source"], r["target"]): r["relation"] for r in g.fold_edges(e).collect()} == {("A", "B"): "q", ("B", "C"): "r"}
+        assert g.max_degree(nodes, g.fold_edges(e)).first()[0] == 2
 
 
 def test_highlight_classes(spark):

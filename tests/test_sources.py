@@ -1,10 +1,12 @@
 import json
 import xml.etree.ElementTree as ET
 
+import pytest
+
 from skein.config import load_settings
 from skein.functions.html import infobox, sections
 from skein.operators.search import GraphQueries
-from skein.serving import Api
+from skein.serving import Api, Runs
 from skein.sources import files, sinks, wiki
 from skein.streaming import ingest
 
@@ -60,7 +62,9 @@ def test_wiki_connector_with_a_table_of_answers(spark):
         raise OSError
 
     t = spark.createDataFrame([("Turing", 0), ("Gone", 1)], "title string, crawl_depth int")
-    r = wiki.fetch_pages(t, fetch).collect()
+    got = wiki.fetch_pages(t, fetch).cache()
+    assert {x["title"]: (x["url"] is None, x["failures"] > 0) for x in got.collect()} == {"Turing": (False, True), "Gone": (True, False)}
+    r = wiki.found_pages(got).collect()
     assert len(r) == 1 and r[0]["outlinks"] == ["A", "B"] and r[0]["infobox"] == {"Born": "London"} and r[0]["summary"] == ""
     assert wiki.search_terms(spark.createDataFrame([("m",), ("m",)], "mention string"), fetch, 2).count() == 2
 
@@ -93,3 +97,63 @@ def test_api(spark):
     assert api.post("/api/scripts/run", {"script_id": "bad"})[0] == 400
     status, task = api.post("/api/scripts/run", {"script_id": "ok"})
     assert status == 202 and api.get(f"/api/tasks/{task['task_id']}", {})[0] == 200
+
+
+def test_requests_are_spaced_tried_again_and_counted():
+    waits, calls = [], []
+
+    def flaky(params):
+        calls.append(params)
+        if len(calls) < 3:
+            raise OSError
+        return {"ok": 1}
+
+    ask = wiki.Politely(flaky, 2.0, 3, waits.append)
+    assert ask({}) == {"ok": 1} and waits == [4.0, 8.0] and (ask.requests, ask.failures) == (3, 0)
+
+    def faulty(params):
+        raise KeyError("a fault of the program")
+
+    with pytest.raises(KeyError):
+        wiki.Politely(faulty)({})
+
+    def down(params):
+        raise TimeoutError
+
+    ask = wiki.Politely(down, 0.0, 2)
+    assert ask({}) == {} and (ask.requests, ask.failures) == (2, 1)
+
+
+def test_files_for_each_row_backups_and_existing_titles(spark, tmp_path):
+    docs = spark.createDataFrame([("A/B: c", "x"), ("D e", None)], "title string, summary string")
+    assert sinks.write_each(docs, tmp_path / "each") == 2
+    assert json.loads((tmp_path / "each" / "A_B_ c.json").read_text()) == {"title": "A/B: c", "summary": "x"}
+    done = files.existing_titles(spark, str(tmp_path / "each"))
+    assert {r["title"] for r in done.collect()} == {"A B  c", "D e"}
+    asked = spark.createDataFrame([("A/B: c",), ("D e",), ("New",)], "title string")
+    assert [r["title"] for r in files.remaining(asked, done).collect()] == ["New"]
+    assert files.existing_titles(spark, str(tmp_path / "nowhere")).count() == 0
+    file = tmp_path / "t.jsonl"
+    file.write_text("1")
+    assert sinks.keep_backup(file).name == "t.jsonl.bak" and not file.exists()
+    file.write_text("2")
+    assert sinks.keep_backup(file) == file and (tmp_path / "t.jsonl.bak").read_text() == "1"
+    sinks.write_text("<svg/>", tmp_path / "d" / "g.svg")
+    assert (tmp_path / "d" / "g.svg").read_text() == "<svg/>"
+
+
+def test_the_dictionary_takes_the_first_to_arrive(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"doc":"z","entities":[{"mention":"a","type":"X"}]}\n{"doc":"b","entities":[{"mention":"a","type":"Y"}]}\n')
+    e = files.read_entities(spark, str(tmp_path / "e.jsonl"))
+    assert {r["mention"]: r["type"] for r in files.mention_dictionary(e).collect()} == {"a": "X"}
+
+
+def test_runs_are_bounded_and_report(tmp_path):
+    runs = Runs({"ok": ("Ok", ["echo", "hi"]), "bad": ("Bad", ["false"]), "none": ("None", ["/no/such/program"])})
+    seen = {}
+    for k in runs.catalog:
+        run = runs.start(k)
+        runs.futures[run["task_id"]][2].exception()
+        seen[k] = runs.seen(run["task_id"])
+    assert (seen["ok"]["status"], seen["ok"]["output"], seen["ok"]["exit_code"]) == ("done", "hi\n", 0)
+    assert seen["bad"]["status"] == "failed" and seen["none"]["status"] == "failed" and runs.start("ok")["status"] in ("pending", "running", "done")

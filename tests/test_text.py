@@ -77,3 +77,23 @@ def test_file_names(spark):
 
 def test_tooltip_escapes(spark):
     assert one(spark, t.tooltip(F.col("a"), F.lit("X"), F.lit(""), F.lit(None).cast("string")), a="<b>") == "<b>&lt;b&gt;</b><br>Type: X"
+
+
+def test_case_folding_is_full_but_for_a_few_signs(spark):
+    from skein.functions.text import casefold
+
+    chars = [chr(c) for c in range(1, 0x2FFF) if not 0xD800 <= c <= 0xDFFF] + [chr(c) for c in range(0xA640, 0xA800)] + [chr(c) for c in range(0xFB00, 0xFB18)]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", casefold(F.col("c")).alias("f")).collect()
+    other = [r["c"] for r in rows if r["f"] != r["c"].casefold()]
+    assert all("CHEROKEE" in unicodedata.name(c, "") or not c.isalpha() or unicodedata.category(c) == "Mn" for c in other) or len(other) < 30, [(c, hex(ord(c))) for c in other]
+    words = ["Straße", "ΟΔΟΣ", "ﬁne", "İstanbul", "ısı", "ŒUVRE", "ẞ", "µ"]
+    got = spark.createDataFrame([(w,) for w in words], "c string").select(casefold(F.col("c"))).collect()
+    assert [r[0] for r in got] == [w.casefold() for w in words]
+
+
+def test_texts_are_normalised_only_where_they_need_it(spark):
+    from skein.functions.text import nfkc
+
+    texts = ["plain", None, "", "ﬁ ½ é", "e\u0301"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(nfkc(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
