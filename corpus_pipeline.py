@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import table, written
 from skein.llm.mixing import mix, n_words, quality_weight
-from skein.llm.ngram_join import join_components
+from skein.llm.ngram_join import join_components, without
 from skein.llm.packing import pack
 from skein.llm.quality import THRESHOLD, fit_on_labels, scored
 from skein.llm.secret_scan import scan
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = join_components(docs, NEAR_WIDTH, NEAR_PERCENT)
     ids = found.groupBy("doc_id").agg((F.min("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("rows")).where(F.col("doc_id").isNotNull())
     gone = ids.where("gone").select("doc_id")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = without(docs.select(*COLUMNS), gone)
     repeated = ids.where(~F.col("gone") & (F.col("rows") > 1)).select("doc_id")
     if not repeated.limit(1).count():
         return kept

@@ -95,10 +95,11 @@ def mix(
     before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     b = sums.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     b = b.join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    b = b.withColumn("_edge", (F.col("_before") <= F.col("_budget")) & (F.col("_before") + F.col("size") > F.col("_budget")))
-    b = b.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "source_size", "target", "epochs", "_budget", "_before", "_edge", F.col("size").alias("_bin_size"))
-    d = d.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
-    full = d.where(~F.col("_edge")).withColumn("_part", F.when(F.col("_before") + F.col("_bin_size") <= F.col("_budget"), F.col("size")).otherwise(F.lit(0)))
+    crosses = (F.col("_before") <= F.col("_budget")) & (F.col("_before") + F.col("size") > F.col("_budget"))  # in one bin at most
+    limits = b.groupBy(F.col("source").alias("_s"), "source_size", "target", "epochs", "_budget").agg(F.max(F.when(crosses, F.struct("_bin", "_before"))).alias("_at"))
+    limits = written(limits.select("*", F.col("_at._bin").alias("_edge_bin"), F.col("_at._before").alias("_before")).drop("_at"), "mix-limits")  # a row each source: Spark sees its size and sends it to the rows
+    d = d.join(limits, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_edge", F.coalesce(F.col("_bin") == F.col("_edge_bin"), F.lit(False)))
+    full = d.where(~F.col("_edge")).withColumn("_part", F.when(F.col("_edge_bin").isNull() | (F.col("_bin") < F.col("_edge_bin")), F.col("size")).otherwise(F.lit(0)))
     in_bin = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_budget") - F.col("_before") - F.coalesce(F.sum("size").over(in_bin), F.lit(0))
     edge = d.where("_edge").withColumn("_left", left)

@@ -34,7 +34,7 @@ no row. Other columns of the input don't matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,8 @@ GROUPS = 256
 #: A prefix element in more documents than this is frequent; at most FREQUENT_MOST are listed.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
 _BITS = 1 << 24
+#: Bits of a sketch.
+SKETCH = 2048
 #: The position of an entry of two elements.
 PAIR = (1 << 31) - 1
 
@@ -106,6 +108,14 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(s ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of SKETCH parts of the hash range, whether the set holds an odd number of its elements.
+
+    An element that one of two sets lacks changes one bit: sets differ in no fewer elements than their sketches in bits.
+    """
+    return np.packbits((np.bincount((_mix(s) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """Least intersection of a set of n elements with any set that it links with."""
     return -(-percent * n // 100)
@@ -125,19 +135,20 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def summaries(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, k1, k2 and the prefix by hash order of each row."""
+    """doc_id, n, k1, k2, the sketch and the prefix by hash order of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, parts = [], [], []
+            n, keys, parts, sketches = [], [], [], []
             for s in shingle_sets(b.column(1), width):
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else (0, 0))
                 parts.append(s[: prefix(len(s), percent)].copy() if len(s) else s)
+                sketches.append(np.frombuffer(sketch(s), np.uint64))
             k1, k2 = ([k[i] for k in keys] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(parts)], ["doc_id", "n", "k1", "k2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(sketches), _lists(parts)], ["doc_id", "n", "k1", "k2", "sketch", "prefix"])
 
-    return _ids_and_texts(docs).transform(by_arrow(run, "doc_id long, n int, k1 long, k2 long, prefix array<long>"))
+    return _ids_and_texts(docs).transform(by_arrow(run, "doc_id long, n int, k1 long, k2 long, sketch array<long>, prefix array<long>"))
 
 
 def frequent_elements(tables: Tables, sums: DataFrame) -> tuple[np.ndarray, float]:
@@ -237,37 +248,105 @@ def _link_needs(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def _bit(node: Column | str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(_BITS))
+
+
+def _bit_words(nodes: DataFrame) -> DataFrame:
+    """w and bits: a bit array of _BITS bits with those of `nodes` (column node) set; at most 2**18 rows."""
+    bit = _bit("node")
+    return nodes.select(bit.alias("bit")).groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+
+
+def _only_of(nodes: DataFrame) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Keeps rows whose column `bit` is that of one of `nodes` (column node), by a bit array of fixed size."""
+    words = _bit_words(nodes).toArrow()
+    bits = np.zeros(_BITS // 64, np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def kept(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = b.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
+        return b.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return kept
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in `gone` (column doc_id); rows without id stay.
+
+    A bit array of fixed size, sent to all tasks, tells most rows that stay, so texts needn't be
+    shuffled. Of the other rows those stay whose ids an exact join of ids alone doesn't find in `gone`.
+    """
+    tables = Tables(docs.sparkSession)
+    gone = tables.written(gone.select(F.col("doc_id").cast("long").alias("node")).distinct(), "join-gone")
+    words = F.broadcast(tables.written(_bit_words(gone), "join-bits"))  # at most 2**18 rows
+
+    def split(rows: DataFrame) -> DataFrame:
+        bit = _bit(F.col("doc_id").cast("long"))
+        marked = rows.withColumn("_bit", bit).join(words.withColumnRenamed("w", "_w"), F.shiftrightunsigned("_bit", 6) == F.col("_w"), "left")
+        hit = F.expr("shiftrightunsigned(bits, cast(_bit & 63 as int)) & 1L") == 1
+        return marked.withColumn("_maybe", F.col("doc_id").isNotNull() & F.coalesce(hit, F.lit(False))).drop("_bit", "_w", "bits")
+
+    other = split(docs.select("doc_id")).where("_maybe").select(F.col("doc_id").cast("long").alias("node")).distinct().join(gone, "node", "left_anti")
+    other = tables.written(other, "join-kept").withColumnRenamed("node", "_kept")  # few: Spark sees the size
+    rows = split(docs)
+    sure, maybe = rows.where(~F.col("_maybe")).drop("_maybe"), rows.where("_maybe").drop("_maybe")
+    return sure.unionByName(maybe.join(other, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi"))
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """node and set (bytes of sorted elements) of the nodes listed in `nodes` (column node).
 
     A bit array of fixed size, made from the nodes by a shuffle, spares the other texts; the join
     that follows is exact.
     """
-    bit = F.pmod(F.xxhash64("node"), F.lit(_BITS))
-    words = nodes.select(bit.alias("bit")).groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # at most 2**18 rows
-    bits = np.zeros(_BITS // 64, np.uint64)
-    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    only = _only_of(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            kept = b.filter(pa.array(own))
+            kept = only(b)
             if len(kept):
                 sets = [s.tobytes() for s in shingle_sets(kept.column(1), width)]
                 yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    thin = _ids_and_texts(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").select("node", "text", bit.alias("bit"))
+    thin = _ids_and_texts(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").select("node", "text", _bit("node").alias("bit"))
     return thin.transform(by_arrow(run, "node long, set binary")).where(F.length("set") > 0)
 
 
-def verified(tables: Tables, docs: DataFrame, pairs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_by_sketch(pairs: DataFrame, sums: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) those whose sketches allow a link; no other can have one.
+
+    Sketches go to the pairs, so sets go only to the few that need them. A node of several sets
+    has as many sketches, and one that allows a link is enough.
+    """
+    only = _only_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    kinds = "node long, n int, k1 long, k2 long, sketch array<long>"
+    names = ["node", "n", "k1", "k2", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = only(b)
+            if len(kept):
+                yield kept.select(names)
+
+    thin = sums.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).withColumnRenamed("doc_id", "node").select(*names, _bit("node").alias("bit"))
+    own = thin.transform(by_arrow(run, kinds)).groupBy("node", "k1", "k2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    x, y = (own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    most = F.col("na") + F.col("nb") - 2 * _link_needs(F.col("na"), F.col("nb"), percent)
+    return pairs.select("a", "b").join(x, "a").join(y, "b").where(_allows(F.col("na"), F.col("nb"), percent) & (differ <= most)).select("a", "b").distinct()
+
+
+def verified(tables: Tables, docs: DataFrame, sums: DataFrame, pairs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """pairs: a, b, central. Adds linked, n (of b), d (size of the difference) and, for central
     pairs, delta: the prefix of b's difference from a, elements gained before elements lost.
+    Other pairs, unless their sketches allow a link, are left out.
 
     The pairs of one a come together, and a's set goes to them once; those of a centre are split into
     GROUPS parts, so a centre of many members is dealt over tasks.
     """
+    near = near_by_sketch(pairs.where(~F.col("central")), sums, percent)
+    pairs = tables.written(_and_central(near, pairs.where("central").select("a", "b")), "join-near")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = tables.written(sets_of(docs, nodes, width), "join-sets")
     placed = pairs.withColumn("part", F.when(F.col("central"), F.pmod(F.xxhash64("b"), F.lit(GROUPS))).otherwise(F.lit(0)))
@@ -302,7 +381,7 @@ def verified(tables: Tables, docs: DataFrame, pairs: DataFrame, width: int = SHI
 
     checked = grouped.transform(by_arrow(run, "a long, b long, central boolean, linked boolean, n int, d int, delta array<long>"))
     checked = tables.written(checked, "join-checked")
-    tables.dropped(sets)
+    tables.dropped(sets, pairs)
     return checked
 
 
@@ -396,7 +475,7 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     entries = tables.written(entries, "join-postings")  # it's read twice
     pairs = tables.written(_and_central(*candidates(tables, entries, percent)), "join-pairs")
     tables.dropped(entries)
-    checked = verified(tables, docs, pairs, width, percent)
+    checked = verified(tables, docs, sums, pairs, width, percent)
     several = sums.join(named, ["k1", "k2"]).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
     links = tables.written(checked.where("linked").select("a", "b").union(several.select("a", "b")), "join-links")
     labels = components(tables, links)
@@ -404,7 +483,7 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     if central.limit(1).count():
         more = tables.written(differences(tables, central, labels, percent).withColumn("central", F.lit(False)), "join-more")
         if more.limit(1).count():
-            links = links.union(verified(tables, docs, more, width, percent).where("linked").select("a", "b"))
+            links = links.union(verified(tables, docs, sums, more, width, percent).where("linked").select("a", "b"))
             labels = components(tables, tables.written(links, "join-links"))
     where = named.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component"))
     out = sums.select("doc_id", "n", "k1", "k2").join(where, ["k1", "k2"], "left")

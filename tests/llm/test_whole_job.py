@@ -1,13 +1,15 @@
 """Each operator does the whole job: cases that a shortened form gets wrong."""
 
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import attention, lm_scoring, ngram_join, secret_scan, subwords
+from skein.llm import attention, common, lm_scoring, mixing, ngram_join, secret_scan, subwords
 
 
 def linked_sets(texts, width, percent):
@@ -118,3 +120,53 @@ def test_ids_of_several_texts_are_one_node(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
     df = spark.createDataFrame([(5, a), (5, b), (3, a + " z"), (4, b), (5, a)], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()} == {3: 3, 4: 3, 5: 3}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(4)
+    for n, other in ((1, 0), (40, 3), (500, 100), (5000, 2000)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[other:], rng.integers(0, 1 << 63, other, dtype=np.uint64)]))
+        bits = int.from_bytes(ngram_join.sketch(a)) ^ int.from_bytes(ngram_join.sketch(b))
+        assert bits.bit_count() <= len(np.setxor1d(a, b)) and len(ngram_join.sketch(a)) * 8 == ngram_join.SKETCH
+
+
+def test_sets_go_only_to_pairs_whose_sketches_allow_a_link(spark):
+    words = [f"w{k}" for k in range(300)]
+    texts = [(0, words), (1, [*words, "x"]), (2, [*words[:200], *(f"y{k}" for k in range(100))]), (3, [*words[:5], "z"]), (3, words[:299])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")
+    sent, sets_of = [], ngram_join.sets_of
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "sets_of", lambda docs, nodes, width: sent.extend(r["node"] for r in nodes.collect()) or sets_of(docs, nodes, width))
+        pairs = spark.createDataFrame([(0, 1, False), (0, 2, False), (0, 3, False)], "a long, b long, central boolean")
+        got = ngram_join.verified(common.Tables(spark), df, ngram_join.summaries(df), pairs).where("linked").collect()
+    assert sorted(sent) == [0, 1, 3] and sorted((r["a"], r["b"]) for r in got) == [(0, 1), (0, 3)]
+
+
+def test_mixing_does_not_shuffle_texts_for_its_limits(spark):
+    rows = [(k, None if k % 7 == 0 else f"s{k % 3}", 1 + k % 50, hashlib.sha512(str(k).encode()).hexdigest()) for k in range(6000)]
+    df = common.written(spark.createDataFrame(rows, "doc_id long, source string, size long, text string"), "test-mix")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+        plan = mixing.mix(df, F.lit(1.0), keep=["text"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+
+
+def test_documents_go_by_id_without_a_shuffle_of_texts(spark, monkeypatch):
+    rows = [(None if k % 10 == 9 else k // 2, "t" * 40) for k in range(4000)]
+    df = common.written(spark.createDataFrame(rows, "doc_id long, text string"), "test-without")
+    gone = spark.range(0, 2000, 3).withColumnRenamed("id", "doc_id")
+    want = sorted((str(d), t) for d, t in rows if d is None or d % 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for bits in (1 << 24, 64):  # with few bits, most rows need the exact join
+        monkeypatch.setattr(ngram_join, "_BITS", bits)
+        assert sorted((str(r["doc_id"]), r["text"]) for r in ngram_join.without(df, gone).collect()) == want
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")
+        monkeypatch.setattr(ngram_join, "_BITS", 1 << 24)
+        assert "SortMergeJoin" not in ngram_join.without(df, gone)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
