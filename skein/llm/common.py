@@ -76,33 +76,45 @@ def _cut(batch: pa.RecordBatch, most: int) -> list[pa.RecordBatch]:
     return _cut(batch.slice(0, half), most) + _cut(batch.slice(half), most)
 
 
+#: Freed bytes that a worker may keep during a task: by default, and for work that makes and drops large arrays all the time.
+FREED_BYTES, FREED_BYTES_OF_ARRAYS = 1 << 20, 32 << 20
+
+
 @functools.cache
-def _lean_worker() -> None:
-    """Once in a worker: large arrays, Arrow's too, come from the system and go back to it when they are freed.
+def _c_library() -> ctypes.CDLL:
+    """The C library; on the first call, Arrow's arrays come to be its own too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    return ctypes.CDLL(None)
+
+
+def _lean_worker(freed: int = FREED_BYTES) -> None:
+    """Arrays larger than `freed` bytes come from the system and go back to it when they are freed.
 
     By default the C library keeps ever larger ones for later, and Arrow keeps all: a worker's size
-    would be the sum of its largest moments.
+    would be the sum of its largest moments. But the system zeroes each page that it hands out, so
+    loops over arrays of some megabytes set a larger limit; the task's end gives back what is kept.
     """
-    pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+        _c_library().mallopt(-3, freed)
+        _c_library().mallopt(-1, freed if freed > FREED_BYTES else 128 << 10)
 
 
-def by_arrow(run: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
+def by_arrow(run: Callable, schema: str, freed: int = FREED_BYTES) -> Callable[[DataFrame], DataFrame]:
     """mapInArrow in bounded memory, for DataFrame.transform().
 
     Spark fills batches by rows, and 10,000 texts make large ones on both sides; so a session that
-    keeps that default gets BATCH_ROWS, and run sees batches of about BATCH_BYTES. After a task, the
-    worker gives back what the C library holds for later.
+    keeps that default gets BATCH_ROWS, and run sees batches of about BATCH_BYTES. A worker keeps at
+    most `freed` freed bytes at the end of its heap; after a task, it gives back what the C library
+    holds for later.
     """
 
     def wrapped(batches):
-        _lean_worker()
+        _lean_worker(freed)
         try:
             yield from run(regrouped(batches))
         finally:
             with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+                _c_library().malloc_trim(0)
 
     def mapped(df: DataFrame) -> DataFrame:
         conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -119,9 +119,11 @@ class Subwords:
     def pieces_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces of the library's own split, by the library's BPE model."""
         tokenize, spelled, alphabet = self.model.tokenize, self.spelled, self.alphabet
-        plain = lambda p: p.isascii() and p.isprintable()
-        written = (p.replace(" ", "\u0120") if plain(p) else p.encode().decode("latin-1").translate(alphabet) for p in pieces)
-        return [b"".join([spelled[t.id] for t in tokenize(p)]) for p in written]
+        # Translated pieces hold neither spaces nor line breaks, and plain ones no breaks, so all spaces are replaced at once.
+        written = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(alphabet) for p in pieces]
+        written = "\n".join(written).replace(" ", "\u0120").split("\n") if written else []
+        found = map(tokenize, written)
+        return [spelled[t[0].id] if len(t) == 1 else b"".join([spelled[x.id] for x in t]) for t in found]
 
     def stems_of(self, letters: list[str]) -> list[bytes]:
         """Ids of pieces of a space and letters."""

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import by_arrow, fresh_path, lists_of, shuffle_partitions, table
+from skein.llm.common import FREED_BYTES_OF_ARRAYS, by_arrow, fresh_path, lists_of, shuffle_partitions, table
 from skein.llm.subwords import default_tokenizer, subwords
 
 SCHEMA = "file_no int, doc_id long, n_tokens long, start_in_file long, token_ids array<int>"
@@ -68,7 +68,7 @@ def write_token_orc(
         .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "hash")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "text")
         .select("doc_id", "text")
-        .transform(by_arrow(encode, SCHEMA))
+        .transform(by_arrow(encode, SCHEMA, FREED_BYTES_OF_ARRAYS))
         .write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", row_index_stride)
@@ -104,7 +104,7 @@ def digest(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "token_ids").transform(by_arrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    return rows.select("doc_id", "start", "n_tokens", "token_ids").transform(by_arrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long", FREED_BYTES_OF_ARRAYS))
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
