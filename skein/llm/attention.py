@@ -25,6 +25,10 @@ HEAD, OWN_ROWS = 96, 1024
 BANDS = ((8, 32), (8, 64), (8, 128), (None, 2048))
 #: Windows that a training step takes.
 BATCH = 128
+#: Rows whose classes a training step computes at once, and the largest classes that it takes side by side.
+ROWS, GROUPED = 1024, 256
+#: Cells of a product that scoring makes at once for units of a class.
+LEAF_CELLS = 1 << 18
 GAP = np.arange(LENGTH)[:, None] - np.arange(LENGTH)[None, :]
 _NEVER = np.float32(-1e9)
 
@@ -57,14 +61,18 @@ class Layout:
         return Layout(starts, rank, cls, row, own_rows + len(starts) - 1)
 
 
-def _softmax_parts(state: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of state @ weights and their sums, unshifted where that doesn't overflow."""
-    z = state @ weights
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, by a product: short rows are slow to add up one by one."""
+    return (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(z.shape[:-1])
+
+
+def _softmax_parts(z: np.ndarray, again) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of z, in its place, and their sums, unshifted where that doesn't overflow; again() gives z anew."""
     with np.errstate(over="ignore", invalid="ignore"):
         np.exp(z, out=z)
-        sums = z.sum(1)
+        sums = _row_sums(z)
     if not (np.isfinite(sums).all() and sums.all()):
-        z = state @ weights
+        z = again()
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         sums = z.sum(1)
@@ -91,10 +99,11 @@ class Attention:
     def copy(self) -> Attention:
         return Attention(self.layout, [w.copy() for w in self.weights])
 
-    def states(self, x: np.ndarray, first: int = 0, ok: np.ndarray | None = None) -> tuple:
+    def states(self, x: np.ndarray, first: int = 0, ok: np.ndarray | None = None, shares: bool = True) -> tuple:
         """States from position `first` on, with a one beside each, and what the gradient needs.
 
-        x: rows (windows, LENGTH); ok: positions that are of the text, all where it is None.
+        x: rows (windows, LENGTH); ok: positions that are of the text, all where it is None; shares:
+        whether the last, what each position attends to, has to sum to one.
         """
         table, bias = self.weights[:2]
         g = table[x]
@@ -104,8 +113,7 @@ class Attention:
         part = np.flatnonzero(~ok.all(1)) if ok is not None else []
 
         def scores() -> np.ndarray:
-            s = np.matmul(q[:, first:], k.transpose(0, 2, 1))
-            s *= np.float32(1 / math.sqrt(WIDTH))
+            s = np.matmul(q[:, first:] * np.float32(1 / math.sqrt(WIDTH)), k.transpose(0, 2, 1))
             s += rel
             if len(part):
                 s[part] += np.where(ok[part], np.float32(0), _NEVER)[:, None, :]
@@ -114,50 +122,70 @@ class Attention:
         s = scores()
         with np.errstate(over="ignore", invalid="ignore"):
             np.exp(s, out=s)
-            sums = s.sum(-1, keepdims=True)
-        bad = ~(np.isfinite(sums) & (sums > 0))
-        if bad.any():  # an overflow, or positions outside the text, which nobody reads
+            sums = _row_sums(s)[..., None]
+        if not (np.isfinite(sums).all() and sums.all()):  # an overflow, or positions outside the text, which nobody reads
             s = scores()
             s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
             sums = s.sum(-1, keepdims=True)
-        s /= sums
         n, length = x.shape[0], x.shape[1] - first
         state = np.ones((n * length, WIDTH + 1), np.float32)
         h = state[:, :WIDTH].reshape(n, length, WIDTH)
-        np.matmul(s, v, out=h)
+        if shares:
+            s /= sums
+            np.matmul(s, v, out=h)
+        else:
+            np.divide(np.matmul(s, v), sums, out=h)
         h += own[:, first:]
         return state, q, k, v, s
 
-    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, int, int]]]:
-        """The order that puts equal classes together, and (from, to, first rank, last rank) of those with several units."""
-        order = np.argsort(cls, kind="stable")
-        of = cls[order]
-        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Places of classes of several units, equal ones together, and (from, to, first rank, last rank) of each class."""
         starts = self.layout.starts
-        runs = ((a, z, int(starts[of[a]]), int(starts[of[a] + 1])) for a, z in zip(heads, [*heads[1:], len(of)], strict=True))
-        return order, (r for r in runs if r[3] - r[2] > 1)
-
-    def log_probabilities(self, x: np.ndarray, ok: np.ndarray, first: int, unit: np.ndarray) -> np.ndarray:
-        """Natural log probability of the target units (windows, length - first)."""
-        state = self.states(x, first, ok)[0]
-        unit = unit.ravel()
-        cls, at = self.layout.cls[unit], np.arange(len(unit))
-        z, sums = _softmax_parts(state, self.weights[2])
-        logs = np.log(z[at, cls] / sums)
-        order, runs = self._by_class(cls)
-        held, rank = state[order], self.layout.rank[unit[order]]
-        for a, e, lo, hi in runs:
-            z = held[a:e] @ self.weights[3][lo:hi].T
-            z -= z.max(1, keepdims=True)
-            got = z[at[: e - a], rank[a:e] - lo]
+        places = np.flatnonzero((starts[1:] - starts[:-1] > 1)[cls])
+        places = places[np.argsort(cls[places], kind="stable")]
+        of = cls[places]
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+        return places, [(a, z, int(starts[of[a]]), int(starts[of[a] + 1])) for a, z in zip(heads, [*heads[1:], len(of)][: len(heads)], strict=True)]
+
+    def class_logs(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Natural log probability of the classes."""
+        out, at = self.weights[2], np.arange(len(cls))
+        z = state @ out
+        logs = z[at, cls]
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             np.exp(z, out=z)
-            logs[order[a:e]] += got - np.log(z.sum(1))
+            logs -= np.log(_row_sums(z))
         low = ~np.isfinite(logs)
-        if low.any():  # a class so unlikely that its share is 0 in single precision
-            z = state[low].astype(np.float64) @ self.weights[2].astype(np.float64)
+        if low.any():  # an overflow, in double precision
+            z = state[low].astype(np.float64) @ out.astype(np.float64)
             top = z.max(1)
             logs[low] = z[np.arange(len(z)), cls[low]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        return logs
+
+    def add_leaf_logs(self, logs: np.ndarray, state: np.ndarray, unit: np.ndarray) -> None:
+        """Adds the natural log probability of each unit within its class."""
+        places, runs = self._by_class(self.layout.cls[unit])
+        held, rank, more = state[places], self.layout.rank[unit[places]], np.empty(len(places), np.float32)
+        for a, e, lo, hi in runs:
+            for i in range(a, e, step := max(1, LEAF_CELLS // (hi - lo))):
+                j = min(e, i + step)
+                z = held[i:j] @ self.weights[3][lo:hi].T
+                got = z[np.arange(j - i), rank[i:j] - lo]
+                with np.errstate(over="ignore"):
+                    sums = _row_sums(np.exp(z))
+                if not (np.isfinite(sums).all() and sums.all()):
+                    top = z.max(1)
+                    got -= top
+                    sums = np.exp(z - top[:, None]).sum(1)
+                more[i:j] = got - np.log(sums)
+        logs[places] += more
+
+    def log_probabilities(self, x: np.ndarray, ok: np.ndarray, first: int, unit: np.ndarray) -> np.ndarray:
+        """Natural log probability of the target units (windows, length - first)."""
+        state, unit = self.states(x, first, ok, shares=False)[0], unit.ravel()
+        logs = self.class_logs(state, self.layout.cls[unit])
+        self.add_leaf_logs(logs, state, unit)
         return logs.reshape(len(x), -1)
 
 
@@ -179,38 +207,30 @@ class Trainer:
         cls, n, at = layout.cls[y], len(y), np.arange(len(y))
         state, q, k, v, s = self.model.states(x)
         weight = real.astype(np.float32) / max(1, int(real.sum()))
-        z, sums = _softmax_parts(state, out)
-        share = z[at, cls] / sums
-        z[at, cls] -= sums
-        scale = (weight / sums)[:, None]
-        d_out = (state * scale).T @ z
-        d_state = z @ out[:WIDTH].T
-        d_state *= scale
-        order, runs = self.model._by_class(cls)
-        held, rank, own = state[order], layout.rank[y[order]], weight[order]
-        leaf = np.ones(n, np.float32)
-        d_held = np.zeros((n, WIDTH), np.float32)
-        for a, e, lo, hi in runs:
-            u, r, i = leaves[lo:hi], rank[a:e] - lo, at[: e - a]
-            z = held[a:e] @ u.T
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            total = z.sum(1)
-            leaf[a:e] = z[i, r] / total
-            z *= (own[a:e] / total)[:, None]
-            z[i, r] -= own[a:e]
-            np.matmul(z, u[:, :WIDTH], out=d_held[a:e])
-            if leaf_step:
-                leaf_step(lo, hi, z.T @ held[a:e])
-        d_state[order] += d_held
-        loss = -float((np.log(share * leaf[np.argsort(order)] + 1e-30) * weight).sum())
+        d_out, d_state, share = np.zeros_like(out), np.empty((n, WIDTH), np.float32), np.empty(n, np.float32)
+        for a in range(0, n, ROWS):  # so many that their classes stay in a core's cache
+            own = state[a : a + ROWS]
+            z, sums = _softmax_parts(own @ out, lambda own=own: own @ out)
+            cell = at[: len(own)] * z.shape[1] + cls[a : a + ROWS]
+            got, scale = z.ravel()[cell], (weight[a : a + ROWS] / sums)[:, None]
+            z.ravel()[cell] = got - sums
+            share[a : a + ROWS] = got / sums
+            d_out += np.ascontiguousarray((own * scale).T) @ z
+            np.multiply(z @ out[:WIDTH].T, scale, out=d_state[a : a + ROWS])
+        places, runs = self.model._by_class(cls)
+        held, rank, own = state[places], layout.rank[y[places]], weight[places]
+        leaf, d_held = np.empty(len(places), np.float32), np.empty((len(places), WIDTH), np.float32)
+        for group in self._groups(runs):
+            self._leaves(group, held, rank, own, leaf, d_held, leaf_step)
+        d_state[places] += d_held
+        loss = -float(np.log(share + 1e-30) @ weight + np.log(leaf + 1e-30) @ own)
         dh = d_state.reshape(x.shape[0], LENGTH, WIDTH)
         ds = np.matmul(dh, v.transpose(0, 2, 1))
         g = np.empty((*x.shape, 4 * WIDTH), np.float32)
         g[..., 2 * WIDTH : 3 * WIDTH] = np.matmul(s.transpose(0, 2, 1), dh)
         g[..., 3 * WIDTH :] = dh
-        ds -= np.einsum("bij,bij->bi", ds, s)[..., None]
         ds *= s
+        ds -= _row_sums(ds)[..., None] * s
         d_bias = np.bincount(np.maximum(GAP, 0).ravel(), weights=np.where(GAP >= 0, ds.sum(0), 0).ravel(), minlength=LENGTH).astype(np.float32)
         ds *= np.float32(1 / math.sqrt(WIDTH))
         g[..., :WIDTH] = np.matmul(ds, k)
@@ -220,9 +240,45 @@ class Trainer:
         of = flat[by_row]
         heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         d_table = np.zeros_like(table)
-        d_table[of[heads]] = np.add.reduceat(g.reshape(-1, 4 * WIDTH)[by_row], heads, axis=0)
+        pairs = g.reshape(-1, 4 * WIDTH)[by_row].view(np.complex64)  # two numbers are added at once
+        d_table[of[heads]] = np.add.reduceat(pairs, heads, axis=0).view(np.float32)
         return loss, [d_table, d_bias, d_out]
 
+    @staticmethod
+    def _groups(runs: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+        """Neighbouring classes of one size, unless they are large; others by themselves."""
+        held: list[tuple[int, int, int, int]] = []
+        for r in runs:
+            if held and not (r[2] == held[-1][3] and r[3] - r[2] == held[-1][3] - held[-1][2] <= GROUPED):
+                yield held
+                held = []
+            held.append(r)
+        if held:
+            yield held
+
+    def _leaves(self, group: list, held: np.ndarray, rank: np.ndarray, own: np.ndarray, leaf: np.ndarray, d_held: np.ndarray, leaf_step) -> None:
+        """Shares of units within the group's classes, and the gradients: products by class, all else at once."""
+        a, e, lo, hi = group[0][0], group[-1][1], group[0][2], group[-1][3]
+        each, u, weight = group[0][3] - lo, self.model.weights[3], own[a:e]
+
+        def products() -> np.ndarray:
+            z = np.empty((e - a, each), np.float32)
+            for b, f, first, last in group:
+                np.matmul(held[b:f], u[first:last].T, out=z[b - a : f - a])
+            return z
+
+        z, sums = _softmax_parts(products(), products)
+        cell = np.arange(0, z.size, each) + (rank[a:e] - lo) % each
+        leaf[a:e] = z.ravel()[cell] / sums
+        z *= (weight / sums)[:, None]
+        z.ravel()[cell] -= weight
+        change = np.empty((hi - lo, WIDTH + 1), np.float32)
+        for b, f, first, last in group:
+            np.matmul(z[b - a : f - a], u[first:last, :WIDTH], out=d_held[b:f])
+            np.matmul(z[b - a : f - a].T, held[b:f], out=change[first - lo : last - lo])
+        if leaf_step:
+            leaf_step(lo, hi, change)
+
     def step(self, windows: np.ndarray) -> float:
         self.steps += 1
         rate = self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 500)
@@ -231,14 +287,28 @@ class Trainer:
         def leaf_step(lo: int, hi: int, g: np.ndarray) -> None:
             v = spread[lo:hi]
             v *= np.float32(0.99)
-            v += np.float32(0.01) * g * g
-            leaves[lo:hi] -= np.float32(rate) * g / (np.sqrt(v) + np.float32(1e-5))
+            change = g * g
+            change *= np.float32(0.01)
+            v += change
+            np.sqrt(v, out=change)
+            change += np.float32(1e-5)
+            np.divide(g, change, out=change)
+            change *= np.float32(rate)
+            leaves[lo:hi] -= change
 
         loss, gradients = self.gradients(windows, leaf_step)
         for w, g, m, v in zip(self.model.weights, gradients, self.first, self.second, strict=False):
             m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            w -= np.float32(rate / (1 - 0.9**self.steps)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-7))
+            change = g * g
+            change -= v
+            change *= np.float32(0.01)
+            v += change
+            np.multiply(v, np.float32(1 / (1 - 0.99**self.steps)), out=change)
+            np.sqrt(change, out=change)
+            change += np.float32(1e-7)
+            np.divide(m, change, out=change)
+            change *= np.float32(rate / (1 - 0.9**self.steps))
+            w -= change
         return loss
 
     def train(self, windows: np.ndarray, epochs: int = 1) -> None:
@@ -263,22 +333,45 @@ def training_windows(units: np.ndarray, bounds: np.ndarray, at_once: int = 16384
         yield np.where(at > size[t][:, None], -1, np.where(at > 0, unit, 0)).astype(np.int32)
 
 
-def text_scores(model: Attention, units: np.ndarray, bounds: np.ndarray, at_once: int = 256) -> np.ndarray:
-    """Natural log probability of each text: windows that overlap by half, each unit scored once."""
+def text_scores(model: Attention, units: np.ndarray, bounds: np.ndarray, at_once: int = 128, held: int = 32) -> np.ndarray:
+    """Natural log probability of each text: windows that overlap by half, each unit scored once.
+
+    States come from at_once windows at a time; the units within classes are scored for `held` times as many.
+    """
     sizes = np.diff(bounds)
     per = -(-sizes // STEP)
     text = np.repeat(np.arange(len(sizes)), per)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
     total = np.zeros(len(sizes))
-    rows, end = model.layout.row[units], model.layout.row[0]
-    reach = np.arange(-STEP, STEP)
-    for a in range(0, len(text), at_once):
-        t = text[a : a + at_once]
-        at = (nth[a : a + at_once] * STEP)[:, None] + reach[None, :]  # inputs: the unit before each target
-        size = sizes[t][:, None]
-        before = np.clip(bounds[t][:, None] + at - 1, 0, len(rows) - 1)
-        x = np.where(at > 0, rows[before], end)
-        goal = units[bounds[t][:, None] + np.minimum(at[:, STEP:], size - 1)]
-        logs = model.log_probabilities(x, (at >= 0) & (at < size), STEP, goal)
-        total += np.bincount(t, weights=np.where(at[:, STEP:] < size, logs, 0).sum(1), minlength=len(sizes))
+    if not len(text):
+        return total
+    end = model.layout.row[0]
+    rows = np.concatenate([np.full(STEP + 1, end), model.layout.row[units], np.full(LENGTH, end)])
+    inputs = np.lib.stride_tricks.sliding_window_view(rows, LENGTH)  # of each target, the unit before it
+    goals = np.lib.stride_tricks.sliding_window_view(np.concatenate([units, np.zeros(STEP, units.dtype)]), STEP)
+    starts, reach = bounds[text] + nth * STEP, np.arange(-STEP, STEP)
+    edge = (nth == 0) | ((nth + 1) * STEP > sizes[text])  # windows that reach out of their text
+    for first in range(0, len(text), at_once * held):
+        many = slice(first, first + at_once * held)
+        unit = goals[starts[many]].ravel()
+        cls = model.layout.cls[unit]
+        state, logs = np.empty((len(unit), WIDTH + 1), np.float32), np.empty(len(unit), np.float32)
+        for a in range(0, len(unit) // STEP, at_once):
+            now = slice(first + a, min(first + a + at_once, many.stop))
+            own = slice(a * STEP, (a + at_once) * STEP)
+            x, ok = inputs[starts[now]], None
+            x[nth[now] == 1, 0] = end  # before the text's first unit
+            odd = np.flatnonzero(edge[now])
+            if len(odd):
+                at = nth[now][odd][:, None] * STEP + reach
+                x[odd] = np.where(at > 0, x[odd], end)
+                ok = np.ones(x.shape, bool)
+                ok[odd] = (at >= 0) & (at < sizes[text[now][odd]][:, None])
+            state[own] = model.states(x, STEP, ok, shares=False)[0]
+            logs[own] = model.class_logs(state[own], cls[own])
+        model.add_leaf_logs(logs, state, unit)
+        odd = np.flatnonzero(edge[many])
+        logs = logs.reshape(-1, STEP)
+        logs[odd] = np.where(nth[many][odd][:, None] * STEP + reach[STEP:] < sizes[text[many][odd]][:, None], logs[odd], 0)
+        total += np.bincount(text[many], weights=logs.sum(1, dtype=np.float64), minlength=len(sizes))
     return total

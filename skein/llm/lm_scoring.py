@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.attention import BATCH, Attention, Layout, Trainer, text_scores, training_windows
-from skein.llm.common import Tables, by_arrow, crc32_of_id, table
+from skein.llm.common import FREED_BYTES_OF_ARRAYS, Tables, by_arrow, crc32_of_id, table
 from skein.llm.subwords import Subwords, default_tokenizer, subwords, taken
 
 FOLDS, HELD = 7, 2
@@ -97,7 +97,7 @@ def count_words(docs: DataFrame, most_held: int = 600_000) -> DataFrame:
         if held:
             yield emit()
 
-    return docs.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "word string, n long", FREED_BYTES_OF_ARRAYS)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(counts: DataFrame, most: int) -> pa.Table:
@@ -171,7 +171,7 @@ def averaged(training: DataFrame, start: Attention, tokenizer: str, rate: float
             branch = np.full(len(own) + 1, TaskContext.get().partitionId() % BRANCHES, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1).astype(np.int32)), pa.array(branch), pa.array([*rows, np.array([trainer.seen], np.float64).tobytes()])], ["block", "branch", "change"])
 
-    sums = training.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "block int, branch int, change binary"))
+    sums = training.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "block int, branch int, change binary", FREED_BYTES_OF_ARRAYS))
     for keys in (["block", "branch"], ["block"]):
         sums = sums.repartition(*keys).sortWithinPartitions(*keys).transform(by_arrow(_summed, "block int, branch int, change binary"))
     got = {r["block"]: np.frombuffer(r["change"], np.float64) for r in sums.collect()}  # a row for each block of weights
@@ -250,7 +250,7 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, le
 
     names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word"]
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = tables.written(thin.transform(by_arrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string")), "lm-scores")
+    both = tables.written(thin.transform(by_arrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string", FREED_BYTES_OF_ARRAYS)), "lm-scores")
     rare = both.where(F.col("word").isNotNull()).select("row", F.col("n_tokens").alias("k"), "word").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 1) / F.lit(whole))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(F.lit(0))).alias("more_known"))
