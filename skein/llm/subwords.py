@@ -25,6 +25,8 @@ from skein.llm.common import quiet_threads
 KEPT_UNITS = 120_000
 #: Bytes of text that are split at once.
 CHUNK_BYTES = 8 << 20
+#: Pieces that are written in the byte-level alphabet at once.
+PIECES_AT_ONCE = 8192
 #: Letters on which all libraries agree, then marks that end a word, for Arrow's regular expressions.
 PLAIN = r"^[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
 MARKS = ".,;:!?$%&#*"
@@ -118,12 +120,13 @@ class Subwords:
 
     def pieces_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces of the library's own split, by the library's BPE model."""
-        tokenize, spelled, alphabet = self.model.tokenize, self.spelled, self.alphabet
-        # Translated pieces hold neither spaces nor line breaks, and plain ones no breaks, so all spaces are replaced at once.
-        written = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(alphabet) for p in pieces]
-        written = "\n".join(written).replace(" ", "\u0120").split("\n") if written else []
-        found = map(tokenize, written)
-        return [spelled[t[0].id] if len(t) == 1 else b"".join([spelled[x.id] for x in t]) for t in found]
+        tokenize, spelled, alphabet, out = self.model.tokenize, self.spelled, self.alphabet, []
+        for a in range(0, len(pieces), PIECES_AT_ONCE):
+            # Translated pieces hold neither spaces nor line breaks, and plain ones no breaks, so all spaces are replaced at once.
+            written = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(alphabet) for p in pieces[a : a + PIECES_AT_ONCE]]
+            found = map(tokenize, "\n".join(written).replace(" ", "\u0120").split("\n"))
+            out += [spelled[t[0].id] if len(t) == 1 else b"".join([spelled[x.id] for x in t]) for t in found]
+        return out
 
     def stems_of(self, letters: list[str]) -> list[bytes]:
         """Ids of pieces of a space and letters."""
