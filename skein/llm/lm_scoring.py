@@ -5,6 +5,9 @@ end and the ids that a public byte-level BPE gives each word, as after a space.
 learnt probability in every context (attention.py), so known and unknown words are scored alike, and
 a text's score is the sum over its units.
 
+Preparing: one pass splits and encodes every text, counts the training words, and writes the texts with
+their units to the shared folder, where training and scoring read them.
+
 Training: a start on a bounded sample of windows on the driver, from a table of unit counts over the
 whole training corpus; then one round in which every training document gives all its windows to its
 task, so that each of its units is a target once. Tasks train from the start, block by block. What
@@ -75,29 +78,52 @@ def units_of(enc: Subwords, distinct: pa.Array, numbers: np.ndarray, bounds: np.
     return units, np.concatenate([[0], ends])[bounds + np.arange(len(bounds))]
 
 
-def count_words(docs: DataFrame, most_held: int = 600_000) -> DataFrame:
-    """word and count over all texts; tasks add up before the shuffle, in bounded memory."""
+def prepared(docs: DataFrame, tokenizer: str, most_held: int = 600_000) -> DataFrame:
+    """docs: doc_id, text and learnt (whether it is training text). The same with each text's units,
+    and, in rows of their own, words and their counts in training texts; tasks add up in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        enc, held = subwords(tokenizer), {}
 
         def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            k = len(held)
+            out = pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names)
             held.clear()
             return out
 
         for b in batches:
-            distinct, numbers, _ = words_of(b.column(0))
-            counts = np.bincount(numbers, minlength=len(distinct))
+            distinct, numbers, bounds = words_of(b.column(1))
+            learnt = np.repeat(b.column(2).to_numpy(zero_copy_only=False), np.diff(bounds))
+            counts = np.bincount(numbers[learnt], minlength=len(distinct))
             for w, n in zip(distinct.to_pylist(), counts.tolist(), strict=True):
                 if n:
                     held[w] = held.get(w, 0) + n
+            units = packed(*units_of(enc, distinct, numbers, bounds), enc.size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), units, pa.nulls(len(units), pa.string()), pa.nulls(len(units), pa.int64())], names)
             if len(held) > most_held:
                 yield emit()
         if held:
             yield emit()
 
-    return docs.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "word string, n long", FREED_BYTES_OF_ARRAYS)).groupBy("word").agg(F.sum("n").alias("n"))
+    names = ["doc_id", "text", "learnt", "units", "word", "n"]
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "learnt")
+    return thin.transform(by_arrow(run, "doc_id long, text string, learnt boolean, units binary, word string, n long", FREED_BYTES_OF_ARRAYS))
+
+
+def packed(units: np.ndarray, bounds: np.ndarray, size: int) -> pa.Array:
+    """Units by text, two bytes each where the tokenizer's ids and the end allow it, else four."""
+    kind = np.dtype("<u2" if size < 1 << 16 else "<u4")
+    data = np.ascontiguousarray(units.astype(kind))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What packed() took: units and bounds."""
+    kind = np.dtype("<u2" if size < 1 << 16 else "<u4")
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    units = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return units.astype(np.int32), (ends - ends[0]) // kind.itemsize
 
 
 def lexicon(counts: DataFrame, most: int) -> pa.Table:
@@ -134,12 +160,12 @@ def unit_counts(counts: DataFrame, ends: int, tokenizer: str) -> np.ndarray:
 def sample_windows(training: DataFrame, tokenizer: str, rows: int = START_ROWS, most: int = START_WINDOWS) -> np.ndarray:
     """At most `most` windows, by a hash, of the documents with the `rows` least hashes of ids."""
     picked = training.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(rows)
-    texts = training.join(F.broadcast(picked), "doc_id").select(F.col("text").cast("string").alias("text"))  # at most `rows` ids
+    texts = training.join(F.broadcast(picked), "doc_id").select("units")  # at most `rows` ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = subwords(tokenizer)
+        size = subwords(tokenizer).size
         for b in batches:
-            for w in training_windows(*units_of(enc, *words_of(b.column(0)))):
+            for w in training_windows(*unpacked(b.column(0), size)):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1]), pa.array(w.ravel()))
                 yield pa.RecordBatch.from_arrays([lists], ["window"])
 
@@ -148,15 +174,17 @@ def sample_windows(training: DataFrame, tokenizer: str, rows: int = START_ROWS,
 
 
 def averaged(training: DataFrame, start: Attention, tokenizer: str, rate: float = RATE) -> Attention:
-    """The model after every task has trained from `start` on all windows of its texts."""
+    """The model after every task has trained from `start` on all windows of its texts; those have units, or get them."""
     begun = training.sparkSession.sparkContext.broadcast(start)
     shapes = [w.shape for w in start.weights]
+    if "units" not in training.columns:
+        training = prepared(training.withColumn("learnt", F.lit(True)), tokenizer).where("units IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, trainer = subwords(tokenizer), Trainer(begun.value.copy(), rate)
+        size, trainer = subwords(tokenizer).size, Trainer(begun.value.copy(), rate)
         held: list[np.ndarray] = []
         for b in batches:
-            for part in training_windows(*units_of(enc, *words_of(b.column(0)))):
+            for part in training_windows(*unpacked(b.column(0), size)):
                 held.append(part)
                 if sum(map(len, held)) >= BLOCK:
                     trainer.train(np.concatenate(held))
@@ -171,7 +199,7 @@ def averaged(training: DataFrame, start: Attention, tokenizer: str, rate: float
             branch = np.full(len(own) + 1, TaskContext.get().partitionId() % BRANCHES, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1).astype(np.int32)), pa.array(branch), pa.array([*rows, np.array([trainer.seen], np.float64).tobytes()])], ["block", "branch", "change"])
 
-    sums = training.select(F.col("text").cast("string").alias("text")).transform(by_arrow(run, "block int, branch int, change binary", FREED_BYTES_OF_ARRAYS))
+    sums = training.select("units").transform(by_arrow(run, "block int, branch int, change binary", FREED_BYTES_OF_ARRAYS))
     for keys in (["block", "branch"], ["block"]):
         sums = sums.repartition(*keys).sortWithinPartitions(*keys).transform(by_arrow(_summed, "block int, branch int, change binary"))
     got = {r["block"]: np.frombuffer(r["change"], np.float64) for r in sums.collect()}  # a row for each block of weights
@@ -212,11 +240,18 @@ def trained(training: DataFrame, counts: np.ndarray, tokenizer: str) -> Attentio
     return averaged(training, model, tokenizer)
 
 
-def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, lexicon_most: int = LEXICON_MOST) -> DataFrame:
-    """docs and training: doc_id and text. doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, training: DataFrame | Column, tokenizer: str | None = None, lexicon_most: int = LEXICON_MOST) -> DataFrame:
+    """docs and training: doc_id and text. doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    Where training is a condition on docs instead, each text is split and encoded once for both.
+    """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     tables = Tables(spark)
-    counts = tables.written(count_words(training), "lm-counts")
+    within = isinstance(training, Column)
+    texts = tables.written(prepared(docs.withColumn("learnt", training if within else F.lit(False)), tokenizer), "lm-texts")
+    learnt = texts if within else tables.written(prepared(training.withColumn("learnt", F.lit(True)), tokenizer), "lm-training")
+    counts = tables.written(learnt.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    training = learnt.where("learnt").select("doc_id", "units")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
@@ -227,7 +262,7 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lexicon_words, word_counts = shared.value
-        enc, row = subwords(tokenizer), TaskContext.get().partitionId() << 33
+        ids_size, row = subwords(tokenizer).size, TaskContext.get().partitionId() << 33
         log_counts = np.append(np.log10((word_counts + 1) / whole), 0.0)  # the last for words outside
         for b in batches:
             distinct, numbers, bounds = words_of(b.column(1))
@@ -237,7 +272,7 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, le
             known = at < len(word_counts)
             base = np.bincount(text, weights=log_counts[at][numbers], minlength=len(size)) + math.log10((ends + 1) / whole)
             n_known = np.bincount(text[known[numbers]], minlength=len(size)) + (ends > 0)
-            scores = text_scores(model, *units_of(enc, distinct, numbers, bounds)) / math.log(10)
+            scores = text_scores(model, *unpacked(b.column(2), ids_size)) / math.log(10)
             ids = row + np.arange(len(size))
             row += len(size)
             yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.nulls(len(size), pa.string())], names)
@@ -249,7 +284,7 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, le
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(distinct)]), pa.nulls(k, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), distinct.take(pa.array(pairs % len(distinct)))], names)
 
     names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word"]
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    thin = texts.where("units IS NOT NULL").select("doc_id", "text", "units")
     both = tables.written(thin.transform(by_arrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string", FREED_BYTES_OF_ARRAYS)), "lm-scores")
     rare = both.where(F.col("word").isNotNull()).select("row", F.col("n_tokens").alias("k"), "word").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
@@ -263,4 +298,4 @@ def score(docs: DataFrame, training: DataFrame, tokenizer: str | None = None, le
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, docs.where(~held_out())).withColumn("held_out", held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, ~held_out()).withColumn("held_out", held_out()).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
