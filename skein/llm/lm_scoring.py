@@ -275,23 +275,27 @@ def score(docs: DataFrame, training: DataFrame | Column, tokenizer: str | None =
             scores = text_scores(model, *unpacked(b.column(2), ids_size)) / math.log(10)
             ids = row + np.arange(len(size))
             row += len(size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.nulls(len(size), pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(size + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.nulls(len(size), pa.string()), b.column(3), b.column(4)], names)
             # Other words, once each text, for the join with their counts.
             other = ~known[numbers]
             pairs, times = np.unique(text[other] * len(distinct) + numbers[other], return_counts=True)
             k = len(pairs)
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(distinct)]), pa.nulls(k, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), distinct.take(pa.array(pairs % len(distinct)))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(distinct)]), pa.nulls(k, pa.int64()), pa.array(times.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), distinct.take(pa.array(pairs % len(distinct))), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
 
-    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word"]
-    thin = texts.where("units IS NOT NULL").select("doc_id", "text", "units")
-    both = tables.written(thin.transform(by_arrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string", FREED_BYTES_OF_ARRAYS)), "lm-scores")
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "hash", "other"]
+    whole_text = F.coalesce("text", F.lit(""))
+    thin = texts.where("units IS NOT NULL").select("doc_id", "text", "units", F.xxhash64(whole_text).alias("hash"), F.xxhash64(whole_text, F.lit(1)).alias("other"))
+    both = tables.written(thin.transform(by_arrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string, hash long, other long", FREED_BYTES_OF_ARRAYS)), "lm-scores")
     rare = both.where(F.col("word").isNotNull()).select("row", F.col("n_tokens").alias("k"), "word").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10((c + 1) / F.lit(whole))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(F.lit(0))).alias("more_known"))
-    out = both.where(F.col("word").isNull()).join(rare, "row", "left")
+    scored = both.where(F.col("word").isNull())
+    # A text's place in a batch may change the last digits of its score; equal texts take the least.
+    apart = scored.groupBy("hash", "other").agg(F.min("score").alias("least"), F.max("score").alias("most")).where("least < most").drop("most")
+    out = scored.join(apart, ["hash", "other"], "left").join(rare, "row", "left")
     out = out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), F.coalesce("least", "score").alias("score")
     )
     return tables.result(out, "lm-result")
 

@@ -35,3 +35,13 @@ def test_training_texts_may_be_a_condition(spark, monkeypatch):
         want = [1 + i for w in (r["text"] or "").split() for i in enc.tokenizer.encode(" " + w, add_special_tokens=False).ids] + [0]
         assert np.frombuffer(r["units"], "<u2").tolist() == want
     assert len(kept) == len(rows)
+
+
+def test_equal_texts_score_alike_wherever_they_stand(spark):
+    copy = " ".join(f"w{j % 13}" for j in range(60))
+    rows = [(k, " ".join(f"w{(k * j) % 23}" for j in range(k % 50 + 1))) for k in range(120)]
+    for k, at in enumerate((0, 7, 31, 32, 77, 118)):
+        rows.insert(at, (1000 + k, copy))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(df, ~lm_scoring.held_out()).collect()}
+    assert len({got[1000 + k] for k in range(6)}) == 1 and len(got) == len(rows)
