@@ -79,6 +79,15 @@ def search_norm(c: Column) -> Column:
     return F.when(is_ascii(c), F.lower(c)).otherwise(casefold(c))
 
 
+def lowered(c: Column) -> Column:
+    """Single spaces for ASCII white space, without spaces at the ends, in lower case letter by letter, as in SQL; null stays.
+
+    Spark's lower alone would give a sigma at a word's end its own form, and the dotted I two code points.
+    """
+    c = F.regexp_replace(F.regexp_replace(c, r"[\t\n\f\r ]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+
+
 def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(search_norm(c), r"(?U)[^\w]+"), lambda t: t != ""))
 
