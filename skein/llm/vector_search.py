@@ -12,12 +12,17 @@ share costs a few rows a task. Queries of one class are searched once.
 
 Cells: a coarse partition of the sample's unit vectors, about as many cells as the square root of the
 table, at most `most_cells`. A query meets the nearest cells alone, as many as hold the share `recall`
-of true neighbours within the sample (which is sparser than the table, so the share there is higher).
-On clustered vectors those are few; on vectors without clusters, most of them.
-
-Search: within a cell, queries and candidates meet in blocks, and only ids and codes of candidates
-move. Two codes at a time index a table of 256 sums; the `shortlist` best of a query over all its
-blocks are then fetched and scored exactly, in double precision, on the original vectors.
+of the true neighbours that a bounded number of the table's own queries have in the sample (which is
+sparser than the table, so the share there is higher). On clustered vectors those are few; on vectors
+without clusters, most of them.
+
+Search: within a cell, queries and candidates meet in blocks. Two codes at a time index a table of 256
+sums; the `shortlist` best of a query are scored exactly, in double precision, and so is every other
+candidate of the block that these sums can't exclude. For a unit vector x with residual r, p = x.r and
+s the length of r beyond x, a query of cosine c has a sum of at least c(1 - p) - s sqrt(1 - c^2), which
+grows with c >= 0: what lies below it for the score reached so far is farther. So no candidate of a
+cell is lost where codes don't tell vectors apart, as in groups of near copies. A query starts from the
+score that it reaches in the sample.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
 part, nor do those of another length than the most frequent one (ties: the longer) and rows without
@@ -77,6 +82,13 @@ class Codebooks:
                 total = rest + parallel[:, j]
         return codes.astype(np.uint8)
 
+    def residual(self, unit: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector: its product with its residual, and the length of the residual beyond it."""
+        m = self.shape[0]
+        rest = self.split(unit) - self.centroids[np.arange(m), codes]
+        along = (self.split(unit) * rest).sum((1, 2))
+        return along, np.sqrt(np.maximum((rest * rest).sum((1, 2)) - along**2, 0))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(queries, pairs of subspaces, 256): sums for each pair of codes."""
         q = self.split(queries)
@@ -138,9 +150,8 @@ class Cells:
         return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
 
     @staticmethod
-    def fit(unit: np.ndarray, cells: int, k: int, recall: float, rounds: int = 10, asked: int = 512, seed: int = 7) -> Cells:
-        """Spherical k-means, and the least number of probes that finds `recall` of the k nearest in the sample."""
-        unit = np.unique(unit, axis=0)
+    def fit(unit: np.ndarray, queries: np.ndarray, cells: int, k: int, recall: float, rounds: int = 10, seed: int = 7) -> Cells:
+        """Spherical k-means over distinct vectors, and the least number of probes that finds `recall` of the queries' k nearest."""
         rng = np.random.default_rng(seed)
         mid = unit[rng.choice(len(unit), min(cells, len(unit)), replace=False)].copy()
         for _ in range(rounds if len(mid) > 1 else 0):
@@ -148,12 +159,11 @@ class Cells:
             total = np.stack([np.bincount(near, weights=unit[:, d], minlength=len(mid)) for d in range(unit.shape[1])], axis=1)
             size = np.linalg.norm(total, axis=1, keepdims=True)
             mid = np.where(size > 1e-9, total / np.maximum(size, 1e-9), mid)
-        queries = rng.choice(len(unit), min(asked, len(unit)), replace=False)
-        away = unit[queries] @ unit.T
-        away[np.arange(len(queries)), queries] = -2
+        away = queries @ unit.T
+        away[away > 1 - 1e-14] = -2  # the query itself, or its equal
         near = np.argsort(-away, axis=1)[:, : min(k, len(unit) - 1)]
         own = (unit @ mid.T).argmax(1)
-        place = np.argsort(np.argsort(-(unit[queries] @ mid.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
+        place = np.argsort(np.argsort(-(queries @ mid.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
         found = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
         probes = 1 + int(found[min(len(found) - 1, math.ceil(recall * len(found)))]) if len(found) else 1
         return Cells(mid, min(probes, len(mid)))
@@ -187,10 +197,11 @@ def nearest(
     sub: int = 2,
     shortlist: int = 128,
     block: int = 1 << 16,
-    query_block: int = 1024,
+    query_block: int = 8192,
     sample_rows: int = 16384,
     recall: float = 0.98,
     most_cells: int = 1024,
+    asked_rows: int = 512,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, whose id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -202,7 +213,13 @@ def nearest(
         return empty
     unit = _unit(_matrix(sample.column("vector")))
     books = fit(unit, sub)
-    cells = Cells.fit(unit, max(1, min(most_cells, math.isqrt(rows.count()), len(sample) // 16)), k, recall)
+    queries = rows.where(F.col("vec_id") % every == 0)
+    own_queries = queries.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(asked_rows).select("vector").toArrow()
+    if not len(own_queries):
+        return empty
+    unit = np.unique(unit, axis=0)
+    block = min(block, max(1024, (1 << 22) // unit.shape[1]))  # at most some 32 MB of vectors
+    cells = Cells.fit(unit, _unit(_matrix(own_queries.column("vector"))), max(1, min(most_cells, math.isqrt(rows.count()), len(sample) // 16)), k, recall)
     firsts = Window.partitionBy("vector").orderBy("vec_id")  # limited to k + 1 before the shuffle
     kept = rows.withColumn("_n", F.row_number().over(firsts)).where(F.col("_n") <= k + 1)
     classes = kept.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class", F.col("ids")[0])
@@ -210,64 +227,69 @@ def nearest(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _unit(_matrix(b.column(2)))
-            codes = Codebooks.packed(books.encode(x)) if len(b) else []
+            codes = books.encode(x) if len(b) else np.zeros((0, 1), np.uint8)
+            along, beyond = books.residual(x, codes) if len(b) else ([], [])
             own = cells.own(x) if len(b) else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own, pa.int32())], ["class", "ids", "vector", "codes", "cell"])
+            packed = [c.tobytes() for c in Codebooks.packed(codes)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary()), pa.array(along, pa.float64()), pa.array(beyond, pa.float64()), pa.array(own, pa.int32())], ["class", "ids", "vector", "codes", "along", "beyond", "cell"])
 
-    index = classes.select("class", "ids", "vector").transform(by_arrow(encode, "class long, ids array<long>, vector array<double>, codes binary, cell int"))
+    index = classes.select("class", "ids", "vector").transform(by_arrow(encode, "class long, ids array<long>, vector array<double>, codes binary, along double, beyond double, cell int"))
     index = tables.written(index, "vector-index")
-    queries = rows.where(F.col("vec_id") % every == 0)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = cells.nearest(_unit(_matrix(b.column(1)))) if len(b) else np.zeros((0, 1), int)
+            x = _unit(_matrix(b.column(1))) if len(b) else np.zeros((0, unit.shape[1]))
+            near = cells.nearest(x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], ["class", "vector", "cells"])
+            reached = np.full(len(x), -1.0)
+            for at in range(0, len(x) if len(unit) > k else 0, 128):
+                reached[at : at + 128] = np.partition(x[at : at + 128] @ unit.T, len(unit) - k - 1, axis=1)[:, len(unit) - k - 1]
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(reached)], ["class", "vector", "cells", "reached"])
 
     asked = queries.select("vector").distinct().join(index.select("class", "vector"), "vector").select("class", "vector")
-    asked = tables.written(asked.transform(by_arrow(probe, "class long, vector array<double>, cells array<int>")), "vector-queries")
+    asked = tables.written(asked.transform(by_arrow(probe, "class long, vector array<double>, cells array<int>, reached double")), "vector-queries")
     meeting = asked.select("class", F.explode("cells").alias("cell"))
     # Blocks of each cell: at most most_cells rows.
     blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n_cb")).join(meeting.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("n_qb")), "cell")
     blocks = F.broadcast(tables.written(blocks, "vector-blocks"))
     place = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.select("class", "vector", F.explode("cells").alias("cell")).join(blocks, "cell").select("class", "vector", "cell", place("n_qb").alias("qb"), every_one("n_cb").alias("cb"))
-    right = index.select("class", "codes", "cell").join(blocks, "cell").select("class", "codes", "cell", place("n_cb").alias("cb"), every_one("n_qb").alias("qb"))
+    left = asked.select("class", "vector", "reached", F.explode("cells").alias("cell")).join(blocks, "cell").select("class", "vector", "reached", "cell", place("n_qb").alias("qb"), every_one("n_cb").alias("cb"))
+    right = index.join(blocks, "cell").select("class", "ids", "vector", "codes", "along", "beyond", "cell", place("n_cb").alias("cb"), every_one("n_qb").alias("qb"))
 
     def scan(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
+        out: dict[str, list] = {"class": [], "vec_id": [], "score": []}
         if q.num_rows and c.num_rows:
-            ids = c.column("class").to_numpy()
-            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
-            for asker, t in zip(q.column("class").to_numpy(), _chunked_tables(books, _unit(_matrix(q.column("vector")))), strict=True):
+            x, asked_x, ids = _matrix(c.column("vector")), _matrix(q.column("vector")), c.column("ids")
+            first, u = c.column("class").to_numpy(), _unit(x)
+            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(first), -1).T.copy()
+            onto, beyond = 1 - c.column("along").to_numpy(), c.column("beyond").to_numpy()
+            for asker, a, ua, least, t in zip(q.column("class").to_pylist(), asked_x, _unit(asked_x), q.column("reached").to_numpy(), _chunked_tables(books, _unit(asked_x)), strict=True):
                 approx = t[0][codes[0]]
                 for j in range(1, len(codes)):
                     approx += t[j][codes[j]]
                 best = np.argpartition(-approx, shortlist)[:shortlist] if len(approx) > shortlist else np.arange(len(approx))
-                out.append((np.full(len(best), asker), ids[best], approx[best]))
-        parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
-        return pa.table({"class": pa.array(parts[0].astype(np.int64)), "near": pa.array(parts[1].astype(np.int64)), "approx": pa.array(parts[2].astype(np.float32))})
-
-    keys = ["cell", "qb", "cb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "class long, near long, approx float")
-    best = Window.partitionBy("class").orderBy(F.col("approx").desc(), "near")
-    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= shortlist).select("class", "near")
-    fetched = found.join(index.select(F.col("class").alias("near"), F.col("vector").alias("candidate"), "ids"), "near")
-
-    def rerank(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"class": [], "vec_id": [], "score": []}
-        if q.num_rows and c.num_rows:
-            a, x = _matrix(q.column("vector"))[0], _matrix(c.column("candidate"))
-            ids = c.column("ids").to_pylist()
-            score = (x * a).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((a * a).sum()))
-            for s in np.lexsort(([i[0] for i in ids], -score))[: k + 1]:
-                out["class"] += [q.column("class")[0].as_py()] * len(ids[s])
-                out["vec_id"] += ids[s]
-                out["score"] += [float(score[s])] * len(ids[s])
+                exact = u[best] @ ua
+                if len(best) > k and len(best) < len(approx):
+                    least = max(least, np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1])
+                if len(best) < len(approx):
+                    least = min(least, 1.0) - 1e-12
+                    open_ = (approx >= least * onto - beyond * math.sqrt(max(0.0, 1 - least * least)) - 1e-5) | (onto <= 0) if least >= 0 else np.ones(len(approx), bool)
+                    open_[best] = True
+                    best = np.flatnonzero(open_)
+                    exact = (u @ ua)[best] if len(best) * 8 > len(u) else u[best] @ ua
+                if len(best) > k + 1:  # all that may tie with the last
+                    best = best[exact >= np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1] - 1e-12]
+                score = (x[best] * a).sum(1) / (np.sqrt((x[best] * x[best]).sum(1)) * np.sqrt((a * a).sum()))
+                near = [(-float(score[s]), i) for s in np.lexsort((first[best], -score))[: k + 1] for i in ids[int(best[s])].as_py()]
+                for away, i in sorted(near)[: k + 1]:
+                    out["class"].append(asker)
+                    out["vec_id"].append(i)
+                    out["score"].append(-away)
         return pa.table({"class": pa.array(out["class"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    scored = asked.select("class", "vector").groupBy("class").cogroup(fetched.groupBy("class")).applyInArrow(rerank, "class long, vec_id long, score double")
+    keys = ["cell", "qb", "cb"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "class long, vec_id long, score double")
     order = [F.col("score").desc(), F.col("vec_id")]
     scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
     # At most k + 1 rows a class, so the join multiplies queries by k + 1.
