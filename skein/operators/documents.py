@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.batches import by_rows
 from skein.functions.html import page_parts
 from skein.functions.text import clean_text, is_ascii, split_sentences
 
@@ -98,18 +99,16 @@ def document_sentences(docs: DataFrame) -> DataFrame:
 
 
 def sentence_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, sent_idx, sentence, sent_start, sent_end, by a sequential Arrow pass over each text."""
-    def run(batches):
-        for b in batches:
-            rows = []
-            for k, t, ss in zip(b[key], b["_t"], b["_s"], strict=True):
-                at = 0
-                for i, s in enumerate(ss if ss is not None else ()):
-                    found = t.find(s, at)
-                    start = found if found >= 0 else at
-                    at = start + len(s)
-                    rows.append((k, i, s, start, at))
-            yield pd.DataFrame(rows, columns=[key, "sent_idx", "sentence", "sent_start", "sent_end"])
+    """key, sent_idx, sentence, sent_start, sent_end, by a sequential Arrow pass over each text, in bounded batches."""
+
+    def run(columns):
+        for k, t, ss in zip(*columns, strict=True):
+            at = 0
+            for i, s in enumerate(ss if ss is not None else ()):
+                found = t.find(s, at)
+                start = found if found >= 0 else at
+                at = start + len(s)
+                yield k, i, s, start, at
 
     thin = docs.select(key, F.col(text).alias("_t"), split_sentences(F.col(text)).alias("_s"))
-    return thin.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, sent_idx int, sentence string, sent_start int, sent_end int")
+    return thin.transform(by_rows(lambda: run, f"{key} {docs.schema[key].dataType.simpleString()}, sent_idx int, sentence string, sent_start int, sent_end int"))

@@ -6,10 +6,10 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.batches import by_rows
 from skein.config import LOW_VALUE_TYPES
 from skein.functions.text import cosine, link_score, split_sentences
 
@@ -34,14 +34,18 @@ def detect_mentions(docs: DataFrame, key: str, text: str, factory: Callable[[],
     """key, pos, mention, type, start, end, source: a row for each mention, in order."""
     factory = factory or pattern_detector()
 
-    def run(batches):
+    def start():
         detector = factory()
-        for b in batches:
-            rows = [(k, i, *m, source) for k, ms in zip(b[key], detector(b["_t"]), strict=True) for i, m in enumerate(ms)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "mention", "type", "start", "end", "source"])
+
+        def run(columns):
+            for k, ms in zip(columns[0], detector(columns[1]), strict=True):
+                for i, m in enumerate(ms):
+                    yield k, i, *m, source
+
+        return run
 
     thin = docs.select(key, F.col(text).alias("_t"))
-    return thin.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, pos int, mention string, type string, start int, end int, source string")
+    return thin.transform(by_rows(start, f"{key} {docs.schema[key].dataType.simpleString()}, pos int, mention string, type string, start int, end int, source string"))
 
 
 def link_mentions(mentions: DataFrame, kb: DataFrame, top_k: int = 5, context: Column | None = None, label_vector: str | None = None) -> DataFrame:
@@ -100,13 +104,12 @@ def sentence_mentions(docs: DataFrame, key: str, text: str, factory: Callable[[]
     mention is placed by binary search.
     """
     factory = factory or pattern_detector()
-    columns = [key, "sent_idx", "sentence", "sent_start", "sent_end", "pos", "mention", "type", "start", "end", "source"]
-
-    def run(batches):
+    def start():
         detector = factory()
-        for b in batches:
-            rows = []
-            for k, t, ss, ms in zip(b[key], b["_t"], b["_s"], detector(b["_t"]), strict=True):
+
+        def run(columns):
+            keys, texts, sentences = columns
+            for k, t, ss, ms in zip(keys, texts, sentences, detector(texts), strict=True):
                 starts, ends, at = [], [], 0
                 for s in ss if ss is not None else ():
                     found = t.find(s, at)
@@ -116,11 +119,12 @@ def sentence_mentions(docs: DataFrame, key: str, text: str, factory: Callable[[]
                 for pos, (mention, kind, start, end) in enumerate(ms):
                     i = bisect_right(starts, start) - 1
                     if i >= 0 and end <= ends[i] and (kind or "") not in LOW_VALUE_TYPES:
-                        rows.append((k, i, ss[i], starts[i], ends[i], pos, mention, kind, start, end, source))
-            yield pd.DataFrame(rows, columns=columns)
+                        yield k, i, ss[i], starts[i], ends[i], pos, mention, kind, start, end, source
+
+        return run
 
     thin = docs.select(key, F.col(text).alias("_t"), split_sentences(F.col(text)).alias("_s"))
-    return thin.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, sent_idx int, sentence string, sent_start int, sent_end int, pos int, mention string, type string, start int, end int, source string")
+    return thin.transform(by_rows(start, f"{key} {docs.schema[key].dataType.simpleString()}, sent_idx int, sentence string, sent_start int, sent_end int, pos int, mention string, type string, start int, end int, source string"))
 
 
 def first_of_span(placed: DataFrame, key: str) -> DataFrame:
