@@ -22,14 +22,23 @@ def fold_edges(edges: DataFrame) -> DataFrame:
     sentence and provenance if it is more confident. So the last run of equal relations counts: doc
     comes from its first row, the rest from its most confident row, the earliest of equals.
     """
-    pair = Window.partitionBy("source", "target").orderBy("seq")
+    pair, whole = Window.partitionBy("source", "target").orderBy("seq"), Window.partitionBy("source", "target")
     e = edges.withColumn("_new", F.when(F.lag("relation").over(pair).eqNullSafe(F.col("relation")) & (F.row_number().over(pair) > 1), 0).otherwise(1))
-    e = e.withColumn("_run", F.sum("_new").over(pair))
-    runs = e.groupBy("source", "target", "_run").agg(
-        F.first("relation").alias("relation"), F.min_by("doc", "seq").alias("doc"), F.min("seq").alias("seq"), F.min_by(F.struct("confidence", "sentence", "provenance"), F.struct(-F.col("confidence"), F.col("seq"))).alias("b")
-    )
-    last = runs.groupBy("source", "target").agg(F.max_by(F.struct("relation", "b", "doc"), "_run").alias("r"), F.min("seq").alias("seq"))
-    return last.select("seq", "source", "target", "r.relation", "r.b.confidence", "r.b.sentence", "r.doc", "r.b.provenance")
+    # One exchange and one sort serve the windows and the aggregation.
+    e = e.withColumn("_run", F.sum("_new").over(pair)).withColumns({"_last": F.max("_run").over(whole), "_seq": F.min("seq").over(whole)}).where("_run = _last")
+    best = F.min_by(F.struct("confidence", "sentence", "provenance"), F.struct(-F.col("confidence"), F.col("seq")))
+    last = e.groupBy("source", "target").agg(F.first("relation").alias("relation"), F.min_by("doc", "seq").alias("doc"), F.min("_seq").alias("seq"), best.alias("b"))
+    return last.select("seq", "source", "target", "relation", "b.confidence", "b.sentence", "doc", "b.provenance")
+
+
+def pairs(triples: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """seq, source, target: the folded edges_multi without what its edges carry, so counts and paths need no whole rows.
+
+    Aliases are looked up once for each pair of names, not for each triple.
+    """
+    named = triples.groupBy("head", "tail").agg(F.min("seq").alias("seq"))
+    e = named.select("seq", apply_aliases(F.col("head"), aliases).alias("source"), apply_aliases(F.col("tail"), aliases).alias("target"))
+    return e.groupBy("source", "target").agg(F.min("seq").alias("seq")).select("seq", "source", "target")
 
 
 def node_table(edges: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -96,37 +105,41 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("source").alias("u"), F.col("target").alias("v")).union(e.select("target", "source")).distinct()
 
 
-def hops(edges: DataFrame, centers: DataFrame, radius: int, tables: Tables | None = None) -> DataFrame:
+def hops(edges: DataFrame, centers: DataFrame, radius: int, tables: Tables | None = None, saved: bool = False) -> DataFrame:
     """id and distance of every node at most `radius` steps, of either direction, from a centre (id).
 
-    A level at a time: the frontier meets the edges in a join, and what was seen before goes. The
-    number of joins is the radius, whatever the graph's size. Links and levels are written, so no
-    level computes the graph again.
+    A level at a time: the frontier meets both ends of the edges in joins, and what was seen before
+    goes. The number of joins follows the radius, whatever the graph's size. Levels are written, and so
+    are the edges unless they are `saved`, so no level computes the graph again.
     """
     own = tables or Tables(edges.sparkSession)
-    links = own.written(undirected(edges), "links")
+    links = edges.select("source", "target")
+    links = links if saved else own.written(links, "links")
     seen = frontier = own.written(centers.select("id").distinct().withColumn("distance", F.lit(0)), "hops")
     for k in range(1, radius + 1):
-        near = links.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        frontier = own.written(near.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k)), "hops")
+        near = [links.join(frontier.select(F.col("id").alias(a)), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("source", "target"), ("target", "source"))]
+        frontier = own.written(near[0].union(near[1]).distinct().join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k)), "hops")
         seen = seen.union(frontier)
-    own.dropped(links)
+    if not saved:
+        own.dropped(links)
     return seen
 
 
-def ego(nodes: DataFrame, edges: DataFrame, centers: DataFrame, radius: int = 1, max_nodes: int = 80) -> tuple[DataFrame, DataFrame]:
+def ego(nodes: DataFrame, edges: DataFrame, centers: DataFrame, radius: int = 1, max_nodes: int = 80, triples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (with distance) and induced edges around a centre, of at most max_nodes nodes.
 
     Nearer nodes stay first, then those of higher degree in the whole graph, then by label and id.
-    Degrees are counted for reached nodes alone.
+    Degrees are counted for reached nodes alone. With triples (as edges_multi gives them), edges are
+    their pairs, as a saved table, and the induced edges alone are folded.
     """
-    tables = Tables(edges.sparkSession)
-    edges = tables.written(edges, "ego-edges")
-    reached = nodes.join(hops(edges, centers, radius, tables), "id")
+    tables, saved = Tables(edges.sparkSession), triples is not None
+    edges = edges if saved else tables.written(edges, "ego-edges")
+    reached = nodes.join(hops(edges, centers, radius, tables, saved=True), "id")
     n = reached.join(degrees_of(reached, edges), "id")
     n = tables.written(n.orderBy("distance", F.desc("degree"), F.lower("label"), "id").limit(max_nodes), "ego-nodes")
-    e = tables.written(induced(edges, n), "ego-induced")
-    tables.dropped(edges)
+    e = tables.written(fold_edges(induced(triples, n)) if saved else induced(edges, n), "ego-induced")
+    if not saved:
+        tables.dropped(edges)
     return n, e
 
 
@@ -174,7 +187,7 @@ def ends_of(edges: DataFrame, column: str, values: list) -> DataFrame:
     return edges.where(F.col(column).isin(values)).select(F.explode(F.array("source", "target")).alias("id")).distinct()
 
 
-def highlight(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+def highlight(edges: DataFrame, chosen: DataFrame, saved: bool = False) -> DataFrame:
     """id and class: selected, first or second neighbours."""
     named: Column = F.element_at(F.array(F.lit("selected"), F.lit("first"), F.lit("second")), F.col("distance") + 1)
-    return hops(edges, chosen, 2).select("id", named.alias("class"))
+    return hops(edges, chosen, 2, saved=saved).select("id", named.alias("class"))
