@@ -150,18 +150,31 @@ def merge_key(t: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     return t.withColumns({"_kh": match_norm(apply_aliases(F.col("head"), aliases)), "_kr": F.lower(strip(F.col("relation"))), "_kt": match_norm(apply_aliases(F.col("tail"), aliases))})
 
 
+def _rank(seq: str, priority: dict[str, int] | None) -> Column:
+    """What the row to keep has least of."""
+    ranks = SOURCE_PRIORITY if priority is None else priority
+    pri = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("provenance")), F.lit(0))
+    return F.struct((-pri).alias("p"), (-F.col("confidence")).alias("c"), F.col(seq).alias("s"))
+
+
+def merged_relations(t: DataFrame, seq: str = "seq", priority: dict[str, int] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """seq and relation of merge_triples, whose other columns needn't move."""
+    t = merge_key(t, aliases).select("_kh", "_kr", "_kt", "relation", F.col(seq).alias("_s"), _rank(seq, priority).alias("_rank"))
+    return t.groupBy("_kh", "_kr", "_kt").agg(F.min("_s").alias("seq"), F.min_by("relation", "_rank").alias("relation")).select("seq", "relation")
+
+
 def merge_triples(t: DataFrame, seq: str = "seq", priority: dict[str, int] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """One triple for each key: the source of highest priority, then confidence, then arrival, keeps its row.
 
     provenance joins the distinct sources, and doc_ids lists the first document (blank or not) and
     then the distinct others, in order of arrival. Rows are aggregated twice: to the best one of each
-    key, source and document, and those to one of each key. seq: order of arrival.
+    key, source and document, and those to one of each key; they move once, by key, as few of them
+    share source and document. seq: order of arrival.
     """
-    ranks = SOURCE_PRIORITY if priority is None else priority
-    pri = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("provenance")), F.lit(0))
     row = F.struct("head", "head_qid", "relation", "tail", "tail_qid", "confidence", "sentence")
-    t = merge_key(t, aliases).withColumns({"doc": F.coalesce("doc", F.lit("")), "_rank": F.struct((-pri).alias("p"), (-F.col("confidence")).alias("c"), F.col(seq).alias("s"))})
+    t = t.withColumn("doc", F.coalesce("doc", F.lit(""))).select(seq, "head", "head_qid", "relation", "tail", "tail_qid", "confidence", "sentence", "doc", "provenance")
     keys = ["_kh", "_kr", "_kt"]
+    t = merge_key(t, aliases).repartition(*keys).withColumn("_rank", _rank(seq, priority))
     part = t.groupBy(*keys, "provenance", "doc").agg(F.min_by(row, "_rank").alias("_row"), F.min("_rank").alias("_rank"), F.min(seq).alias("_s"))
     out = part.groupBy(*keys).agg(F.min_by("_row", "_rank").alias("r"), F.min("_s").alias("seq"), F.array_sort(F.collect_list(F.struct("_s", "provenance", "doc"))).alias("_of"))
     docs = F.transform("_of", lambda x: x["doc"])
